@@ -4,15 +4,36 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, warc
+from tessera.llm import bpe, chat, chunks, decontaminate, simhash, toxicity, warc
 from tessera.llm.common import table
 
 
+def op1_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.report(table(spark, sf_dir, "documents"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.classes(table(spark, sf_dir, "documents"), k=4, radius=4)
+    return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.held_out_fold(F.col("_key")))
+    return toxicity.scores(docs, lexicon).select("doc_id", toxicity.held_out_fold(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_matches")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "start", "n_words", "distance", "similarity")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -22,7 +43,15 @@ def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_preferences(turns, chat.neighbours_as_pairs(turns))
 
 
-QUERIES = {"op5_warc": op5_warc, "op9_bpe": op9_bpe, "op10_preferences": op10_preferences}
+QUERIES = {
+    "op1_chunk_dedup": op1_chunk_dedup,
+    "op4_simhash": op4_simhash,
+    "op5_warc": op5_warc,
+    "op6_toxicity": op6_toxicity,
+    "op7_decontamination": op7_decontamination,
+    "op9_bpe": op9_bpe,
+    "op10_preferences": op10_preferences,
+}
 
 SQL = {
     "op5_warc": """
