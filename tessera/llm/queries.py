@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, chunks, decontaminate, simhash, toxicity, warc
+from tessera.llm import bpe, chat, chunks, decontaminate, lm, simhash, toxicity, warc
 from tessera.llm.common import table
 
 
@@ -14,6 +14,13 @@ def op1_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.report(table(spark, sf_dir, "documents"))
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lm.train(docs.where(~lm.held_out_fold(F.col("doc_id"))))
+    rows = lm.scores(docs, model)
+    return rows.select("doc_id", lm.held_out_fold(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.classes(table(spark, sf_dir, "documents"), k=4, radius=4)
     return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -45,6 +52,7 @@ def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chunk_dedup": op1_chunk_dedup,
+    "op3_lm": op3_lm,
     "op4_simhash": op4_simhash,
     "op5_warc": op5_warc,
     "op6_toxicity": op6_toxicity,
