@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, chunks, decontaminate, lm, simhash, toxicity, warc
+from tessera.llm import bpe, chat, chunks, decontaminate, lm, quality, simhash, toxicity, warc
 from tessera.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op1_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.report(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.judged(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity", "lower_bound", "upper_bound")
+
+
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = lm.train(docs.where(~lm.held_out_fold(F.col("doc_id"))))
@@ -52,6 +57,7 @@ def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chunk_dedup": op1_chunk_dedup,
+    "op2_quality": op2_quality,
     "op3_lm": op3_lm,
     "op4_simhash": op4_simhash,
     "op5_warc": op5_warc,
