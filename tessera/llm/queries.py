@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, chunks, decontaminate, lm, quality, simhash, toxicity, warc
+from tessera.llm import bpe, chat, chunks, cotrain, decontaminate, lm, quality, simhash, toxicity, warc
 from tessera.llm.common import table
 
 
@@ -46,6 +46,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "item_id", "start", "n_words", "distance", "similarity")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = cotrain.scores(docs, cotrain.fit(docs, table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", cotrain.held_out_fold(F.col("doc_id")).alias("held_out"), "score", "predicted", "text_score", "meta_score")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -63,6 +69,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_bpe": op9_bpe,
     "op10_preferences": op10_preferences,
 }
