@@ -81,13 +81,26 @@ def blocks(fp: Column, radius: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (z - a)) - 1).cast("long")).alias("v")) for i, (a, z) in enumerate(zip(edge, edge[1:], strict=False))])
 
 
+def first_block(differing: Column, radius: int) -> Column:
+    """The number of the first block without a differing bit; null if there is none."""
+    out = F.lit(None).cast("int")
+    edge = [64 * i // (radius + 1) for i in range(radius + 2)]
+    for i in reversed(range(radius + 1)):
+        mask = signed(sum(1 << b for b in range(edge[i], edge[i + 1])))
+        out = F.when(differing.bitwiseAND(F.lit(mask).cast("long")) == 0, i).otherwise(out)
+    return out
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Weighted Jaccard similarity of two arrays of shingle hashes."""
 
     def times(of: Column, x: Column) -> Column:
         return F.size(F.filter(of, lambda y: y == x))
 
-    both = F.aggregate(F.array_distinct(b), F.lit(0), lambda n, x: n + F.least(times(a, x), times(b, x)))
+    # Without repeats on one side, common shingles count once; else the lesser of both counts.
+    plain = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
+    counted = F.aggregate(F.array_distinct(b), F.lit(0), lambda n, x: n + F.least(times(a, x), times(b, x)))
+    both = F.when(plain, F.size(F.array_intersect(a, b))).otherwise(counted)
     return both / (F.size(a) + F.size(b) - both)
 
 
@@ -98,8 +111,8 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 def matches(docs: DataFrame, items: DataFrame, k: int = K, radius: int = RADIUS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``sha``, ``item_id``, ``start`` (word, from 0), ``n_words``, ``distance``, ``similarity``:
     the best window of each document for each item it holds."""
-    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("sha"), text.alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("sha"), text.alias("text"))
     bench = items.select("item_id", words(F.lower(F.coalesce("text", F.lit("")))).alias("w")).where(F.size("w") > 0)
     bench = stored(bench.select("item_id", F.size("w").alias("n"), shingles(F.col("w"), k).alias("ish")), "items")
     most = bench.agg(F.max(F.size("ish"))).first()[0] or 1
@@ -109,7 +122,7 @@ def matches(docs: DataFrame, items: DataFrame, k: int = K, radius: int = RADIUS,
 
     # Outer generators: for inner ones Spark infers a test of the array, which makes the array twice
     # and, pushed below it, once for each element.
-    places = keyed.select("id", "sha", words(F.col("text")).alias("w")).select("id", "sha", shingles(F.col("w"), k).alias("sh")).select("id", "sha", F.posexplode_outer("sh").alias("p", "h"))
+    places = keyed.select("id", "sha", words(F.lower("text")).alias("w")).select("id", "sha", shingles(F.col("w"), k).alias("sh")).select("id", "sha", F.posexplode_outer("sh").alias("p", "h"))
     hits = places.join(small(sought, n_sought), "h").groupBy("id", "sha", "n").agg(F.collect_set("p").alias("ps"))
     hits = stored(hits, "hits")
     found = keyed.join(hits, keyed.id.eqNullSafe(hits.id) & (keyed.sha == hits.sha)).select(hits.id, hits.sha, "n", "ps", "text")
@@ -117,15 +130,18 @@ def matches(docs: DataFrame, items: DataFrame, k: int = K, radius: int = RADIUS,
     last = F.greatest(F.size("sh") - width, F.lit(0))
     starts = F.array_distinct(F.flatten(F.transform("ps", lambda p: F.sequence(F.greatest(F.least(p - width + 1, last), F.lit(0)), F.least(p, last)))))
     windows = (
-        found.select("id", "sha", "n", "ps", words(F.col("text")).alias("w"))
+        found.select("id", "sha", "n", "ps", words(F.lower("text")).alias("w"))
         .select("id", "sha", "n", "ps", shingles(F.col("w"), k).alias("sh"))
         .select("id", "sha", "n", "sh", F.explode_outer(starts).alias("start"))
         .select("id", "sha", "n", "start", F.slice("sh", F.col("start") + 1, width).alias("wsh"))
         .withColumn("fp", simhash(F.col("wsh"), lane))
     )
     asked = bench.withColumn("ifp", simhash(F.col("ish"), lane)).select("item_id", "n", "ish", "ifp", F.explode(blocks(F.col("ifp"), radius)).alias("block"))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp")))
-    pairs = windows.select("*", F.explode(blocks(F.col("fp"), radius)).alias("block")).join(small(asked, n_sought * (radius + 1)), ["n", "block"]).where(near <= radius)
+    differing = F.col("fp").bitwiseXOR(F.col("ifp"))
+    near = F.bit_count(differing)
+    # A pair meets in every block that agrees; it goes on from the first.
+    met = (near <= radius) & (first_block(differing, radius) == F.col("block.i"))
+    pairs = windows.select("*", F.explode(blocks(F.col("fp"), radius)).alias("block")).join(small(asked, n_sought * (radius + 1)), ["n", "block"]).where(met)
     scored = pairs.select("id", "sha", "item_id", "start", F.col("n").alias("n_words"), near.alias("distance"), similarity(F.col("wsh"), F.col("ish")).alias("similarity")).where(F.col("similarity") >= threshold)
     best = scored.groupBy("id", "sha", "item_id").agg(F.max(F.struct("similarity", -F.col("start"), "n_words", "distance")).alias("m"))
     return best.select("id", "sha", "item_id", (-F.col("m.col2")).cast("long").alias("start"), F.col("m.n_words").cast("long").alias("n_words"), F.col("m.distance").cast("long").alias("distance"), F.col("m.similarity").alias("similarity"))
