@@ -19,10 +19,11 @@ texts but not each other. An empty table gives an empty result. Other columns ar
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ WINDOW = 32
 MIN_BYTES, MAX_BYTES = 32, 256
 #: Zero bits asked for behind a blank: one blank in four ends a chunk.
 ZERO_BITS = 2
+#: Bytes of text that are looked at together.
+SLICE_BYTES = 1 << 21
 #: Bytes of adjacent repeated chunks that are cut out; less may repeat by chance.
 MIN_RUN = 96
 
@@ -101,10 +104,26 @@ def buffer_of(text: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray]:
     return b"".join(parts), stops - np.array([len(p) for p in parts], np.int64), stops
 
 
+def slices(text: pa.Array) -> Iterator[slice]:
+    """Ranges of rows of a few megabytes of text, or of one longer text."""
+    at, held = 0, 0
+    for i, n in enumerate(pc.binary_length(text).to_pylist()):
+        held += n or 0
+        if held >= SLICE_BYTES:
+            yield slice(at, i + 1)
+            at, held = i + 1, 0
+    if at < len(text):
+        yield slice(at, len(text))
+
+
 def chunks(keyed: DataFrame) -> DataFrame:
     """``hi``, ``lo`` (the digest), ``id``, ``sha``, ``place`` of every chunk of (``id``, ``sha``, ``text``)."""
 
-    def run(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
+    def run(whole_batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
+        for part in slices(whole_batch.column(2)):
+            yield from of_slice(whole_batch.slice(part.start, part.stop - part.start))
+
+    def of_slice(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
         raw, begins, stops = buffer_of(batch.column(2))
         every = ends_of(np.frombuffer(raw, np.uint8), begins, stops)
         sizes = np.array([len(e) for e in every], np.int64)
@@ -141,26 +160,32 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def cut_out(text: pa.Array, places: pa.Array, min_run: pa.Array) -> pa.Array:
+    """Number of chunks, byte spans cut out, and the text that stays."""
+    least = min_run[0].as_py() if len(min_run) else 0
+    parts = [cut_slice(text[s], places[s], least) for s in slices(text)]
+    return pa.concat_arrays(parts) if parts else cut_slice(text, places, least)
+
+
+def cut_slice(text: pa.Array, places: pa.Array, least: int) -> pa.Array:
     raw, begins, stops = buffer_of(text)
     every = ends_of(np.frombuffer(raw, np.uint8), begins, stops)
     n, spans, texts = [], [], []
-    known = text.is_valid().to_pylist()
-    for a, z, ends, where, least, valid in zip(begins.tolist(), stops.tolist(), every, places.to_pylist(), min_run.to_pylist(), known, strict=True):
-        cut: list[list[int]] = []
+    for a, z, ends, where, valid in zip(begins.tolist(), stops.tolist(), every, places.to_pylist(), text.is_valid().to_pylist(), strict=True):
+        runs: list[list[int]] = []
         for p in where or ():
             b = ends[p - 1] if p else a
-            if cut and cut[-1][1] == b:
-                cut[-1][1] = ends[p]
+            if runs and runs[-1][1] == b:
+                runs[-1][1] = ends[p]
             else:
-                cut.append([b, ends[p]])
-        cut = [c for c in cut if c[1] - c[0] >= least]
+                runs.append([b, ends[p]])
+        runs = [r for r in runs if r[1] - r[0] >= least]
         kept, at = [], a
-        for b, e in cut:
+        for b, e in runs:
             kept.append(raw[at:b])
             at = e
         kept.append(raw[at:z])
         n.append(len(ends))
-        spans.append([{"b": b - a, "e": e - a} for b, e in cut])
+        spans.append([{"b": b - a, "e": e - a} for b, e in runs])
         texts.append(b"".join(kept).decode() if valid else None)
     kind = pa.list_(pa.struct([("b", pa.int32()), ("e", pa.int32())]))
     return pa.StructArray.from_arrays([pa.array(n, pa.int32()), pa.array(spans, kind), pa.array(texts, pa.string())], ["n_chunks", "spans", "text"])
