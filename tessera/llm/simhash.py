@@ -6,9 +6,12 @@ Bit b is set if it is set in more than half of the shingles' XXH64 (seed 42).
 
 Links. Only distinct fingerprints are compared, so a group of copies counts once. Two fingerprints
 with at most r differing bits agree in one of r + 1 blocks of bits, which brings them into one
-bucket. A bucket of more than ``bucket_limit`` fingerprints is cut again: of its other bits, r + 1
-blocks are formed and again one of them must agree; this repeats, without loss, until all buckets
-are small. In a bucket, a pivot distance table holds the Hamming distance of each fingerprint to
+bucket. Buckets of more than ``bucket_limit`` fingerprints, where so many are to be expected of the
+whole number, are cut again: of their other bits, r + 1 blocks are formed and again one of them
+must agree. A bucket that is larger than that holds a cluster of near copies. Its fingerprints are
+linked without comparing pairs: two of them are within r bits if and only if some number is within
+r / 2 bits of both, so each is written under all such numbers, and those that share one are linked
+to the least of them. In a smaller bucket, a pivot distance table holds the Hamming distance of each fingerprint to
 many reference fingerprints; by the triangle inequality a pair whose coordinates differ by more
 than r anywhere is no link. Survivors are verified. A bucket gives no pairs but a spanning star of
 each group of linked fingerprints.
@@ -24,6 +27,7 @@ an empty result. Other columns are ignored here and kept by ``one_per_class``.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -148,9 +152,6 @@ def links(distinct: DataFrame, radius: int = 4, bucket_limit: int = BUCKET_LIMIT
 
     ``distinct`` holds each fingerprint once, in column ``fp``.
     """
-    if bucket_limit < 2 ** (radius + 1):
-        raise ValueError("bucket_limit must exceed the fingerprints that differ in the last bits only")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.empty((3, 0), np.int64)
 
@@ -177,19 +178,32 @@ def links(distinct: DataFrame, radius: int = 4, bucket_limit: int = BUCKET_LIMIT
         return rows.repartition("mask", "val").sortWithinPartitions("mask", "val").mapInArrow(run, "u long, v long")
 
     every = (1 << 64) - 1
-    masks = F.array(*[F.lit(signed(m)) for m in cut_bits(every, radius + 1)])
-    items = distinct.select("fp", F.explode(masks).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("val"), "fp")
-    found = None
+    total = distinct.count()
+    known, found = {0: None}, None
+    items = distinct.select("fp", F.lit(0).cast("long").alias("mask"))
     while True:
+        finer = {signed(m): [signed(m & every | c) for c in cut_bits(every & ~m, radius + 1)] for m in known}
+        cuts = F.create_map(*[x for m, cs in finer.items() for x in (F.lit(m), F.array(*map(F.lit, cs)))])
+        items = items.select("fp", F.explode_outer(cuts[F.col("mask")]).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("val"), "fp")
         heavy = stored(items.groupBy("mask", "val").count().where(F.col("count") > bucket_limit).select("mask", "val"), "heavy")
-        more = [m[0] for m in heavy.select("mask").distinct().collect()]  # at most (radius + 1) ** level values
-        light = items.join(heavy, ["mask", "val"], "left_anti") if more else items
-        found = bucketed(light) if found is None else found.union(bucketed(light))
-        if not more:
+        known = {m[0] & every: None for m in heavy.select("mask").distinct().collect()}  # at most (radius + 1) ** level values
+        light = bucketed(items.join(heavy, ["mask", "val"], "left_anti") if known else items)
+        found = light if found is None else found.union(light)
+        if not known:
             return found
-        finer = F.create_map(*[x for m in more for x in (F.lit(m), F.array(*[F.lit(signed(m & every | c)) for c in cut_bits(every & ~m, radius + 1)]))])
-        rest = items.join(heavy, ["mask", "val"], "left_semi").select("fp", F.explode(finer[F.col("mask")]).alias("mask"))
-        items = rest.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("val"), "fp")
+        items = items.join(heavy, ["mask", "val"], "left_semi")
+        fixed = min(m.bit_count() for m in known)
+        if radius % 2 == 0 and total / 2**fixed <= bucket_limit / 4 or 64 - fixed <= radius:
+            return found.union(dense_links(items.select("fp").distinct(), radius))
+        items = items.select("fp", "mask")
+
+
+def dense_links(members: DataFrame, radius: int) -> DataFrame:
+    """``u``, ``v``: links among fingerprints many of which are near each other; for an even radius."""
+    flips = [sum(1 << b for b in bits) for n in range(radius // 2 + 1) for bits in combinations(range(64), n)]
+    near = members.select("fp", F.explode(F.array(*[F.lit(signed(x)) for x in flips])).alias("x")).select("fp", F.col("fp").bitwiseXOR(F.col("x")).alias("z"))
+    least = near.groupBy("z").agg(F.min("fp").alias("v"), F.max("fp").alias("w")).where("v < w").select("z", "v")
+    return near.join(least, "z").where("fp != v").select(F.col("fp").alias("u"), "v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
