@@ -132,7 +132,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, held_out: C
 def count_terms(train: DataFrame) -> DataFrame:
     """``term``, ``a``, ``b``: toxic and other documents with it; ``contexts`` in toxic ones."""
 
-    def run(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
+    def run(whole: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
+        # A few documents at a time, as the terms of all words take many times the text's memory.
+        for i in range(0, whole.num_rows, 512):
+            yield of_slice(whole.slice(i, 512))
+
+    def of_slice(batch: pa.RecordBatch) -> pa.RecordBatch:
         other: Counter[str] = Counter()
         seen: dict[tuple[str, int], int] = {}
         for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -149,7 +154,7 @@ def count_terms(train: DataFrame) -> DataFrame:
             for pair in own.items():
                 seen[pair] = seen.get(pair, 0) + 1
         names = [*other, *(t for t, _ in seen)]
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [pa.array(names, pa.string()), pa.array([0] * len(other) + list(seen.values()), pa.int64()), pa.array([*other.values(), *[0] * len(seen)], pa.int64()), pa.array([None] * len(other) + [c for _, c in seen], pa.int64())],
             ["term", "a", "b", "around"],
         )
