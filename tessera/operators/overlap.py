@@ -216,6 +216,11 @@ def simplex_box(points: list, lo: list, hi: list, order: int) -> list | None:
     return sums if sums[0] > 0 else None
 
 
+def along(points: str, axis: int) -> Column:
+    """One coordinate of all points of an array."""
+    return F.transform(points, lambda p: F.get(p, F.lit(axis)))
+
+
 def overlap_simplices(simplices: DataFrame, boxes: DataFrame, dim: int, order: int = 0, exact_bits: int | None = None, side: list[float] | None = None) -> DataFrame:
     """Simplices (``id``, ``points`` array of arrays) with boxes (``id``, ``lo``, ``hi``).
 
@@ -223,7 +228,8 @@ def overlap_simplices(simplices: DataFrame, boxes: DataFrame, dim: int, order: i
     measured in rational numbers; results come back in the original units. ``drop_kind`` tells why a
     candidate pair has no volume (``none`` for pairs that have).
     """
-    bounds = simplices.withColumn("lo", F.array(*[F.array_min(F.transform("points", lambda p, d=d: F.get(p, F.lit(d)))) for d in range(dim)])).withColumn("hi", F.array(*[F.array_max(F.transform("points", lambda p, d=d: F.get(p, F.lit(d)))) for d in range(dim)]))
+    axes = [along("points", d) for d in range(dim)]
+    bounds = simplices.withColumn("lo", F.array(*map(F.array_min, axes))).withColumn("hi", F.array(*map(F.array_max, axes)))
     pairs = box_pairs(bounds.select("id", "lo", "hi", "points"), boxes.select("id", "lo", "hi"), dim, side).select("a_id", "b_id", "a_points", "b_lo", "b_hi")
     frame = None
     if exact_bits:
