@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold_remainder, map_batches, scratch, stored
+from tessera.llm.common import fold_remainder, map_batches, scratch, small_batches, stored
 from tessera.llm.hashstore import Counts, Opened, Shards, add_up, blobs_of, gathered, map_arrays, write_arrays
 
 #: No word has white space, so this stands for the end of a text.
@@ -76,11 +76,14 @@ def previous(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def discounts(n: list[int]) -> list[float]:
-    """D(1), D(2), D(3 and more) from the numbers of n-grams seen 1, 2, 3, 4 times."""
-    n1, n2, n3, n4 = n
-    y = n1 / (n1 + 2 * n2) if n1 else 0.0
-    d = [1 - 2 * y * n2 / n1 if n1 else 0.0, 2 - 3 * y * n3 / n2 if n2 else 0.0, 3 - 4 * y * n4 / n3 if n3 else 0.0]
-    return [min(max(x, 0.0), k) for k, x in enumerate(d, 1)]
+    """D(1), D(2), D(3 and more) from the numbers of n-grams seen 1, 2, 3, 4 times.
+
+    Where the formula gives nothing between 0 and k (few counts), k / 2 takes its place, so that
+    something is always left for what was not seen.
+    """
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
+    d = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else 0.0 for k in (1, 2, 3)]
+    return [x if 0 < x < k else k / 2 for k, x in enumerate(d, 1)]
 
 
 def of_count(d: list[float], c: np.ndarray) -> np.ndarray:
@@ -116,6 +119,7 @@ def width(n_words: int, bits: int) -> int:
 def train(texts: DataFrame, text_col: str = "text") -> Model:
     """Counts and estimates the model of all rows of ``texts``."""
     spark = texts.sparkSession
+    small_batches(spark)
     src = texts.select(F.col(text_col).cast("string").alias("text"))
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(max(1, size / SHARD_BYTES)))))
