@@ -23,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.common import map_batches
+from tessera.llm.common import in_slices, map_slices, small_batches
 
 #: Fixed values of the public word-level BPE format: its white space, its pattern, its end mark.
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -43,7 +43,9 @@ PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]
 _END = 0x10000
 
 #: Pieces whose tokens a worker remembers, in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
+#: Pairs of tokens whose compatibility is remembered.
+PAIRS = 200_000
 
 
 def byte_alphabet() -> list[str]:
@@ -71,7 +73,8 @@ class WordBpe:
         self.bytes_of = {c: b for b, c in enumerate(self.alphabet)}
         # Normalisation and, for characters newer than Python's tables, the cut into words are a
         # matter of Unicode versions and follow the library; the merges are made here.
-        self.rules = Tokenizer.from_file(path)
+        rules = Tokenizer.from_file(path)
+        self.normalizer, self.cutter = rules.normalizer, rules.pre_tokenizer
         self.aged: dict[str, bool] = {}
 
         self._merges(model["merges"], vocab)
@@ -98,7 +101,7 @@ class WordBpe:
             self.merged[vocab[a], vocab[b]] = whole
             self.halves[whole] = vocab[a], vocab[b]
             self.rank[whole] = rank
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
 
     def _trie(self, vocab: dict[str, int]) -> None:
         usable = {}
@@ -138,11 +141,12 @@ class WordBpe:
                 limit, b = rb + 1, halves[b][0]
 
     def compatible(self, a: int, b: int) -> bool:
-        known = self._fits.get((a, b))
+        pair = a << 32 | b
+        known = self._fits.get(pair)
         if known is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) >= PAIRS:
                 self._fits.clear()
-            known = self._fits[a, b] = self._survives(a, b)
+            known = self._fits[pair] = self._survives(a, b)
         return known
 
     def encode_word(self, s: str) -> list[int]:
@@ -179,11 +183,11 @@ class WordBpe:
                 if part.isascii():
                     yield from self.piece.findall(part.lower())
                     continue
-                part = self.rules.normalizer.normalize_str(part)
+                part = self.normalizer.normalize_str(part)
                 if all(map(self._known, set(part))):
                     yield from self.piece.findall(part)
                 else:
-                    for shown, _ in self.rules.pre_tokenizer.pre_tokenize_str(part):
+                    for shown, _ in self.cutter.pre_tokenize_str(part):
                         yield bytes(map(self.bytes_of.__getitem__, shown)).decode()
 
     def _known(self, c: str) -> bool:
@@ -237,13 +241,13 @@ def load(path: str) -> WordBpe:
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, its token ids and the text decoded from them."""
 
-    def run(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = load(path)
         ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string())], ["id", "ids", "decoded"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string())], ["id", "ids", "decoded"])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(src, run, f"id {dict(src.dtypes)['id']}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return map_slices(src, 1, run, f"id {dict(src.dtypes)['id']}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
 
 def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,7 +256,7 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     The digests are taken where the tokens are made, so that neither list leaves the worker.
     """
 
-    def run(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = load(path)
         n, a, b = [], [], []
         for t in batch.column(1).to_pylist():
@@ -260,11 +264,11 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             n.append(len(ids))
             a.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
             b.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(src.dtypes)["id"]
-    return map_batches(src, run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return map_slices(src, 1, run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def with_tokens(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "tokens") -> DataFrame:
@@ -272,8 +276,12 @@ def with_tokens(docs: DataFrame, path: str, text_col: str = "text", out_col: str
 
     @F.arrow_udf("struct<ids: array<int>, n: int>")
     def tokens(text: pa.Array) -> pa.Array:
+        return in_slices(text, of)
+
+    def of(text: pa.Array) -> pa.Array:
         bpe = load(path)
         ids = [bpe.encode(t or "") for t in text.to_pylist()]
         return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int32())], ["ids", "n"])
 
+    small_batches(docs.sparkSession)
     return docs.withColumn(out_col, tokens(F.col(text_col).cast("string")))

@@ -19,23 +19,23 @@ texts but not each other. An empty table gives an empty result. Other columns ar
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches, stored
+from tessera.llm.common import map_batches, slices, small_batches, stored
 
 WINDOW = 32
 MIN_BYTES, MAX_BYTES = 32, 256
 #: Zero bits asked for behind a blank: one blank in four ends a chunk.
 ZERO_BITS = 2
-#: Bytes of text that are looked at together.
-SLICE_BYTES = 1 << 21
+#: Texts with repeats, and places of theirs, that are broadcast at most (some 30 MB); more go
+#: through a shuffle with the texts.
+BROADCAST_TEXTS, BROADCAST_PLACES = 200_000, 4_000_000
 #: Bytes of adjacent repeated chunks that are cut out; less may repeat by chance.
 MIN_RUN = 96
 
@@ -104,18 +104,6 @@ def buffer_of(text: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray]:
     return b"".join(parts), stops - np.array([len(p) for p in parts], np.int64), stops
 
 
-def slices(text: pa.Array) -> Iterator[slice]:
-    """Ranges of rows of a few megabytes of text, or of one longer text."""
-    at, held = 0, 0
-    for i, n in enumerate(pc.binary_length(text).to_pylist()):
-        held += n or 0
-        if held >= SLICE_BYTES:
-            yield slice(at, i + 1)
-            at, held = i + 1, 0
-    if at < len(text):
-        yield slice(at, len(text))
-
-
 def chunks(keyed: DataFrame) -> DataFrame:
     """``hi``, ``lo`` (the digest), ``id``, ``sha``, ``place`` of every chunk of (``id``, ``sha``, ``text``)."""
 
@@ -193,12 +181,16 @@ def cut_slice(text: pa.Array, places: pa.Array, least: int) -> pa.Array:
 
 def cut(text: Column, places: Column, min_run: int) -> Column:
     kind = "struct<n_chunks: int, spans: array<struct<b: int, e: int>>, text: string>"
+    small_batches()
     return F.arrow_udf(cut_out, kind)(text, places, F.lit(min_run))
 
 
 def joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """All rows of ``docs`` as ``d``, with the places of their repeats as ``r``."""
-    found = repeats(docs, id_col, text_col).alias("r")
+    found = repeats(docs, id_col, text_col)
+    size = found.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("places")), F.lit(0)).alias("places")).first()
+    small = size["n"] <= BROADCAST_TEXTS and size["places"] <= BROADCAST_PLACES
+    found = (F.broadcast(found) if small else found).alias("r")
     key = F.coalesce(F.col(f"d.{id_col}").cast("long"), F.lit(2**63 - 1))
     text = F.coalesce(F.col(f"d.{text_col}"), F.lit(""))
     return docs.alias("d").join(found, (key == F.col("r.id")) & (F.xxhash64(text) == F.col("r.sha")), "left")

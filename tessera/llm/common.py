@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,15 +118,60 @@ def get_file(uri: str) -> str:
     return at
 
 
+#: Rows of an Arrow batch between the JVM and Python, where the session has Spark's own default. Ten
+#: thousand documents would be held several times over on both sides.
+BATCH_ROWS, SPARK_ROWS = "1000", "10000"
+
+
+def small_batches(spark: SparkSession | None = None) -> None:
+    """Bounds Arrow batches of texts; a session that sets its own bound keeps it."""
+    conf = (spark or SparkSession.active()).conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == SPARK_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one record batch that yields record batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return itertools.chain.from_iterable(map(fn, batches))
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+#: Bytes of text that a worker looks at together: batches may hold many times that.
+SLICE_BYTES = 1 << 21
+
+
+def slices(text: pa.Array) -> Iterator[slice]:
+    """Ranges of rows of a few megabytes of text, or of one longer text."""
+    at, held = 0, 0
+    for i, n in enumerate(pc.binary_length(text).to_pylist()):
+        held += n or 0
+        if held >= SLICE_BYTES:
+            yield slice(at, i + 1)
+            at, held = i + 1, 0
+    if at < len(text):
+        yield slice(at, len(text))
+
+
+def map_slices(df: DataFrame, text: int, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """``mapInArrow`` over a few megabytes at a time of the texts in column number ``text``."""
+
+    def run(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
+        for s in slices(batch.column(text)):
+            yield fn(batch.slice(s.start, s.stop - s.start))
+
+    return map_batches(df, run, schema)
+
+
+def in_slices(texts: pa.Array, fn: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """A function of a column of texts, applied to a few megabytes at a time."""
+    parts = [fn(texts[s]) for s in slices(texts)]
+    return pa.concat_arrays(parts) if parts else fn(texts)
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower case for A to Z only."""
     return F.translate(c, UPPER, LOWER)

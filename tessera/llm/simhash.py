@@ -26,22 +26,24 @@ an empty result. Other columns are ignored here and kept by ``one_per_class``.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import forget, map_batches, stored
+from tessera.llm.common import forget, map_slices, stored
 
 SEED = 42
 BUCKET_LIMIT = 1024
 N_PIVOTS = 32
 #: Pairs that are looked at together.
 PAIRS = 1 << 20
+#: Rows (of an id and a hash) that are broadcast at most; more go through a shuffle with the texts.
+BROADCAST_ROWS = 1_000_000
 
 
 def pivots(n: int = N_PIVOTS) -> np.ndarray:
@@ -82,12 +84,12 @@ def fingerprint(hashes: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``fp`` (the 64 bits as a signed long) and ``sha`` (a hash of the text) of every row."""
 
-    def run(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(shingle_hashes(t, k)) for t in batch.column(1).to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], ["id", "fp", "sha"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], ["id", "fp", "sha"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("sha")), run, "id long, fp long, sha long")
+    return map_slices(docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("sha")), 1, run, "id long, fp long, sha long")
 
 
 def cut_bits(mask: int, parts: int) -> list[int]:
@@ -237,13 +239,24 @@ def one_per_class(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str = "d
     """The rows of ``docs`` that stay: of each class the one with the least id, and of rows that
     share this id the one with the least hash of the text; of equal rows, one."""
     rows = classes(docs, k, radius, id_col, text_col)
-    keep = stored(rows.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "sha")).alias("r")).select("r.id", "r.sha"), "keep")
+    first = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "sha")).alias("r")
+    keep = stored(rows.groupBy("component_id").agg(first).select("r.id", "r.sha"), "keep")
+    each = rows.groupBy("id", "sha").agg(F.count(F.lit(1)).alias("n")).alias("each")
+    kept = keep.withColumn("stays", F.lit(True)).alias("keep")
+    marked = each.join(kept, F.col("each.id").eqNullSafe(F.col("keep.id")) & (F.col("each.sha") == F.col("keep.sha")), "left")
+    # Rows that go, and rows that stay but are there several times.
+    odd = stored(marked.where("stays is null or n > 1").select("each.id", "each.sha", F.col("stays").isNotNull().alias("again")), "odd")
+    counts = odd.agg(F.count(F.lit(1)).alias("n"), F.count_if("again").alias("again")).first()
+    small = counts["n"] <= BROADCAST_ROWS
     text = F.coalesce(F.col(text_col), F.lit(""))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("keep.id")) & (F.xxhash64(text) == F.col("keep.sha"))
-    kept = docs.join(keep.alias("keep"), same, "left_semi")
-    twice = rows.groupBy("id", "sha").count().where("count > 1").join(keep, rows.id.eqNullSafe(keep.id) & (rows.sha == keep.sha), "left_semi").select("id", "sha")
-    twice = stored(twice, "twice")
-    if twice.isEmpty():
-        return kept
-    again = F.col(id_col).cast("long").eqNullSafe(F.col("twice.id")) & (F.xxhash64(text) == F.col("twice.sha"))
-    return kept.join(twice.alias("twice"), again, "left_anti").union(kept.join(twice.alias("twice"), again, "left_semi").dropDuplicates([id_col]))
+
+    def same() -> Column:
+        return F.col(id_col).cast("long").eqNullSafe(F.col("odd.id")) & (F.xxhash64(text) == F.col("odd.sha"))
+
+    out = (F.broadcast(odd) if small else odd).alias("odd")
+    single = docs.join(out, same(), "left_anti")
+    if not counts["again"]:
+        return single
+    again = odd.where("again")
+    again = (F.broadcast(again) if small else again).alias("odd")
+    return single.union(docs.join(again, same(), "left_semi").dropDuplicates([id_col]))

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold_remainder, map_batches, stored
+from tessera.llm.common import fold_remainder, in_slices, map_batches, small_batches, stored
 
 MAX_TRAIN_ROWS = 20_000
 MAX_TERMS = 3_000
@@ -229,10 +229,14 @@ def score_column(text: Column, lexicon: Lexicon) -> Column:
 
     def run(texts: pa.Array) -> pa.Array:
         a = lexicon.automaton()
+        return in_slices(texts, lambda part: of(part, a))
+
+    def of(texts: pa.Array, a: ahocorasick.Automaton) -> pa.Array:
         f = [features(t, a) for t in texts.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([probability(x, y, lexicon.curve) for x, y, _ in f], pa.float64()), pa.array([n for *_, n in f], pa.int64())], ["score", "n_matches"])
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    small_batches()
     return F.arrow_udf(run, "struct<score: double, n_matches: bigint>")(text)
 
 
