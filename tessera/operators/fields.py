@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import arrays as A
 from tessera.operators.grid import parent_path
 from tessera.plans import constants as K
+from tessera.plans.store import bound
 
 Function = Callable[[list[Column]], Column]
 
@@ -42,7 +43,7 @@ def init_on_boxes(cells: DataFrame, f: Function, dim: int, order: int, basis: st
     nodes, m = _projection("box", dim, order, basis, 2 * order + 1 if quadrature is None else quadrature)
     lo, hi = [F.get("lo", F.lit(d)) for d in range(dim)], [F.get("hi", F.lit(d)) for d in range(dim)]
     values = F.array(*[f([a + (b - a) * t for a, b, t in zip(lo, hi, x, strict=True)]) for x in nodes])
-    return cells.withColumn("_f", values).withColumn("coeffs", A.matrix_times(m, F.col("_f"))).drop("_f")
+    return bound(bound(cells, "_f", values), "coeffs", A.matrix_times(m, F.col("_f"))).drop("_f")
 
 
 def init_on_simplices(simplices: DataFrame, f: Function, dim: int, order: int, basis: str = "monomial", quadrature: int | None = None) -> DataFrame:
@@ -50,7 +51,7 @@ def init_on_simplices(simplices: DataFrame, f: Function, dim: int, order: int, b
     nodes, m = _projection("simplex", dim, order, basis, 2 * order + 1 if quadrature is None else quadrature)
     p = lambda k, d: F.get(F.get("points", F.lit(k)), F.lit(d))
     values = F.array(*[f([p(0, d) + A.added([(p(k + 1, d) - p(0, d)) * t for k, t in enumerate(x)]) for d in range(dim)]) for x in nodes])
-    return simplices.withColumn("_f", values).withColumn("coeffs", A.matrix_times(m, F.col("_f"))).drop("_f")
+    return bound(bound(simplices, "_f", values), "coeffs", A.matrix_times(m, F.col("_f"))).drop("_f")
 
 
 def refined(field: DataFrame, cells: DataFrame) -> DataFrame:
