@@ -23,7 +23,8 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -42,10 +43,10 @@ PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]
 #: The last symbol of a word is another symbol than the same byte inside it.
 _END = 0x10000
 
-#: Pieces whose tokens a worker remembers, in each of two generations.
-REMEMBERED = 100_000
+#: Pieces whose tokens a worker remembers; beyond, it begins anew with the next text.
+REMEMBERED = 250_000
 #: Pairs of tokens whose compatibility is remembered.
-PAIRS = 200_000
+PAIRS = 400_000
 
 
 def byte_alphabet() -> list[str]:
@@ -55,6 +56,20 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in set(shown) else chr(next(hidden)) for b in range(256)]
 
 
+class Memo(dict):
+    """Answers of a function by its argument; those to long arguments aren't kept."""
+
+    def __init__(self, fn: Callable[[str], tuple[int, ...]]) -> None:
+        super().__init__()
+        self.fn = fn
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.fn(piece)
+        if len(piece) < 64:
+            self[piece] = ids
+        return ids
+
+
 class WordBpe:
     """A word-level BPE vocabulary with an end mark, read from a public tokenizer file."""
 
@@ -86,8 +101,7 @@ class WordBpe:
             shown[i] = text.encode() + b" "
         self.offsets = np.concatenate([[0], np.cumsum([len(b) for b in shown])]).astype(np.int64)
         self.texts = np.frombuffer(b"".join(shown), np.uint8)
-        self._new: dict[str, tuple[int, ...]] = {}
-        self._old: dict[str, tuple[int, ...]] = {}
+        self.memo = Memo(self.of_piece)
 
     def _merges(self, merges: list, vocab: dict[str, int]) -> None:
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in merges]
@@ -173,47 +187,33 @@ class WordBpe:
                 at -= length[last]
         return out
 
-    def pieces(self, text: str) -> Iterator[str | int]:
-        """The words of a text after normalisation; special tokens come as ids."""
-        parts = self.split_special.split(text) if self.split_special and "<" in text else [text]
-        for k, part in enumerate(parts):
-            if k % 2:
-                yield self.special[part]
-            elif part:
-                if part.isascii():
-                    yield from self.piece.findall(part.lower())
-                    continue
-                part = self.normalizer.normalize_str(part)
-                if all(map(self._known, set(part))):
-                    yield from self.piece.findall(part)
-                else:
-                    for shown, _ in self.cutter.pre_tokenize_str(part):
-                        yield bytes(map(self.bytes_of.__getitem__, shown)).decode()
+    def pieces(self, text: str) -> list[str]:
+        """The words of a text without special tokens, after normalisation."""
+        if text.isascii():
+            return self.piece.findall(text.lower())
+        text = self.normalizer.normalize_str(text)
+        if all(map(self._known, set(text))):
+            return self.piece.findall(text)
+        return [bytes(map(self.bytes_of.__getitem__, shown)).decode() for shown, _ in self.cutter.pre_tokenize_str(text)]
 
     def _known(self, c: str) -> bool:
         if c not in self.aged:
             self.aged[c] = unicodedata.category(c) != "Cn"
         return self.aged[c]
 
+    def of_piece(self, piece: str) -> tuple[int, ...]:
+        s = piece.translate(self.plain) if piece.isascii() else "".join([self.alphabet[b] for b in piece.encode()])
+        return tuple(self.encode_word(s[:-1] + chr(ord(s[-1]) + _END)))
+
     def encode(self, text: str) -> list[int]:
-        new, old = self._new, self._old
+        memo = self.memo
+        if len(memo) > REMEMBERED:
+            memo.clear()
+        if "<" not in text or self.split_special is None:
+            return list(chain.from_iterable(map(memo.__getitem__, self.pieces(text))))
         out: list[int] = []
-        for piece in self.pieces(text):
-            if isinstance(piece, int):
-                out.append(piece)
-                continue
-            ids = new.get(piece)
-            if ids is None:
-                ids = old.get(piece)
-                if ids is None:
-                    s = piece.translate(self.plain) if piece.isascii() else "".join(self.alphabet[b] for b in piece.encode())
-                    ids = tuple(self.encode_word(s[:-1] + chr(ord(s[-1]) + _END)))
-                if len(piece) < 64:
-                    if len(new) >= REMEMBERED:
-                        self._old, self._new = new, {}
-                        new, old = self._new, self._old
-                    new[piece] = ids
-            out += ids
+        for k, part in enumerate(self.split_special.split(text)):
+            out += [self.special[part]] if k % 2 else chain.from_iterable(map(memo.__getitem__, self.pieces(part)))
         return out
 
     def decode(self, ids: list[int] | np.ndarray) -> str:

@@ -37,7 +37,7 @@ from tessera.llm.hashstore import Counts, Opened, Shards, add_up, blobs_of, gath
 #: No word has white space, so this stands for the end of a text.
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
 #: Bytes of text per shard, and the most shards.
-SHARD_BYTES, MIN_BITS, MAX_BITS = 1 << 23, 4, 12
+SHARD_BYTES, MIN_BITS, MAX_BITS = 1 << 23, 4, 18
 #: Bytes of text that are looked at together.
 SLICE_BYTES = 1 << 22
 LOW = np.uint64(0xFFFFFFFF)
