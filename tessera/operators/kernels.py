@@ -65,6 +65,27 @@ def stable_dt(field: DataFrame, speed: Column, extent: Column, cfl: float) -> Da
     return field.agg((F.min(extent) * cfl / F.max(speed)).alias("dt"))
 
 
+def for_each_block(field: DataFrame, out: str, kernel: Callable[[Callable[[list[int]], Column]], list[Column]], n: int, dim: int, samples: str = "samples") -> DataFrame:
+    """Adds ``out``: n ** dim values per block, made from a getter of the block's own samples.
+
+    The getter takes 1-based indices, the first axis fastest; the kernel lists values in that order.
+    """
+    def get(ix: list[int]) -> Column:
+        return F.get(samples, F.lit(sum((i - 1) * n**d for d, i in enumerate(ix))))
+
+    values = kernel(get)
+    if len(values) != n**dim:
+        raise ValueError(f"a block has {n**dim} samples")
+    return field.withColumn(out, F.array(*values))
+
+
+def exploded_samples(field: DataFrame, n: int, samples: str = "samples") -> DataFrame:
+    """``i``, ``j``, ``value``: the nodes of blocks (``ix``) that share their edge nodes, as one grid."""
+    each = field.select("ix", F.posexplode(samples).alias("k", "value"))
+    at = lambda d: (F.get("ix", F.lit(d)) * (n - 1) + F.floor(F.col("k") / n**d) % n).cast("long")
+    return each.select(at(0).alias("i"), at(1).alias("j"), "value").dropDuplicates(["i", "j"])
+
+
 # Gas dynamics ------------------------------------------------------------------------------------
 
 GAMMA = 1.4

@@ -67,6 +67,28 @@ def leaf_at(points: DataFrame, leaves: DataFrame, dim: int, depth: int) -> DataF
     return tries.join(keyed, ["level", *[f"i{d}" for d in range(dim)]]).groupBy("pid").agg(F.min("cell_id").alias("cell"))
 
 
+def patch_halo(cells: DataFrame, field: DataFrame, coarse: DataFrame, coarse_field: DataFrame, axis: int, side: int, dim: int, level: int, walls: Callable | None = None) -> DataFrame:
+    """``id``, ``value``: what each cell of a level's patches sees across one face (axis from 1).
+
+    ``cells(patch, id, ix, lo, hi)`` are uniform within a patch. First the neighbour in the same
+    patch, then the coarse leaf (``cell_id``, ``level``, ``ix`` in the unit box, of depth ``level`` at
+    most) at the centre of the ghost cell, then ``walls``, a function of the cell's own value, else
+    null. Patches of one level don't see each other.
+    """
+    get = lambda c, d: F.get(c, F.lit(d))
+    step, a = 2 * side - 3, axis - 1
+    own = cells.join(field.select("id", F.col("value").alias("own")), "id")
+    beyond = F.transform("ix", lambda x, i: F.when(i == a, x + step).otherwise(x))
+    near = cells.select("patch", F.col("ix").alias("to"), F.col("id").alias("n_id")).join(field.select(F.col("id").alias("n_id"), F.col("value").alias("near")), "n_id").select("patch", "to", "near")
+    seen = own.withColumn("to", beyond).join(near, ["patch", "to"], "left")
+    width = get("hi", a) - get("lo", a)
+    ghost = F.array(*[(get("lo", d) + get("hi", d)) / 2 + (width * step if d == a else F.lit(0.0)) for d in range(dim)])
+    at = leaf_at(seen.where("near is null").select(F.col("id").alias("pid"), ghost.alias("x")), coarse, dim, level)
+    far = at.join(coarse_field.select(F.col("id").alias("cell"), F.col("value").alias("far")), "cell").select(F.col("pid").alias("id"), "far")
+    wall = walls(F.col("own")) if walls else F.lit(None).cast("double")
+    return seen.join(far, "id", "left").select("id", F.coalesce("near", "far", wall).alias("value"))
+
+
 def step_pipeline(levels: int, state, prolong_level: Callable, update: Callable, restrict_level: Callable):
     """Prolong coarse to fine, update finest first, then the base, then restrict finest first."""
     for k in range(1, levels):

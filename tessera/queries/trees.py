@@ -337,3 +337,24 @@ def refine_events(spark: SparkSession, d: str) -> DataFrame:
     after = grid.numbered(grid.refine(c.select(*grid.COLUMNS), t, 2))
     e = grid.remap(c, after)
     return e.agg(F.count_if(F.col("kind") != "created").alias("n"), F.count_if((F.col("kind") == "kept") & F.col("path").isNotNull() & F.col("old_id").isNotNull() & (F.size("path") >= 2)).alias("k")).crossJoin(c.agg(F.count_if(F.col("is_leaf") & (F.col("level") >= 2)).alias("kept_leaves"))).select("n", "kept_leaves")
+
+
+@query(f"""WITH {PATCH}, w AS (SELECT v1.id, v1.i, v1.j, n.v AS near, c.v AS far FROM v1 LEFT JOIN v1 n ON n.i = v1.i - 1 AND n.j = v1.j LEFT JOIN v0 c ON v1.i = 0 AND c.i = 1 AND c.j = v1.j // 2 + 2)
+SELECT id, CAST(coalesce(near, far) AS DOUBLE) AS value FROM w""")
+def patch_halo(spark: SparkSession, d: str) -> DataFrame:
+    """West of each fine cell: its patch, or the coarse cell beyond the patch's edge."""
+    _, fine, f = _levels(spark, d)
+    k = F.col("id") - 1000
+    cells = fine.select(F.lit(0).alias("patch"), "id", F.array(k % 8, F.floor(k / 8)).cast("array<bigint>").alias("ix"), *[F.array(F.get(c, F.lit(0)) / 64, F.get(c, F.lit(1)) / 16).alias(c) for c in ("lo", "hi")])
+    coarse = grid.uniform_level(spark, 2, 3).select((F.get("ix", F.lit(0)) + 8 * F.get("ix", F.lit(1))).alias("cell_id"), "level", "ix")
+    return patches.patch_halo(cells, f, coarse, f.where("id < 1000"), 1, 1, 2, 3)
+
+
+@query(f"WITH {UNI} SELECT i AS ix, j AS jx, round(v, 6) AS a, round(2 * v + 1, 6) AS b, round(v + 3, 6) AS c FROM q")
+def block_kernel(spark: SparkSession, d: str) -> DataFrame:
+    """A kernel on blocks of 2 x 2 samples that only reads its own block."""
+    f, _ = _uniform(spark, d)
+    blocks = f.select("ix", F.array(*[F.col("value") + k for k in range(4)]).alias("samples"))
+    out = kernels.for_each_block(blocks, "out", lambda s: [s([1, 1]), s([1, 1]) + s([2, 1]), s([2, 2]), s([1, 2])], 2, 2)
+    g = lambda k: F.get("out", F.lit(k))
+    return out.select(F.get("ix", F.lit(0)).alias("ix"), F.get("ix", F.lit(1)).alias("jx"), r6(g(0), "a"), r6(g(1), "b"), r6(g(2), "c"))
