@@ -271,7 +271,7 @@ def bernstein_eval(spark: SparkSession, d: str) -> DataFrame:
     return _coeffs(spark, d).select("id", F.round(A.poly_eval(F.col("c"), [F.col("x"), F.col("y")], 2, "bernstein"), 8).alias("value"))
 
 
-@query(f"WITH {PT}, {COEF} SELECT id, round(c0, 8) AS m0, round(2*(c1-c0), 8) AS m1, round(2*(c2-c0), 8) AS m2, round(c0-2*c1+c3, 8) AS m3, round(2*(c0-c1-c2+c4), 8) AS m4, round(c0-2*c2+c5, 8) AS m5, round(c1, 8) AS back FROM c")
+@query(f"WITH {PT}, {COEF} SELECT id, round(CAST(c0 AS DOUBLE), 8) AS m0, round(CAST(2*(c1-c0) AS DOUBLE), 8) AS m1, round(2*(c2-c0), 8) AS m2, round(CAST(c0-2*c1+c3 AS DOUBLE), 8) AS m3, round(2*(c0-c1-c2+c4), 8) AS m4, round(c0-2*c2+c5, 8) AS m5, round(CAST(c1 AS DOUBLE), 8) AS back FROM c")
 def basis_change(spark: SparkSession, d: str) -> DataFrame:
     m = A.change_basis(F.col("c"), 2, 2, "monomial")
     r = _coeffs(spark, d).select("id", m.alias("m")).select("id", "m", A.change_basis(F.col("m"), 2, 2, "bernstein").alias("b"))

@@ -57,7 +57,7 @@ def pixelization(spark: SparkSession, d: str) -> DataFrame:
     return both.select("n_triangles", (F.abs(F.col("area") - F.col("shared")) < 1e-9).alias("covered"), "mass", "refined", "inverted")
 
 
-@query(f"WITH {TRI} SELECT id, round(2.0, 6) AS c0, round(x2 - x1, 6) AS c1 FROM tri WHERE ((x2 - x1) * (y3 - y1) - (x3 - x1) * (y2 - y1)) <> 0")
+@query(f"WITH {TRI} SELECT id, CAST(2 AS DOUBLE) AS c0, round(x2 - x1, 6) AS c1 FROM tri WHERE ((x2 - x1) * (y3 - y1) - (x3 - x1) * (y2 - y1)) <> 0")
 def poly_remap_to_triangles(spark: SparkSession, d: str) -> DataFrame:
     """The field 2 + x - x1 remapped from cells to triangles is found again in their own coordinates."""
     tri = triangles(spark, d).where(overlap.signed_area() != 0)

@@ -287,7 +287,7 @@ def locate_points(spark: SparkSession, d: str) -> DataFrame:
     return patches.leaf_at(p, c, 2, DEPTH)
 
 
-@query(f"WITH {TREE}, b AS (SELECT id, i / (1 << l) AS x, j / (1 << l) AS y, 1.0 / (1 << l) AS h FROM tree) SELECT id AS cell_id, round(1 + 2 * x - 3 * y + x * y + 1e-9, 5) AS c0, round(h * (2 + y) + 1e-9, 5) AS c1, round(h * (x - 3) + 1e-9, 5) AS c2, round(0.0, 5) AS c3, round(h * h + 1e-9, 5) AS c4 FROM b")
+@query(f"WITH {TREE}, b AS (SELECT id, i / (1 << l) AS x, j / (1 << l) AS y, 1.0 / (1 << l) AS h FROM tree) SELECT id AS cell_id, round(1 + 2 * x - 3 * y + x * y + 1e-9, 5) AS c0, round(h * (2 + y) + 1e-9, 5) AS c1, round(h * (x - 3) + 1e-9, 5) AS c2, CAST(0 AS DOUBLE) AS c3, round(h * h + 1e-9, 5) AS c4 FROM b")
 def init_projection(spark: SparkSession, d: str) -> DataFrame:
     c = grid.with_boxes(_numbered(spark, d), [0.0, 0.0], [1.0, 1.0])
     f = fields.init_on_boxes(c, lambda x: 1.0 + 2 * x[0] - 3 * x[1] + x[0] * x[1], 2, 2)
