@@ -2,8 +2,8 @@
 
 Pairs come from a tile join, never from a theta join: both sides are dealt to the tiles their
 bounding boxes touch, meet by tile, and a pair is kept only in the tile that holds the greater of
-both low corners. Tiles are half open, so no pair is found twice. The measures of boxes, segments
-and triangles are column expressions; tetrahedra, and exact rational measures, are made in Arrow
+both both low corners. Tiles are half open, so no pair is found twice. The measures of boxes and segments
+are column expressions; those of triangles, tetrahedra, and exact rational ones, are made in Arrow
 batches.
 """
 
@@ -17,6 +17,7 @@ from math import comb, factorial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,20 +131,93 @@ def signed_area(p: str = "") -> Column:
     return ((c("x2") - c("x1")) * (c("y3") - c("y1")) - (c("x3") - c("x1")) * (c("y2") - c("y1"))) / 2
 
 
-def overlap_triangles(tri: DataFrame, boxes: DataFrame, order: int = 0, side: list[float] | None = None) -> DataFrame:
+def clip_batch(x: np.ndarray, y: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Polygons of a batch (rows) cut by the sides of their boxes: vertices and their number per row.
+
+    One vertex of all rows at a time, so the work is a few dozen array operations per batch. A
+    triangle cut four times has at most seven vertices.
+    """
+    rows = np.arange(len(x))
+    n = np.full(len(x), x.shape[1])
+    for axis, sign, at in ((0, 1, lo[:, 0]), (0, -1, hi[:, 0]), (1, 1, lo[:, 1]), (1, -1, hi[:, 1])):
+        v = x if axis == 0 else y
+        d = sign * (v - at[:, None])
+        nx, ny, m = np.zeros((len(x), x.shape[1] + 1)), np.zeros((len(x), x.shape[1] + 1)), np.zeros(len(x), np.int64)
+        last = np.maximum(n - 1, 0)
+        ux, uy, du = x[rows, last], y[rows, last], d[rows, last]
+        for k in range(x.shape[1]):
+            live = k < n
+            wx, wy, dw = x[:, k], y[:, k], d[:, k]
+            cross = np.flatnonzero(live & ((du < 0) != (dw < 0)))
+            t = du[cross] / (du[cross] - dw[cross])
+            nx[cross, m[cross]] = ux[cross] + t * (wx[cross] - ux[cross])
+            ny[cross, m[cross]] = uy[cross] + t * (wy[cross] - uy[cross])
+            m[cross] += 1
+            keep = np.flatnonzero(live & (dw >= 0))
+            nx[keep, m[keep]], ny[keep, m[keep]] = wx[keep], wy[keep]
+            m[keep] += 1
+            ux, uy, du = np.where(live, wx, ux), np.where(live, wy, uy), np.where(live, dw, du)
+        x, y, n = nx, ny, m
+    return x, y, n
+
+
+def moments_batch(x: np.ndarray, y: np.ndarray, n: np.ndarray, order: int) -> np.ndarray:
+    """Steger's edge sums for all polygons of a batch."""
+    ix = K.multi_indices(2, order)
+    out = np.zeros((len(x), len(ix)))
+    rows = np.arange(len(x))
+    last = np.maximum(n - 1, 0)
+    ux, uy = x[rows, last], y[rows, last]
+    for k in range(x.shape[1]):
+        live = k < n
+        vx, vy = x[:, k], y[:, k]
+        w = np.where(live, ux * vy - vx * uy, 0.0)
+        px, pu, py, pv = ([c**i for i in range(order + 1)] for c in (vx, ux, vy, uy))
+        for c, (p, q) in enumerate(ix):
+            term = sum(comb(i + j, j) * comb(p + q - i - j, q - j) * px[i] * pu[p - i] * py[j] * pv[q - j] for i in range(p + 1) for j in range(q + 1))
+            out[:, c] += w * term / ((p + q + 2) * (p + q + 1) * comb(p + q, p))
+        ux, uy = np.where(live, vx, ux), np.where(live, vy, uy)
+    return out
+
+
+def overlap_triangles(tri: DataFrame, boxes: DataFrame, order: int = 0, side: list[float] | None = None, columns_only: bool = False) -> DataFrame:
     """``lag_idx``, ``eul_idx``, ``volume``, ``centroid``, ``moments`` of triangles (``id``, x1 ... y3)
-    with boxes (``id``, ``lo``, ``hi``). Triangles of negative area are turned, degenerate ones left out."""
+    with boxes (``id``, ``lo``, ``hi``). Triangles of negative area are turned, degenerate ones left out.
+
+    Pairs come from the tile join. Their measures are taken in Arrow batches, which is some tens of
+    times faster here than the same as column expressions (``columns_only``).
+    """
+    corners = [f"{c}{k}" for k in (1, 2, 3) for c in "xy"]
     sound = triangle_bounds(tri.where(signed_area() != 0))
-    pairs = box_pairs(sound.select("id", "lo", "hi", "x1", "y1", "x2", "y2", "x3", "y3"), boxes.select("id", "lo", "hi"), 2, side)
-    corner = lambda k: F.struct(F.col(f"a_x{k}").cast("double").alias("x"), F.col(f"a_y{k}").cast("double").alias("y"))
-    poly = F.when(signed_area("a_") > 0, F.array(corner(1), corner(2), corner(3))).otherwise(F.array(corner(1), corner(3), corner(2)))
+    pairs = box_pairs(sound.select("id", "lo", "hi", *corners), boxes.select("id", "lo", "hi"), 2, side)
     get = lambda c, d: F.get(c, F.lit(d))
-    clipped = clip_polygon(poly, [get("b_lo", 0), get("b_lo", 1)], [get("b_hi", 0), get("b_hi", 1)])
-    cut = bound(pairs, "poly", clipped).select(F.col("a_id").alias("lag_idx"), F.col("b_id").alias("eul_idx"), "poly")
-    measured = bound(cut, "moments", polygon_moments(F.col("poly"), order)).select("lag_idx", "eul_idx", "moments")
-    v = A.moment_volume(F.col("moments"))
-    middle = A.moment_centroid(F.col("moments"), 2) if order else F.array(F.lit(0.0), F.lit(0.0))
-    return measured.where(v > 0).select("lag_idx", "eul_idx", v.alias("volume"), middle.alias("centroid"), "moments")
+    if columns_only:
+        corner = lambda k: F.struct(F.col(f"a_x{k}").cast("double").alias("x"), F.col(f"a_y{k}").cast("double").alias("y"))
+        poly = F.when(signed_area("a_") > 0, F.array(corner(1), corner(2), corner(3))).otherwise(F.array(corner(1), corner(3), corner(2)))
+        clipped = clip_polygon(poly, [get("b_lo", 0), get("b_lo", 1)], [get("b_hi", 0), get("b_hi", 1)])
+        cut = bound(pairs, "poly", clipped).select(F.col("a_id").alias("lag_idx"), F.col("b_id").alias("eul_idx"), "poly")
+        measured = bound(cut, "moments", polygon_moments(F.col("poly"), order)).select("lag_idx", "eul_idx", "moments")
+        v = A.moment_volume(F.col("moments"))
+        middle = A.moment_centroid(F.col("moments"), 2) if order else F.array(F.lit(0.0), F.lit(0.0))
+        return measured.where(v > 0).select("lag_idx", "eul_idx", v.alias("volume"), middle.alias("centroid"), "moments")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = np.stack([col.to_numpy(zero_copy_only=False) for col in batch.columns[2:]], axis=1) if batch.num_rows else np.zeros((0, 10))
+            x, y = c[:, [0, 2, 4]], c[:, [1, 3, 5]]
+            turned = (x[:, 1] - x[:, 0]) * (y[:, 2] - y[:, 0]) < (x[:, 2] - x[:, 0]) * (y[:, 1] - y[:, 0])
+            x[turned], y[turned] = x[turned][:, [0, 2, 1]], y[turned][:, [0, 2, 1]]
+            m = moments_batch(*clip_batch(x, y, c[:, 6:8], c[:, 8:10]), order)
+            hit = m[:, 0] > 0
+            m = m[hit]
+            middle = m[:, 1:3] / m[:, :1] if order else np.zeros((len(m), 2))
+            who = pa.array(np.flatnonzero(hit))
+            rows = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32)), pa.array(a.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(m[:, 0]), rows(middle), rows(m)], ["lag_idx", "eul_idx", "volume", "centroid", "moments"])
+
+    flat = pairs.select("a_id", "b_id", *[F.col("a_" + c).cast("double").alias(c) for c in corners], *[get("b_" + c, d).cast("double").alias(f"{c}{d}") for c in ("lo", "hi") for d in range(2)])
+    kinds = dict(flat.dtypes)
+    return flat.mapInArrow(measure, f"lag_idx {kinds['a_id']}, eul_idx {kinds['b_id']}, volume double, centroid array<double>, moments array<double>")
 
 
 # Simplices of any dimension, in floating point or exactly ----------------------------------------

@@ -121,6 +121,15 @@ def test_triangle_in_four_leaves_and_outside(spark):
     assert got == {1: pytest.approx(0.15), 3: pytest.approx(0.15)}
 
 
+def test_batches_and_columns_measure_alike(spark):
+    rng = np.random.default_rng(3)
+    tri = spark.createDataFrame([(i, *map(float, rng.random(6) * 4)) for i in range(200)], "id long, x1 double, y1 double, x2 double, y2 double, x3 double, y3 double")
+    cells = boxes(spark, 3, [0.0, 0.0], [4.0, 4.0])
+    got = [{(r.lag_idx, r.eul_idx): (r.volume, *r.moments) for r in overlap.overlap_triangles(tri, cells, 3, columns_only=c).where("volume > 1e-12").collect()} for c in (False, True)]
+    assert got[0].keys() == got[1].keys() and len(got[0]) > 2000
+    assert all(np.allclose(v, got[1][k], atol=1e-9) for k, v in got[0].items())
+
+
 @pytest.mark.parametrize(("dim", "want"), [(2, 0.49), (3, 0.343)])
 def test_translated_frames(spark, dim, want):
     a, b = boxes(spark, 0, [0.0] * dim, [1.0] * dim), boxes(spark, 0, [0.3] * dim, [1.3] * dim)
