@@ -102,6 +102,8 @@ class WordBpe:
         self.offsets = np.concatenate([[0], np.cumsum([len(b) for b in shown])]).astype(np.int64)
         self.texts = np.frombuffer(b"".join(shown), np.uint8)
         self.memo = Memo(self.of_piece)
+        #: Every id in decimal.
+        self.digits = [str(i) for i in range(size)]
 
     def _merges(self, merges: list, vocab: dict[str, int]) -> None:
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in merges]
@@ -165,7 +167,7 @@ class WordBpe:
 
     def encode_word(self, s: str) -> list[int]:
         """Tokens of one word, given as symbols."""
-        end, longest, length = len(s), self.longest, self.length
+        end, longest, length, shorter, fits = len(s), self.longest, self.length, self.shorter, self._fits
         alive = bytearray(b"\1") * (end + 1)
         out: list[int] = []
         at, token = 0, next(longest.iter_long(s))[1]
@@ -173,9 +175,13 @@ class WordBpe:
             last = out[-1] if out else -1
             while token >= 0:
                 to = at + length[token]
-                if alive[to] and (last < 0 or self.compatible(last, token)):
-                    break
-                token = self.shorter[token]
+                if alive[to]:
+                    if last < 0:
+                        break
+                    known = fits.get(last << 32 | token)
+                    if known or known is None and self.compatible(last, token):
+                        break
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at = to
@@ -183,7 +189,7 @@ class WordBpe:
                     token = next(longest.iter_long(s, at))[1]
             else:
                 alive[at] = 0
-                token = self.shorter[out.pop()]
+                token = shorter[out.pop()]
                 at -= length[last]
         return out
 
@@ -262,7 +268,7 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         for t in batch.column(1).to_pylist():
             ids = bpe.encode(t or "")
             n.append(len(ids))
-            a.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+            a.append(hashlib.sha256(" ".join(map(bpe.digits.__getitem__, ids)).encode()).hexdigest())
             b.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
