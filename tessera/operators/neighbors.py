@@ -37,35 +37,39 @@ def is_periodic(spec: list[tuple[str, str]], axis: int) -> bool:
     return spec[axis] == (PERIODIC, PERIODIC)
 
 
-def _asked(cells: DataFrame, dim: int, periodic: list[bool]) -> DataFrame:
-    """One row per leaf, face and coarser-or-equal level: the place of a possible neighbour."""
-    own = leaves(cells).select(F.col("cell_id").alias("cell"), "level", "ix")
-    faces = own.withColumn("f", F.explode(F.array(*[F.struct(F.lit(a + 1).alias("axis"), F.lit(s).alias("side")) for a in range(dim) for s in (1, 2)]))).select("cell", "level", "ix", "f.*")
-    step = F.col("side") * 2 - 3
-    n = shift_left(F.lit(1), F.col("level"))
-    to = F.transform("ix", lambda x, i: F.when(i == F.col("axis") - 1, x + step).otherwise(x))
-    wrapped = F.zip_with(to, F.array(*[F.lit(p) for p in periodic]), lambda x, p: F.when(p, F.pmod(x, n)).otherwise(x))
-    beyond = faces.withColumn("to", wrapped).withColumn("crossed", to != F.col("to"))
-    inside = beyond.where(F.forall("to", lambda x: (x >= 0) & (x < n)))
-    up = inside.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("level"))))
-    return up.select("cell", "axis", "side", "crossed", F.col("level").alias("own_level"), (F.col("level") - F.col("k")).alias("level"), F.transform("to", lambda x: F.call_function("shiftright", x, F.col("k"))).alias("ix"))
-
-
 def neighbors(cells: DataFrame, dim: int, boundaries: list[tuple[str, str]] | None = None) -> DataFrame:
     """``cell``, ``axis`` (from 1), ``side`` (1 low, 2 high), ``nbr`` of an isotropic, numbered tree.
 
+    Places are plain integer columns, and only levels that leaves have are asked for, so on a uniform
+    grid each face asks once. The leaves are the hashed side of a shuffled join: what is asked is
+    several times as many rows, which must not be broadcast on a guess from the leaves' file size.
     Across a periodic wall only the lowest-numbered partner of a face is kept.
     """
     periodic = [is_periodic(check_boundaries(boundaries), a) for a in range(dim)] if boundaries else [False] * dim
-    asked = _asked(cells, dim, periodic)
-    known = leaves(cells).select(F.col("cell_id").alias("nbr"), "level", "ix")
-    coarser = asked.join(known, ["level", "ix"])
-    same = coarser.select("cell", "axis", "side", "nbr", "crossed")
-    back = coarser.where(F.col("level") < F.col("own_level")).select(F.col("nbr").alias("cell"), "axis", (3 - F.col("side")).alias("side"), F.col("cell").alias("nbr"), "crossed")
-    every = same.unionByName(back)
+    names = [f"i{d}" for d in range(dim)]
+    own = leaves(cells).select("cell_id", "level", *[F.get("ix", F.lit(d)).alias(n) for d, n in enumerate(names)])
+    lowest = own.agg(F.min("level")).first()[0] or 0
+    faces = own.select("*", F.explode(F.array(*[F.struct(F.lit(a + 1).alias("axis"), F.lit(s).alias("side")) for a in range(dim) for s in (1, 2)])).alias("f"))
+    n = shift_left(F.lit(1), F.col("level"))
+    step = F.col("f.side") * 2 - 3
+    beyond = [F.when(F.col("f.axis") == d + 1, F.col(x) + step).otherwise(F.col(x)) for d, x in enumerate(names)]
+    places = [F.pmod(x, n) if p else x for x, p in zip(beyond, periodic, strict=True)]
+    crossed = reduce(lambda a, b: a | b, [x != y for x, y in zip(beyond, places, strict=True)])
+    asked = faces.select(F.col("cell_id").alias("cell"), F.col("f.axis").alias("axis"), F.col("f.side").alias("side"), F.col("level").alias("own_level"), crossed.alias("crossed"), *[x.alias(name) for x, name in zip(places, names, strict=True)])
+    size = shift_left(F.lit(1), F.col("own_level"))
+    asked = asked.where(reduce(lambda a, b: a & b, [(F.col(x) >= 0) & (F.col(x) < size) for x in names]))
+    up = asked.select("*", F.explode(F.sequence(F.lit(0), F.col("own_level") - lowest)).alias("k"))
+    keyed = up.select("cell", "axis", "side", "crossed", "own_level", (F.col("own_level") - F.col("k")).alias("level"), *[F.call_function("shiftright", F.col(x), F.col("k")).alias(x) for x in names])
+    known = own.withColumnRenamed("cell_id", "nbr").hint("shuffle_hash")
+    found = keyed.join(known, ["level", *names])
+    # A coarser neighbour has this cell among its finer ones.
+    there = F.struct("cell", "axis", "side", "nbr")
+    back = F.struct(F.col("nbr").alias("cell"), "axis", (3 - F.col("side")).alias("side"), F.col("cell").alias("nbr"))
+    both = F.when(F.col("level") < F.col("own_level"), F.array(there, back)).otherwise(F.array(there))
+    every = found.select("crossed", F.explode(both).alias("e")).select("e.*", "crossed")
     if not any(periodic):
-        return every.select("cell", "axis", "side", "nbr")
-    inner = every.where("not crossed").select("cell", "axis", "side", "nbr")
+        return every.drop("crossed")
+    inner = every.where("not crossed").drop("crossed")
     walls = every.where("crossed").groupBy("cell", "axis", "side").agg(F.min("nbr").alias("nbr"))
     return inner.unionByName(walls)
 
