@@ -225,22 +225,28 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """``id``, ``fp``, ``sha`` and ``component_id`` of every row."""
+    """``id``, ``fp``, ``sha``, ``component_id`` and ``label`` (which tells classes without ids apart) of every row."""
     fps = stored(fingerprints(docs, k, id_col, text_col), "fingerprints")
     distinct = stored(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     found = components(links(distinct.select("fp"), radius, bucket_limit))
     named = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = stored(named.join(least, "label").select("fp", "component_id"), "classes")
-    return fps.join(of, "fp").select("id", "fp", "sha", "component_id")
+    of = stored(named.join(least, "label").select("fp", "label", "component_id"), "classes")
+    return fps.join(of, "fp").select("id", "fp", "sha", "component_id", "label")
 
 
 def one_per_class(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each class the one with the least id, and of rows that
-    share this id the one with the least hash of the text; of equal rows, one."""
+    share this id the one with the least hash of the text; of equal rows, one. Classes of one least id
+    count as one; each class that has only null ids keeps a row."""
     rows = classes(docs, k, radius, id_col, text_col)
+    return staying(docs, rows.withColumn("label", F.when(F.col("component_id").isNull(), F.col("label"))), ["component_id", "label"], id_col, text_col)
+
+
+def staying(docs: DataFrame, rows: DataFrame, group: list[str], id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` with the least id and hash of the text of each group of ``rows``, each once."""
     first = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "sha")).alias("r")
-    keep = stored(rows.groupBy("component_id").agg(first).select("r.id", "r.sha"), "keep")
+    keep = stored(rows.groupBy(*group).agg(first).select("r.id", "r.sha").distinct(), "keep")
     each = rows.groupBy("id", "sha").agg(F.count(F.lit(1)).alias("n")).alias("each")
     kept = keep.withColumn("stays", F.lit(True)).alias("keep")
     marked = each.join(kept, F.col("each.id").eqNullSafe(F.col("keep.id")) & (F.col("each.sha") == F.col("keep.sha")), "left")
@@ -259,4 +265,7 @@ def one_per_class(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str = "d
         return single
     again = odd.where("again")
     again = (F.broadcast(again) if small else again).alias("odd")
-    return single.union(docs.join(again, same(), "left_semi").dropDuplicates([id_col]))
+    # By id and text: other texts with this id, or without one, are rows of their own.
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("sha"))
+    once = row.join(again, F.col("row")[id_col].cast("long").eqNullSafe(F.col("odd.id")) & (row.sha == F.col("odd.sha")), "left_semi").dropDuplicates(["id", "sha"])
+    return single.union(once.select("row.*"))

@@ -96,6 +96,11 @@ def test_one_of_each_class_stays(spark):
     assert len(ids) == len(set(ids)) and set(ids) == want
 
 
+def test_repeated_texts_without_ids_all_stay(spark):
+    docs = spark.createDataFrame([(None, "x y"), (None, "x y"), (None, "some other words"), (None, "some other words"), (7, "one with id"), (7, "one with id")], "doc_id long, text string")
+    assert sorted(r.text for r in simhash.one_per_class(docs).collect()) == ["one with id", "some other words", "x y"]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     items = spark.createDataFrame([], "item_id long, text string")
