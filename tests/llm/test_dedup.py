@@ -101,6 +101,50 @@ def test_repeated_texts_without_ids_all_stay(spark):
     assert sorted(r.text for r in simhash.one_per_class(docs).collect()) == ["one with id", "some other words", "x y"]
 
 
+def slow_near(texts, k=5, threshold=0.8):
+    """Components of the pairs that reach the similarity, as a label per text, by comparing all pairs."""
+    sets = [Counter(tuple(words(t)[i : i + k]) for i in range(max(1, len(words(t)) - k + 1))) for t in texts]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = (sets[a] & sets[b]).total()
+            if group[a] != group[b] and both / (sets[a].total() + sets[b].total() - both) >= threshold:
+                group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
+    return group
+
+
+def test_near_copies_of_nothing(spark):
+    none = spark.createDataFrame([], DOCS)
+    assert simhash.near_classes(none).count() == 0 and simhash.one_per_near_class(none).count() == 0
+
+
+def test_near_copies_equal_brute_force(spark):
+    rng = random.Random(17)
+    texts = [r.text for r in documents(spark).collect()]
+    for n in (8, 30, 150, 400):
+        for _ in range(6):
+            w = sentence(rng, n).split()
+            texts.append(" ".join(w))
+            for share in (0.01, 0.02, 0.04, 0.1):
+                texts.append(" ".join("other" if rng.random() < share else x for x in w))
+            texts += [" ".join(w[n // 6 :]), " ".join(w[: n - n // 5 - 4]).upper()]
+    hub = sentence(rng, 150).split()
+    texts += [" ".join(x if rng.random() > 0.03 else f"w{rng.randrange(4000)}x" for x in hub) for _ in range(150)]
+    # Ids twice, and none: classes are told apart by more than their ids.
+    docs = spark.createDataFrame([(None if i % 9 == 0 else i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = slow_near(texts)
+    label = {}
+    for r in simhash.near_classes(docs).collect():
+        label.setdefault(r.label, set()).add((r.id, r.sha))
+    sha = [r.sha for r in docs.selectExpr("xxhash64(coalesce(text, '')) AS sha").collect()]
+    expected = {}
+    for i, g in enumerate(want):
+        expected.setdefault(g, set()).add((None if i % 9 == 0 else i // 2, sha[i]))
+    assert sorted(map(str, map(sorted, ([tuple(map(str, x)) for x in c] for c in label.values())))) == sorted(map(str, map(sorted, ([tuple(map(str, x)) for x in c] for c in expected.values()))))
+    kept = simhash.one_per_near_class(docs)
+    assert kept.columns == docs.columns and kept.count() == len(expected) < len(set(texts))
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     items = spark.createDataFrame([], "item_id long, text string")
