@@ -1,11 +1,13 @@
 """Substring deduplication by content-defined chunks (operator 1).
 
 A gear hash rolls over the bytes of a text: h = 2h + gear[byte] in 32 bits, so it depends on the
-last 32 bytes only. A chunk ends behind a blank (or tab or line end) where the top bits of h are
+last 16 bytes only. A chunk ends behind a blank (or tab or line end) where the top bits of h are
 zero, not before ``MIN_BYTES`` and at the latest after ``MAX_BYTES``. An insertion moves the ends
 near it; behind, the same ends are found again. Chunks are compared by a 128-bit digest. All
 occurrences but the first (least id, then place) are repeats; they are cut out where they form a
-run of at least ``min_run`` bytes, so that single short chunks which meet by chance stay.
+run of at least ``min_run`` bytes, so that single short chunks which meet by chance stay. A repeated
+passage loses to its surroundings what lies before its first common end and behind its last one:
+some 45 bytes of a passage of 51 words.
 
 Digests are counted with partial sums in each task; only digests seen twice meet their occurrences
 again, in a join that Spark splits if one digest is very frequent. Places are collected per text,
@@ -29,15 +31,16 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import map_batches, slices, small_batches, stored
 
-WINDOW = 32
-MIN_BYTES, MAX_BYTES = 32, 256
-#: Zero bits asked for behind a blank: one blank in four ends a chunk.
-ZERO_BITS = 2
+#: Of the hash, in bytes; not more than MIN_BYTES.
+WINDOW = 16
+MIN_BYTES, MAX_BYTES = 16, 256
+#: Zero bits asked for behind a blank: one blank in two ends a chunk.
+ZERO_BITS = 1
 #: Texts with repeats, and places of theirs, that are broadcast at most (some 30 MB); more go
 #: through a shuffle with the texts.
 BROADCAST_TEXTS, BROADCAST_PLACES = 200_000, 4_000_000
 #: Bytes of adjacent repeated chunks that are cut out; less may repeat by chance.
-MIN_RUN = 96
+MIN_RUN = 64
 
 
 def gear(seed: int = 1) -> np.ndarray:
@@ -51,7 +54,7 @@ BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
-    """The gear hash behind each byte: window sums of 1, 2, 4, ... 32 bytes."""
+    """The gear hash behind each byte: window sums of 1, 2, 4, ... 16 bytes."""
     h = GEAR[data]
     width = 1
     while width < WINDOW:
@@ -64,7 +67,7 @@ def rolling(data: np.ndarray) -> np.ndarray:
 def ends_of(data: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> list[list[int]]:
     """Chunk ends of each text in a buffer; a text lies at ``begins[i] : stops[i]``.
 
-    As no chunk ends within its first 32 bytes, no end depends on bytes before its chunk.
+    As no chunk ends within its first 16 bytes, no end depends on bytes before its chunk.
     """
     h = rolling(data)
     cuts = np.flatnonzero(BLANK[data] & ((h >> np.uint32(32 - ZERO_BITS)) == 0)) + 1

@@ -208,6 +208,16 @@ def test_repeated_passage_is_cut_once_kept(spark):
     assert all(x.removed_bytes > 0.4 * len(passage) for i, x in r.items() if i)
 
 
+def test_passages_just_over_fifty_words_are_cut(spark):
+    rng = random.Random(12)
+    passages = [sentence(rng, rng.randrange(51, 61)) for _ in range(150)]
+    docs = [(2 * i + j, f"{sentence(rng, rng.randrange(20, 60))} {p} {sentence(rng, rng.randrange(20, 60))}") for i, p in enumerate(passages) for j in range(2)]
+    r = {x.doc_id: x.removed_bytes for x in chunks.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    share = [r[2 * i + 1] / len(p) for i, p in enumerate(passages)]
+    assert all(r[2 * i] == 0 for i in range(150))
+    assert min(share) > 0 and sum(x < 0.5 for x in share) <= 3 and sum(share) / 150 > 0.8
+
+
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(11)
     items = [(i, sentence(rng, rng.randrange(8, 40))) for i in range(20)] + [(20, items_text := "four words only here"), (21, None), (22, " "), (23, items_text)]
