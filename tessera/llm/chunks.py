@@ -2,7 +2,9 @@
 
 A gear hash rolls over the bytes of a text: h = 2h + gear[byte] in 32 bits, so it depends on the
 last 16 bytes only. A chunk ends behind a blank (or tab or line end) where the top bits of h are
-zero, not before ``MIN_BYTES`` and at the latest after ``MAX_BYTES``. An insertion moves the ends
+zero, not before ``MIN_BYTES`` and at the latest after ``MAX_BYTES``. Where no blank has come
+for ``FAR`` bytes (Chinese, Japanese, Thai, encoded blobs) it ends behind any character with more
+such zero bits. An insertion moves the ends
 near it; behind, the same ends are found again. Chunks are compared by a 128-bit digest. All
 occurrences but the first (least id, then place) are repeats; they are cut out where they form a
 run of at least ``min_run`` bytes, so that single short chunks which meet by chance stay. A repeated
@@ -36,6 +38,8 @@ WINDOW = 16
 MIN_BYTES, MAX_BYTES = 16, 256
 #: Zero bits asked for behind a blank: one blank in two ends a chunk.
 ZERO_BITS = 1
+#: Bytes without a blank behind which any character may end a chunk, and the zero bits asked for there.
+FAR, FAR_BITS = 64, 4
 #: Texts with repeats, and places of theirs, that are broadcast at most (some 30 MB); more go
 #: through a shuffle with the texts.
 BROADCAST_TEXTS, BROADCAST_PLACES = 200_000, 4_000_000
@@ -70,7 +74,13 @@ def ends_of(data: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> list[lis
     As no chunk ends within its first 16 bytes, no end depends on bytes before its chunk.
     """
     h = rolling(data)
-    cuts = np.flatnonzero(BLANK[data] & ((h >> np.uint32(32 - ZERO_BITS)) == 0)) + 1
+    blank = BLANK[data]
+    cuts = np.flatnonzero(blank & ((h >> np.uint32(32 - ZERO_BITS)) == 0)) + 1
+    far = np.flatnonzero((h[:-1] >> np.uint32(32 - FAR_BITS) == 0) & (data[1:] & 0xC0 != 0x80)) + 1
+    # Bytes since the last blank, or since the text began.
+    since = np.sort(np.concatenate([np.flatnonzero(blank) + 1, begins]))
+    far = far[far - np.append(since, 0)[np.searchsorted(since, far, "right") - 1] >= FAR]
+    cuts = np.sort(np.concatenate([cuts, far]))
     out = []
     first, last = np.searchsorted(cuts, begins, "left").tolist(), np.searchsorted(cuts, stops, "right").tolist()
     for a, z, i, j in zip(begins.tolist(), stops.tolist(), first, last, strict=True):

@@ -218,6 +218,15 @@ def test_passages_just_over_fifty_words_are_cut(spark):
     assert min(share) > 0 and sum(x < 0.5 for x in share) <= 3 and sum(share) / 150 > 0.8
 
 
+def test_repeats_without_blanks_are_cut_at_any_offset(spark):
+    rng = random.Random(13)
+    for letters in ("".join(map(chr, range(0x4E00, 0x5E00))), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
+        passage, other = ("".join(rng.choice(letters) for _ in range(1500)) for _ in range(2))
+        docs = [(1, other[:700] + passage), (2, "a few words " + other[700:811] + passage), (3, passage[:600] + "X" + passage[600:])]
+        r = {x.doc_id: x for x in chunks.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert r[1].removed_bytes == 0 and min(r[2].removed_bytes, r[3].removed_bytes) > 0.8 * len(passage.encode())
+
+
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(11)
     items = [(i, sentence(rng, rng.randrange(8, 40))) for i in range(20)] + [(20, items_text := "four words only here"), (21, None), (22, " "), (23, items_text)]
