@@ -154,10 +154,10 @@ def stars(fp: np.ndarray, bucket_end: np.ndarray, radius: int) -> tuple[np.ndarr
             low = np.minimum(label[a], label[b])
             if (label[a] == low).all() and (label[b] == low).all():
                 break
-            np.minimum.at(label, label[a], low)
-            np.minimum.at(label, label[b], low)
-            np.minimum.at(label, a, low)
-            np.minimum.at(label, b, low)
+            # Roots only: another label of a row would cut it off from those it was linked to before.
+            u, v = label[a], label[b]
+            np.minimum.at(label, u, low)
+            np.minimum.at(label, v, low)
             while (label != label[label]).any():
                 label = label[label]
     while (label != label[label]).any():

@@ -145,6 +145,23 @@ def test_near_copies_equal_brute_force(spark):
     assert kept.columns == docs.columns and kept.count() == len(expected) < len(set(texts))
 
 
+def test_stars_keep_links_of_earlier_blocks(monkeypatch):
+    """Random graphs whose edges come in two blocks, against plain union."""
+    rng = np.random.default_rng(4)
+    for _ in range(5000):
+        n = int(rng.integers(4, 12))
+        blocks = [np.sort(rng.integers(0, n, (int(rng.integers(1, n)), 2)), axis=1) for _ in range(2)]
+        monkeypatch.setattr(simhash, "verified", lambda *_, b=blocks: iter([(x[:, 0], x[:, 1]) for x in b]))
+        want = list(range(n))
+        for a, b in np.concatenate(blocks).tolist():
+            want = [min(want[a], want[b]) if w in (want[a], want[b]) else w for w in want]
+        u, v = simhash.stars(np.arange(n, dtype=np.uint64), np.full(n, n), 4)
+        got = list(range(n))
+        for x, y in zip(u.tolist(), v.tolist(), strict=True):
+            got[x] = y
+        assert got == want
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     items = spark.createDataFrame([], "item_id long, text string")
