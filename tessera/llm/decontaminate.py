@@ -14,7 +14,8 @@ sorted or shuffled by word. The shuffles carry places (a few numbers per hit) an
 documents with hits. The items' shingles are broadcast only if there are at most
 ``BROADCAST_ROWS`` of them; else the same joins shuffle.
 
-Defined cases. Words are lower-cased. A text of fewer than k words is one shingle. A document
+Defined cases. Words are lower-cased. A text of fewer than k words is one shingle; items
+of fewer words are held against shingles of their own length. A document
 shorter than an item is one window. Null and blank texts have no windows; items without words match
 nothing. A null id is a key like any other; rows with equal id and text are one document, rows with
 equal id and other text are told apart. Repeated items match each by itself. Empty tables give an
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import stored, words
 
 K = 5
-RADIUS = 16
+#: Of pairs of similarity 0.8 some 1 in 10,000 is expected to differ in more bits (1 in 100 beyond 16).
+RADIUS = 20
 THRESHOLD = 0.8
 #: Rows of (hash, size) that are broadcast at most: 16 bytes each.
 BROADCAST_ROWS = 2_000_000
@@ -111,6 +113,17 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 def matches(docs: DataFrame, items: DataFrame, k: int = K, radius: int = RADIUS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``sha``, ``item_id``, ``start`` (word, from 0), ``n_words``, ``distance``, ``similarity``:
     the best window of each document for each item it holds."""
+    size = F.size(words(F.lower(F.coalesce("text", F.lit("")))))
+    # At most k - 1 sizes.
+    short = sorted(r[0] for r in items.select(size.alias("n")).where((F.col("n") > 0) & (F.col("n") < k)).distinct().collect())
+    out = matches_of(docs, items.where(size >= k) if short else items, k, radius, threshold, id_col, text_col)
+    for n in short:
+        out = out.union(matches_of(docs, items.where(size == n), n, radius, threshold, id_col, text_col))
+    return out
+
+
+def matches_of(docs: DataFrame, items: DataFrame, k: int, radius: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """``matches`` with shingles of k words for all items."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("sha"), text.alias("text"))
     bench = items.select("item_id", words(F.lower(F.coalesce("text", F.lit("")))).alias("w")).where(F.size("w") > 0)

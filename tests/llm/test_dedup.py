@@ -279,6 +279,16 @@ def test_decontamination_equals_brute_force(spark):
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect()} - {i for i, _ in want}
 
 
+def test_short_items_and_wide_pairs_are_found(spark):
+    rng = random.Random(23)
+    items = [(i, sentence(rng, 35)) for i in range(800)] + [(900, "three rare words"), (901, "single")]
+    held = [(i, " ".join(t.split()[:32]) + " and other ends") for i, t in items[:800]] + [(900, "here are Three rare words too inside"), (901, "a single one of many words"), (902, "three rare other words")]
+    found = decontaminate.matches(spark.createDataFrame(held, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.id, r.item_id) for r in found.select("id", "item_id").collect()}
+    assert got <= {(i, i) for i, _ in items} and {(900, 900), (901, 901)} <= got
+    assert len(got) >= 801
+
+
 def test_native_plan_has_no_python(spark):
     plan = decontaminate.matches(documents(spark), spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
