@@ -4,16 +4,17 @@ A gear hash rolls over the bytes of a text: h = 2h + gear[byte] in 32 bits, so i
 last 16 bytes only. A chunk ends behind a blank (or tab or line end) where the top bits of h are
 zero, not before ``MIN_BYTES`` and at the latest after ``MAX_BYTES``. Where no blank has come
 for ``FAR`` bytes (Chinese, Japanese, Thai, encoded blobs) it ends behind any character with more
-such zero bits. An insertion moves the ends
-near it; behind, the same ends are found again. Chunks are compared by a 128-bit digest. All
-occurrences but the first (least id, then place) are repeats; they are cut out where they form a
-run of at least ``min_run`` bytes, so that single short chunks which meet by chance stay. A repeated
-passage loses to its surroundings what lies before its first common end and behind its last one:
-some 45 bytes of a passage of 51 words.
-
-Digests are counted with partial sums in each task; only digests seen twice meet their occurrences
-again, in a join that Spark splits if one digest is very frequent. Places are collected per text,
-never per digest.
+such zero bits. An insertion moves the ends near it; behind, the same ends are found again. Chunks
+are compared by a 128-bit digest. All occurrences but the first (least id, then hash of the text,
+then place) are repeats; they are cut out where they form a run of at least ``min_run`` bytes, so
+that single short chunks which meet by chance stay. A repeated passage loses to its surroundings
+what lies before its first common end and behind its last one: some 45 bytes of a passage of 51 words.
+
+There is one shuffle of chunks. A worker sorts a few megabytes of text at a time by digest: of each
+digest only the first occurrence there goes on under it, as the others are known for repeats, so
+that a very frequent chunk is one row per slice. A window over each digest finds the first of all.
+What repeats is collected per text, never per digest, and joined into runs; texts are not cut into
+chunks again.
 
 Defined cases. A null text counts as empty and comes back as null; an empty text has no chunks.
 A null id comes after all others. Rows with equal id and text are one text: they repeat other
@@ -28,10 +29,10 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches, slices, small_batches, stored
+from tessera.llm.common import map_batches, slices, stored
 
 #: Of the hash, in bytes; not more than MIN_BYTES.
 WINDOW = 16
@@ -40,9 +41,11 @@ MIN_BYTES, MAX_BYTES = 16, 256
 ZERO_BITS = 1
 #: Bytes without a blank behind which any character may end a chunk, and the zero bits asked for there.
 FAR, FAR_BITS = 64, 4
-#: Texts with repeats, and places of theirs, that are broadcast at most (some 30 MB); more go
+#: A span is one number: its first byte times this, and its size.
+SPAN = 1 << 12
+#: Texts with repeats, and spans of theirs, that are broadcast at most (some 30 MB); more go
 #: through a shuffle with the texts.
-BROADCAST_TEXTS, BROADCAST_PLACES = 200_000, 4_000_000
+BROADCAST_TEXTS, BROADCAST_SPANS = 200_000, 1_000_000
 #: Bytes of adjacent repeated chunks that are cut out; less may repeat by chance.
 MIN_RUN = 64
 
@@ -117,8 +120,25 @@ def buffer_of(text: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray]:
     return b"".join(parts), stops - np.array([len(p) for p in parts], np.int64), stops
 
 
+def digests_of(raw: bytes, every: list[list[int]], begins: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Two halves of the digest of every chunk, one after the other, and its span within its text."""
+    n = sum(map(len, every))
+    digest, out, k, spans = xxhash.xxh3_128_digest, bytearray(16 * n), 0, np.empty(n, np.int64)
+    for at, ends in zip(begins, every, strict=True):
+        edge = np.array([at, *ends], np.int64)
+        spans[k : k + len(ends)] = (edge[:-1] - at) * SPAN + np.diff(edge)
+        for end in ends:
+            out[16 * k : 16 * k + 16] = digest(raw[at:end])
+            at, k = end, k + 1
+    return np.frombuffer(bytes(out), ">i8").reshape(-1, 2).astype(np.int64), spans
+
+
 def chunks(keyed: DataFrame) -> DataFrame:
-    """``hi``, ``lo`` (the digest), ``id``, ``sha``, ``place`` of every chunk of (``id``, ``sha``, ``text``)."""
+    """``hi``, ``lo`` (the digest), ``id``, ``sha``, ``span`` of the chunks of (``id``, ``sha``, ``text``).
+
+    Of the chunks of one digest in a slice only the first goes under its digest. The others are
+    repeats already: they have a negative span, and go under their own text and place.
+    """
 
     def run(whole_batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
         for part in slices(whole_batch.column(2)):
@@ -127,22 +147,27 @@ def chunks(keyed: DataFrame) -> DataFrame:
     def of_slice(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
         raw, begins, stops = buffer_of(batch.column(2))
         every = ends_of(np.frombuffer(raw, np.uint8), begins, stops)
-        sizes = np.array([len(e) for e in every], np.int64)
-        n = int(sizes.sum())
-        digest, out, k = xxhash.xxh3_128_digest, bytearray(16 * n), 0
-        for at, ends in zip(begins.tolist(), every, strict=True):
-            for end in ends:
-                out[k : k + 16] = digest(raw[at:end])
-                at, k = end, k + 16
-        halves = np.frombuffer(bytes(out), ">i8").reshape(-1, 2).astype(np.int64)
-        owner = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-        place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        for i in range(0, n, 1 << 16):
-            part = slice(i, i + (1 << 16))
-            who = owner[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(halves[part, 0]), pa.array(halves[part, 1]), batch.column(0).take(who), batch.column(1).take(who), pa.array(place[part].astype(np.int32))], ["hi", "lo", "id", "sha", "place"])
-
-    return map_batches(keyed.select("id", "sha", "text"), run, "hi long, lo long, id long, sha long, place int")
+        if not raw:
+            return
+        halves, spans = digests_of(raw, every, begins.tolist())
+        owner = np.repeat(np.arange(len(every)), [len(e) for e in every])
+        ids, shas = (batch.column(k).to_numpy() for k in (0, 1))
+        rows = np.stack([halves[:, 0], halves[:, 1], ids[owner], shas[owner], spans])
+        rows = rows[:, np.argsort(rows[0], kind="stable")]
+        same = rows[0, 1:] == rows[0, :-1]
+        several = np.append(same, False) | np.append(False, same)
+        some = rows[:, several]
+        some = some[:, np.lexsort(some[::-1])]
+        new = np.append(True, (some[:2, 1:] != some[:2, :-1]).any(axis=0))[: some.shape[1]]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        # Equal rows of the table are one text, no repeats of each other.
+        later = some[:, (some[2:] != some[2:, first]).any(axis=0)]
+        later[0], later[1], later[4] = later[3], later[2] ^ later[4], -later[4]
+        rows = np.concatenate([rows[:, ~several], some[:, new], later], axis=1)
+        for i in range(0, rows.shape[1], 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows[:, i : i + (1 << 16)]], ["hi", "lo", "id", "sha", "span"])
+
+    return map_batches(keyed.select("id", "sha", "text"), run, "hi long, lo long, id long, sha long, span long")
 
 
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -150,79 +175,71 @@ def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), F.xxhash64(text).alias("sha"), text.alias("text"))
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``sha``, ``places``: the chunks of each text that occur earlier."""
-    every = chunks(keyed_texts(docs, id_col, text_col))
-    # One number orders occurrences by id and place; a decimal keeps the aggregation in place.
-    rank = (F.col("id").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(11,0)") + F.col("place")).cast("decimal(38,0)")
-    first = every.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).where("n > 1").select("hi", "lo", "first")
-    again = every.join(first, ["hi", "lo"]).where(rank != F.col("first"))
-    return stored(again.groupBy("id", "sha").agg(F.array_sort(F.collect_set("place")).alias("places")), "repeats")
-
-
-def cut_out(text: pa.Array, places: pa.Array, min_run: pa.Array) -> pa.Array:
-    """Number of chunks, byte spans cut out, and the text that stays."""
-    least = min_run[0].as_py() if len(min_run) else 0
-    parts = [cut_slice(text[s], places[s], least) for s in slices(text)]
-    return pa.concat_arrays(parts) if parts else cut_slice(text, places, least)
-
-
-def cut_slice(text: pa.Array, places: pa.Array, least: int) -> pa.Array:
-    raw, begins, stops = buffer_of(text)
-    every = ends_of(np.frombuffer(raw, np.uint8), begins, stops)
-    n, spans, texts = [], [], []
-    for a, z, ends, where, valid in zip(begins.tolist(), stops.tolist(), every, places.to_pylist(), text.is_valid().to_pylist(), strict=True):
-        runs: list[list[int]] = []
-        for p in where or ():
-            b = ends[p - 1] if p else a
-            if runs and runs[-1][1] == b:
-                runs[-1][1] = ends[p]
-            else:
-                runs.append([b, ends[p]])
-        runs = [r for r in runs if r[1] - r[0] >= least]
-        kept, at = [], a
-        for b, e in runs:
-            kept.append(raw[at:b])
-            at = e
-        kept.append(raw[at:z])
-        n.append(len(ends))
-        spans.append([{"b": b - a, "e": e - a} for b, e in runs])
-        texts.append(b"".join(kept).decode() if valid else None)
-    kind = pa.list_(pa.struct([("b", pa.int32()), ("e", pa.int32())]))
-    return pa.StructArray.from_arrays([pa.array(n, pa.int32()), pa.array(spans, kind), pa.array(texts, pa.string())], ["n_chunks", "spans", "text"])
-
-
-def cut(text: Column, places: Column, min_run: int) -> Column:
-    kind = "struct<n_chunks: int, spans: array<struct<b: int, e: int>>, text: string>"
-    small_batches()
-    return F.arrow_udf(cut_out, kind)(text, places, F.lit(min_run))
-
-
-def joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """All rows of ``docs`` as ``d``, with the places of their repeats as ``r``."""
-    found = repeats(docs, id_col, text_col)
-    size = found.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("places")), F.lit(0)).alias("places")).first()
-    small = size["n"] <= BROADCAST_TEXTS and size["places"] <= BROADCAST_PLACES
+def merged(spans: list[int] | None, least: int) -> list[dict[str, int]]:
+    """Runs of adjacent chunks, of at least so many bytes."""
+    runs: list[list[int]] = []
+    for begin, size in sorted(divmod(x, SPAN) for x in spans or ()):
+        if runs and runs[-1][1] == begin:
+            runs[-1][1] += size
+        else:
+            runs.append([begin, begin + size])
+    return [{"b": b, "e": e} for b, e in runs if e - b >= least]
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
+    """``id``, ``sha``, ``spans``: the runs of ``min_run`` bytes and more of each text that occur earlier."""
+
+    def runs(spans: pa.Array) -> pa.Array:
+        return pa.array([merged(x, min_run) for x in spans.to_pylist()], pa.list_(pa.struct([("b", pa.int64()), ("e", pa.int64())])))
+
+    runs.__annotations__ = {"spans": pa.Array, "return": pa.Array}
+    own = ["id", "sha", "span"]
+    first = Window.partitionBy("hi", "lo").orderBy(*own)
+    every = chunks(keyed_texts(docs, id_col, text_col)).select(*own, *[F.first(c).over(first).alias(f"first_{c}") for c in own])
+    earlier = (F.col("id") != F.col("first_id")) | (F.col("sha") != F.col("first_sha")) | (F.col("span") != F.col("first_span"))
+    again = every.where((F.col("span") < 0) | earlier).groupBy("id", "sha").agg(F.collect_set(F.abs("span")).alias("spans"))
+    return stored(again.select("id", "sha", F.arrow_udf(runs, "array<struct<b: bigint, e: bigint>>")("spans").alias("spans")).where(F.size("spans") > 0), "repeats")
+
+
+def cut_out(text: pa.Array, spans: pa.Array) -> pa.Array:
+    """The texts without the given spans of bytes."""
+    out = []
+    for t, cuts in zip(text.to_pylist(), spans.to_pylist(), strict=True):
+        if t is not None and cuts:
+            raw = t.encode()
+            t = b"".join(raw[a:z] for a, z in zip([0, *(c["e"] for c in cuts)], [*(c["b"] for c in cuts), len(raw)], strict=True)).decode()
+        out.append(t)
+    return pa.array(out, pa.string())
+
+
+def joined(docs: DataFrame, id_col: str, text_col: str, min_run: int) -> tuple[DataFrame, Column]:
+    """All rows of ``docs`` as ``d``, with the spans of their repeats as ``r``; and the texts that stay."""
+    found = repeats(docs, id_col, text_col, min_run)
+    size = found.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("spans")).first()
+    small = size["n"] <= BROADCAST_TEXTS and size["spans"] <= BROADCAST_SPANS
     found = (F.broadcast(found) if small else found).alias("r")
     key = F.coalesce(F.col(f"d.{id_col}").cast("long"), F.lit(2**63 - 1))
     text = F.coalesce(F.col(f"d.{text_col}"), F.lit(""))
-    return docs.alias("d").join(found, (key == F.col("r.id")) & (F.xxhash64(text) == F.col("r.sha")), "left")
+    rows = docs.alias("d").join(found, (key == F.col("r.id")) & (F.xxhash64(text) == F.col("r.sha")), "left")
+    return rows, F.arrow_udf(cut_out, "string")(F.col(f"d.{text_col}"), F.col("r.spans"))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
-    """Per row: chunks, byte spans cut out, bytes before and after, and the text that stays."""
-    rows = joined(docs, id_col, text_col).select(F.col(f"d.{id_col}").alias(id_col), F.octet_length(F.coalesce(F.col(f"d.{text_col}"), F.lit(""))).cast("long").alias("n_bytes"), F.coalesce(F.size("r.places"), F.lit(0)).cast("long").alias("n_repeated_chunks"), cut(F.col(f"d.{text_col}"), F.col("r.places"), min_run).alias("c"))
-    removed = F.aggregate("c.spans", F.lit(0).cast("long"), lambda a, s: a + s["e"] - s["b"])
-    return rows.select(id_col, "n_bytes", F.col("c.n_chunks").cast("long").alias("n_chunks"), F.greatest("n_repeated_chunks", F.lit(0).cast("long")).alias("n_repeated_chunks"), removed.alias("removed_bytes"), F.col("c.spans").alias("spans"), F.col("c.text").alias("text"))
+    """Per row: bytes before, bytes and spans cut out, and the text that stays."""
+    rows, new = joined(docs, id_col, text_col, min_run)
+    spans = F.coalesce("r.spans", F.array().cast("array<struct<b: bigint, e: bigint>>"))
+    removed = F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["e"] - s["b"])
+    n_bytes = F.octet_length(F.coalesce(F.col(f"d.{text_col}"), F.lit(""))).cast("long")
+    return rows.select(F.col(f"d.{id_col}").alias(id_col), n_bytes.alias("n_bytes"), removed.alias("removed_bytes"), spans.alias("spans"), new.alias("text"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None, min_run: int = MIN_RUN) -> DataFrame:
     """All rows and columns; repeated passages are cut out of the text."""
-    new = cut(F.col(f"d.{text_col}"), F.col("r.places"), min_run)["text"]
+    rows, new = joined(docs, id_col, text_col, min_run)
 
     def column(c: str) -> Column:
         if c == text_col:
             return new.alias(c)
         return F.coalesce(F.length(new), F.col(f"d.{c}")).cast(docs.schema[c].dataType).alias(c) if c == chars_col else F.col(f"d.`{c}`")
 
-    return joined(docs, id_col, text_col).select(*[column(c) for c in docs.columns])
+    return rows.select(*[column(c) for c in docs.columns])

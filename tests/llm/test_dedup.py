@@ -172,16 +172,35 @@ def test_empty_tables(spark):
     assert decontaminate.clean(some, items).count() == some.count()
 
 
+def slow_ends(raw):
+    """Chunk ends by the rule of the module's docstring, a byte at a time."""
+    table = [xxhash.xxh32_intdigest(bytes([b]), 1) for b in range(256)]
+    starts = {i for i in range(len(raw) + 1) if i == len(raw) or raw[i] & 0xC0 != 0x80}
+    out, at, blank_at = [], 0, 0
+    for i in range(1, len(raw) + 1):
+        h = 0
+        for b in raw[max(0, i - 16) : i]:
+            h = (h << 1) + table[b] & 0xFFFFFFFF
+        if raw[i - 1] in b" \t\n\v\f\r":
+            blank_at, may = i, h >> 31 == 0
+        else:
+            may = i - blank_at >= 64 and h >> 28 == 0 and i < len(raw) and i in starts
+        forced = i - at > 256 and i in starts
+        if i == len(raw) or forced or may and i - at >= 16 or i - at == 256 and i in starts:
+            out.append(i)
+            at = i
+    return out
+
+
 def slow_cuts(rows):
     """Kept text per distinct (id, text), by looking each chunk up in what came before."""
     seen, out = {}, {}
     for i, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
         raw = (t or "").encode()
-        ends = chunks.ends_of(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)]))[0]
         at, runs = 0, []
-        for n, e in enumerate(ends):
-            first = seen.setdefault(raw[at:e], (i, n))
-            if first != (i, n):
+        for e in slow_ends(raw):
+            first = seen.setdefault(raw[at:e], (i, at))
+            if first != (i, at):
                 if runs and runs[-1][1] == at:
                     runs[-1][1] = e
                 else:
@@ -195,6 +214,16 @@ def slow_cuts(rows):
     return out
 
 
+def test_chunk_ends_equal_brute_force():
+    rng = random.Random(31)
+    texts = [sentence(rng, 200), "漢字仮名" * 200, "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(900)), "x" * 1000, "\n".join(sentence(rng, 7) for _ in range(30)), "é" * 400 + " " + "q" * 90, "", " ", "ab cd"]
+    raws = [t.encode() for t in texts]
+    stops = np.cumsum([len(r) for r in raws])
+    got = chunks.ends_of(np.frombuffer(b"".join(raws), np.uint8), stops - [len(r) for r in raws], stops)
+    base = (stops - [len(r) for r in raws]).tolist()
+    assert [[e - b for e in ends] for b, ends in zip(base, got, strict=True)] == [slow_ends(r) for r in raws]
+
+
 def test_chunks_equal_brute_force(spark):
     docs = documents(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
