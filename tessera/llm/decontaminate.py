@@ -1,18 +1,20 @@
 """Benchmark decontamination (operator 7), with DataFrame functions only.
 
-A document is held against benchmark items through windows of as many words as the item has. All
-windows that share a shingle of ``k`` words with an item of that size get a SimHash; others have
-similarity zero to all items of their size, so nothing is lost by leaving them out. Window and item
-fingerprints within ``radius`` bits agree in one of radius + 1 blocks, which is the key they meet
-by, together with the size. Pairs within the radius are verified: the shingles of window and item
+A document is held against benchmark items through windows of as many words as the item has. A
+window meets the items of its size with which it shares a shingle of ``k`` words; with all others it
+has similarity zero, so nothing is lost by leaving them out. Windows and items get a SimHash, and a
+window looks an item up by radius + 1 blocks of bits, of which one agrees if the fingerprints are
+within ``radius`` bits. Pairs within the radius are verified: the shingles of window and item
 are weighed by how often they occur, and the sum of the lesser weights over the sum of the greater
-ones has to reach ``threshold``.
+ones has to reach ``threshold``. A window has ``radius + 1`` look-ups for each item that it shares a
+shingle with, however many items there are.
 
 Votes of the 64 bits are added in lanes, several to a long (bytes, or wider ones for items of over
-255 shingles), and a window of a document is a slice of its array of shingle hashes, so nothing is
-sorted or shuffled by word. The shuffles carry places (a few numbers per hit) and, once, the
-documents with hits. The items' shingles are broadcast only if there are at most
-``BROADCAST_ROWS`` of them; else the same joins shuffle.
+255 shingles). Windows are slices of pieces of a text's array of shingle hashes, ``SEGMENT`` starts
+at a time, so a long text costs in proportion to its length, and nothing is sorted or shuffled by
+word. The shuffles carry places (a few numbers per hit) and, once, the documents with hits. The
+items' shingles and fingerprints are broadcast only up to ``BROADCAST_BYTES`` each; else the same
+joins shuffle.
 
 Defined cases. Words are lower-cased. A text of fewer than k words is one shingle; items
 of fewer words are held against shingles of their own length. A document
@@ -33,8 +35,10 @@ K = 5
 #: Of pairs of similarity 0.8 some 1 in 10,000 is expected to differ in more bits (1 in 100 beyond 16).
 RADIUS = 20
 THRESHOLD = 0.8
-#: Rows of (hash, size) that are broadcast at most: 16 bytes each.
-BROADCAST_ROWS = 2_000_000
+#: Bytes of the items' shingles or fingerprints that are broadcast at most.
+BROADCAST_BYTES = 1 << 26
+#: Windows are made for so many starts of a text at a time.
+SEGMENT = 256
 FULL = (1 << 64) - 1
 
 
@@ -106,8 +110,8 @@ def similarity(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small(df: DataFrame, n_bytes: int) -> DataFrame:
+    return F.broadcast(df) if n_bytes <= BROADCAST_BYTES else df
 
 
 def matches(docs: DataFrame, items: DataFrame, k: int = K, radius: int = RADIUS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,38 +130,70 @@ def matches_of(docs: DataFrame, items: DataFrame, k: int, radius: int, threshold
     """``matches`` with shingles of k words for all items."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("sha"), text.alias("text"))
-    bench = items.select("item_id", words(F.lower(F.coalesce("text", F.lit("")))).alias("w")).where(F.size("w") > 0)
-    bench = stored(bench.select("item_id", F.size("w").alias("n"), shingles(F.col("w"), k).alias("ish")), "items")
-    most = bench.agg(F.max(F.size("ish"))).first()[0] or 1
-    lane = next(x for x in (8, 16, 32, 64) if most < 1 << x)
-    sought = stored(bench.select(F.explode("ish").alias("h"), "n").distinct(), "sought")
-    n_sought = sought.count()
+    pairs = candidates(keyed, items, k, radius)
+    scored = pairs.select("id", "sha", "item_id", "start", "n_words", "distance", similarity(F.col("wsh"), F.col("ish")).alias("similarity")).where(F.col("similarity") >= threshold)
+    best = scored.groupBy("id", "sha", "item_id").agg(F.max(F.struct("similarity", -F.col("start"), "n_words", "distance")).alias("m"))
+    return best.select("id", "sha", "item_id", (-F.col("m.col2")).cast("long").alias("start"), F.col("m.n_words").cast("long").alias("n_words"), F.col("m.distance").cast("long").alias("distance"), F.col("m.similarity").alias("similarity"))
+
+
+def windows(keyed: DataFrame, bench: DataFrame, k: int, lane: int, n_shingles: int) -> DataFrame:
+    """``id``, ``sha``, ``n``, ``start``, ``item``, ``wsh``, ``fp``: each window with each item of its
+    size that it shares a shingle with."""
+    sought = bench.select(F.explode(F.array_distinct("ish")).alias("h"), "n", "item")
 
     # Outer generators: for inner ones Spark infers a test of the array, which makes the array twice
     # and, pushed below it, once for each element.
-    places = keyed.select("id", "sha", words(F.lower("text")).alias("w")).select("id", "sha", shingles(F.col("w"), k).alias("sh")).select("id", "sha", F.posexplode_outer("sh").alias("p", "h"))
-    hits = places.join(small(sought, n_sought), "h").groupBy("id", "sha", "n").agg(F.collect_set("p").alias("ps"))
-    hits = stored(hits, "hits")
-    found = keyed.join(hits, keyed.id.eqNullSafe(hits.id) & (keyed.sha == hits.sha)).select(hits.id, hits.sha, "n", "ps", "text")
+    places = keyed.select("id", "sha", words(F.lower("text")).alias("w")).select("id", "sha", shingles(F.col("w"), k).alias("sh")).select("id", "sha", F.size("sh").alias("m"), F.posexplode_outer("sh").alias("p", "h"))
     width = F.greatest(F.col("n") - (k - 1), F.lit(1))
-    last = F.greatest(F.size("sh") - width, F.lit(0))
-    starts = F.array_distinct(F.flatten(F.transform("ps", lambda p: F.sequence(F.greatest(F.least(p - width + 1, last), F.lit(0)), F.least(p, last)))))
-    windows = (
-        found.select("id", "sha", "n", "ps", words(F.lower("text")).alias("w"))
-        .select("id", "sha", "n", "ps", shingles(F.col("w"), k).alias("sh"))
-        .select("id", "sha", "n", "sh", F.explode_outer(starts).alias("start"))
-        .select("id", "sha", "n", "start", F.slice("sh", F.col("start") + 1, width).alias("wsh"))
-        .withColumn("fp", simhash(F.col("wsh"), lane))
-    )
-    asked = bench.withColumn("ifp", simhash(F.col("ish"), lane)).select("item_id", "n", "ish", "ifp", F.explode(blocks(F.col("ifp"), radius)).alias("block"))
+    met = places.join(small(sought, 32 * n_shingles), "h").withColumn("last", F.greatest(F.col("m") - width, F.lit(0)))
+    met = met.withColumn("lo", F.greatest(F.least(F.col("p") - width + 1, "last"), F.lit(0))).withColumn("hi", F.least("p", "last"))
+    part = F.explode_outer(F.sequence(F.floor(F.col("lo") / SEGMENT), F.floor(F.col("hi") / SEGMENT))).alias("part")
+    hits = met.select("id", "sha", "n", "item", "lo", "hi", part).groupBy("id", "sha", "n", "part").agg(F.collect_set(F.struct("lo", "hi", "item")).alias("hits"))
+    hits = stored(hits.groupBy("id", "sha").agg(F.collect_list(F.struct("n", "part", "hits")).alias("parts")), "hits")
+
+    found = keyed.join(hits, keyed.id.eqNullSafe(hits.id) & (keyed.sha == hits.sha)).select(hits.id, hits.sha, "parts", "text")
+    found = found.select("id", "sha", "parts", words(F.lower("text")).alias("w")).select("id", "sha", "parts", shingles(F.col("w"), k).alias("sh"))
+
+    # A generator copies the columns beside it into each of its rows, so these get pieces of the text of
+    # bounded size: the shingles of all windows that begin in one part.
+    def piece(x: Column) -> Column:
+        size = F.greatest(x["n"] - (k - 1), F.lit(1))
+        return F.struct(x["n"].alias("n"), x["part"].alias("part"), x["hits"].alias("hits"), F.slice("sh", (x["part"] * SEGMENT + 1).cast("int"), size + (SEGMENT - 1)).alias("psh"))
+
+    pieces = found.select("id", "sha", F.explode_outer(F.transform("parts", piece)).alias("x")).select("id", "sha", "x.*")
+    # An item and a place in the part as one number, as structs are compared pair by pair.
+    begin = F.col("part") * SEGMENT
+    pairs = F.array_distinct(F.flatten(F.transform("hits", lambda c: F.transform(F.sequence(F.greatest(c["lo"].cast("long"), begin), F.least(c["hi"].cast("long"), begin + (SEGMENT - 1))), lambda s: c["item"] * SEGMENT + (s - begin)))))
+
+    # What is bound by a lambda, or comes from a generator, is made once; else each use would make it again.
+    def printed(pair: Column) -> Column:
+        every = F.sequence(F.lit(0), F.lit(SEGMENT - 1))
+        used = F.array_distinct(F.transform(pair, lambda x: F.pmod(x, F.lit(SEGMENT)).cast("int")))
+        prints = F.transform(F.array(used), lambda u: F.transform(every, lambda j: F.when(F.array_contains(u, j), simhash(F.slice("psh", j + 1, width), lane))))
+        return F.struct(pair.alias("pairs"), prints[0].alias("prints"))
+
+    made = pieces.select("id", "sha", "n", "part", "psh", F.explode_outer(F.transform(F.array(pairs), printed)).alias("y")).select("id", "sha", "n", "part", "psh", "y.*")
+    rows = made.select("id", "sha", "n", "part", "psh", "prints", F.explode_outer("pairs").alias("pair"))
+    at = F.pmod("pair", F.lit(SEGMENT)).cast("int")
+    return rows.select("id", "sha", "n", (F.col("part") * SEGMENT + at).cast("int").alias("start"), F.floor(F.col("pair") / SEGMENT).alias("item"), F.slice("psh", at + 1, width).alias("wsh"), F.get("prints", at).alias("fp"))
+
+
+def candidates(keyed: DataFrame, items: DataFrame, k: int, radius: int) -> DataFrame:
+    """Windows and items of their size that share a shingle and whose fingerprints are within the radius."""
+    bench = items.select("item_id", words(F.lower(F.coalesce("text", F.lit("")))).alias("w")).where(F.size("w") > 0)
+    bench = stored(bench.select("item_id", F.monotonically_increasing_id().alias("item"), F.size("w").alias("n"), shingles(F.col("w"), k).alias("ish")), "items")
+    size = bench.agg(F.max(F.size("ish")).alias("most"), F.count(F.lit(1)).alias("n"), F.sum(F.size("ish")).alias("shingles")).first()
+    lane = next(x for x in (8, 16, 32, 64) if (size["most"] or 1) < 1 << x)
+    n_shingles = size["shingles"] or 0
+    asked = bench.withColumn("ifp", simhash(F.col("ish"), lane)).select("item", "ifp", F.explode(blocks(F.col("ifp"), radius)).alias("block"))
     differing = F.col("fp").bitwiseXOR(F.col("ifp"))
     near = F.bit_count(differing)
     # A pair meets in every block that agrees; it goes on from the first.
     met = (near <= radius) & (first_block(differing, radius) == F.col("block.i"))
-    pairs = windows.select("*", F.explode(blocks(F.col("fp"), radius)).alias("block")).join(small(asked, n_sought * (radius + 1)), ["n", "block"]).where(met)
-    scored = pairs.select("id", "sha", "item_id", "start", F.col("n").alias("n_words"), near.alias("distance"), similarity(F.col("wsh"), F.col("ish")).alias("similarity")).where(F.col("similarity") >= threshold)
-    best = scored.groupBy("id", "sha", "item_id").agg(F.max(F.struct("similarity", -F.col("start"), "n_words", "distance")).alias("m"))
-    return best.select("id", "sha", "item_id", (-F.col("m.col2")).cast("long").alias("start"), F.col("m.n_words").cast("long").alias("n_words"), F.col("m.distance").cast("long").alias("distance"), F.col("m.similarity").alias("similarity"))
+    probes = windows(keyed, bench, k, lane, n_shingles).select("*", F.explode(blocks(F.col("fp"), radius)).alias("block"))
+    pairs = probes.join(small(asked, 48 * (radius + 1) * size["n"]), ["item", "block"]).where(met)
+    own = small(bench.select("item", "item_id", "ish"), 64 * size["n"] + 8 * n_shingles)
+    return pairs.select("id", "sha", "item", "start", F.col("n").alias("n_words"), near.alias("distance"), "wsh").join(own, "item")
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

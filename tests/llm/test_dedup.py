@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import chunks, decontaminate, simhash
@@ -318,6 +319,34 @@ def test_short_items_and_wide_pairs_are_found(spark):
     assert len(got) >= 801
 
 
+def test_windows_meet_only_items_they_share_a_shingle_with(spark):
+    rng = random.Random(29)
+    items = [(i, sentence(rng, 20 + i % 2)) for i in range(300)]
+    texts = [sentence(rng, 400) for _ in range(3)]
+    texts += [f"{sentence(rng, 290)} {' '.join(items[0][1].split()[3:9])} {sentence(rng, 300)} {items[1][1]}", items[2][1][:40], f"{items[4][1]} " * 30]
+    texts.append(" ".join(x for i in range(260) for x in (items[i % 40][1], sentence(rng, rng.randrange(9)))))
+    want = Counter()
+    for d, t in enumerate(texts):
+        s = [tuple(words(t)[i : i + 5]) for i in range(max(1, len(words(t)) - 4))]
+        for i, x in items:
+            own, m = {tuple(words(x)[j : j + 5]) for j in range(len(words(x)) - 4)}, len(words(x)) - 4
+            want[d] += sum(not own.isdisjoint(s[a : a + m]) for a in range(max(1, len(s) - m + 1)))
+    keyed = spark.createDataFrame(list(enumerate(texts)), "id long, text string").selectExpr("id", "xxhash64(text) AS sha", "text")
+    bench = spark.createDataFrame(items, "item long, text string").select("item", decontaminate.words(F.col("text")).alias("w"))
+    bench = bench.select("item", F.size("w").alias("n"), decontaminate.shingles(F.col("w"), 5).alias("ish"))
+    got = Counter({r.id: r.n for r in decontaminate.windows(keyed, bench, 5, 8, 5000).groupBy("id").agg(F.count("fp").alias("n")).collect()})
+    assert got == +want and got[0] + got[1] + got[2] == 0 and got[6] > 5000
+
+
+def test_a_very_long_text_is_searched_in_proportion(spark):
+    rng = random.Random(37)
+    items = [(i, sentence(rng, 30, 10**6)) for i in range(50)]
+    text = " ".join(f"{sentence(rng, 900, 10**6)} {items[i % 50][1]}" for i in range(300))
+    docs = spark.createDataFrame([(1, text), (2, items[7][1])], "doc_id long, text string")
+    got = decontaminate.matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.id, r.item_id, r.similarity) for r in got} == {(1, i, 1.0) for i in range(50)} | {(2, 7, 1.0)}
+
+
 def test_native_plan_has_no_python(spark):
     plan = decontaminate.matches(documents(spark), spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
