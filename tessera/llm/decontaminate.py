@@ -151,7 +151,11 @@ def windows(keyed: DataFrame, bench: DataFrame, k: int, lane: int, n_shingles: i
     hits = met.select("id", "sha", "n", "item", "lo", "hi", part).groupBy("id", "sha", "n", "part").agg(F.collect_set(F.struct("lo", "hi", "item")).alias("hits"))
     hits = stored(hits.groupBy("id", "sha").agg(F.collect_list(F.struct("n", "part", "hits")).alias("parts")), "hits")
 
-    found = keyed.join(hits, keyed.id.eqNullSafe(hits.id) & (keyed.sha == hits.sha)).select(hits.id, hits.sha, "parts", "text")
+    # Only texts with hits meet their hits; who they are is known to all tasks, if it is little.
+    who = hits.select("id", "sha")
+    own = small(who, 48 * who.count()).alias("own")
+    found = keyed.alias("k").join(own, F.col("k.id").eqNullSafe(F.col("own.id")) & (F.col("k.sha") == F.col("own.sha")), "left_semi")
+    found = found.join(hits.alias("h"), F.col("k.id").eqNullSafe(F.col("h.id")) & (F.col("k.sha") == F.col("h.sha"))).select("h.id", "h.sha", "parts", "text")
     found = found.select("id", "sha", "parts", words(F.lower("text")).alias("w")).select("id", "sha", "parts", shingles(F.col("w"), k).alias("sh"))
 
     # A generator copies the columns beside it into each of its rows, so these get pieces of the text of
