@@ -29,6 +29,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -47,13 +48,32 @@ MAX_TERMS = 3_000
 PREFIXES = (4, 5, 6, 7, 8)
 LIMIT = 0.7
 
-#: Letters of other scripts, and signs, that look like Latin letters (after case folding).
+#: Letters of other scripts, and signs, that look like Latin letters (after case folding).
 LOOKALIKES = dict(zip("абвгдеѕзиіїјкӏмнопрстуүхһԁԛԝαβγεηικνορτυχωɡıⅼ", "abbrdessiiijklmhonpctyyxhdqwabyeniknoptuxwgil", strict=True))
+LOOKALIKES |= dict(zip("ёєѐѝќўґҝҡңөұҳθσϲϳոսցզհօյքա", "eeeikyrkknoyxoocjnugqhojpw", strict=True))
 SUBSTITUTES = dict(zip("0134578@$!|", "oieastbasii", strict=True))
+#: Unicode's names of letters that are Latin ones in another dress, and the blocks that have them.
+_DRESSED = re.compile(r"(?:LATIN (?:LETTER SMALL CAPITAL|SMALL LETTER|SMALL LETTER REVERSED|SMALL LETTER TURNED)|NEGATIVE (?:SQUARED|CIRCLED) LATIN CAPITAL LETTER|REGIONAL INDICATOR SYMBOL LETTER) ([A-Z])(?: WITH [A-Z -]+)?")
+_BLOCKS = (0x80, 0x300), (0x1D00, 0x1DC0), (0x2C60, 0x2C80), (0xA720, 0xAB70), (0x1F130, 0x1F200)
+
+
+def dressed() -> dict[str, str]:
+    """Letters that Unicode describes as a Latin letter and that it does not compose of one and an accent."""
+    out = {}
+    for c in (chr(i) for a, z in _BLOCKS for i in range(a, z)):
+        plain = unicodedata.normalize("NFKD", c) == c and _DRESSED.fullmatch(unicodedata.name(c, ""))
+        if plain and c.casefold() == c:
+            out[c] = plain[1].lower()
+    return out
+
+
+LOOKALIKES |= dressed()
 
 _SUBSTITUTED = re.compile(r"[0134578@$!|]+(?=[^\W\d_])|(?<=[^\W\d_])[0134578](?![\w$@!|])")
 _SIGN = re.compile(r"[0134578@$!|]")
 _GAPS = re.compile(r"[\W_]+")
+#: Invisible characters, and marks that are left over where no letter has them.
+_UNSEEN = re.compile("[\u00ad\u0300-\u036f\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]+")
 _ASCII = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
 _LOOKALIKE = str.maketrans(LOOKALIKES)
 
@@ -62,7 +82,7 @@ def fold(text: str | None) -> str:
     """The words of a text in folded form, with one blank before, between and behind them."""
     t = text or ""
     if not t.isascii():
-        t = unicodedata.normalize("NFKC", t).casefold().translate(_LOOKALIKE)
+        t = _UNSEEN.sub("", unicodedata.normalize("NFKC", t)).casefold().translate(_LOOKALIKE)
     else:
         t = t.lower()
     if _SIGN.search(t):
@@ -83,6 +103,7 @@ class Lexicon:
     weights: dict[str, float] = field(default_factory=dict)
     exceptions: list[str] = field(default_factory=list)
     curve: tuple[float, float, float] = (-3.0, 2.0, 1.0)
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def automaton(self) -> ahocorasick.Automaton:
         a = ahocorasick.Automaton()
@@ -95,6 +116,17 @@ class Lexicon:
         return a
 
 
+_AUTOMATA: dict[str, ahocorasick.Automaton] = {}
+
+
+def automaton_of(lexicon: Lexicon) -> ahocorasick.Automaton:
+    """The automaton as this worker has it; one at a time."""
+    if lexicon.name not in _AUTOMATA:
+        _AUTOMATA.clear()
+        _AUTOMATA[lexicon.name] = lexicon.automaton()
+    return _AUTOMATA[lexicon.name]
+
+
 def features(text: str | None, automaton: ahocorasick.Automaton) -> tuple[float, float, int]:
     """log(1 + weight), log(1 + weight per 100 words), number of matches."""
     t = fold(text)
@@ -126,7 +158,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, held_out: C
     share = min(1.0, max_rows / max(1, known.count()))
     part = known.where(F.pmod(F.xxhash64("_key"), F.lit(1_000_000)) < int(share * 1_000_000))
     # At most about max_rows rows of 12 bytes: a bound that no input exceeds.
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(part), F.col("_id") == F.col("_key")).select("text", F.col("_y").alias("y"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(part), F.col("_id") == F.col("_key"))
+    one = F.min(F.struct(F.xxhash64("text").alias("sha"), "text")).alias("one")
+    return rows.groupBy("_id", "_y").agg(one).select("one.text", F.col("_y").alias("y"))
 
 
 def count_terms(train: DataFrame) -> DataFrame:
@@ -160,7 +194,8 @@ def count_terms(train: DataFrame) -> DataFrame:
         )
 
     rows = map_batches(train.select("text", "y"), run, "term string, a long, b long, around long")
-    return rows.groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.approx_count_distinct("around").alias("contexts"))
+    each = rows.groupBy("term", "around").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return each.groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count("around").alias("contexts"))
 
 
 def count_phrases(train: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -196,7 +231,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-
     return tuple(w.tolist())
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", max_train_rows: int = MAX_TRAIN_ROWS, min_docs: int = 5, min_contexts: int = 4, min_weight: float = 2.5, max_terms: int = MAX_TERMS) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", max_train_rows: int = MAX_TRAIN_ROWS, min_docs: int = 5, min_contexts: int = 4, min_weight: float = 2.5) -> Lexicon:
     """Learns the lexicon and the curve. ``held_out`` is a condition on the label rows' ``_key``."""
     held = F.lit(False) if held_out is None else held_out
     train = stored(training_rows(docs, labels, max_train_rows, held, id_col, text_col), "toxic-train")
@@ -205,17 +240,17 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, id_c
         return Lexicon()
     share = lambda c, n: F.log((F.col(c) + 0.5) / (n + 1.0))
     counted = count_terms(train).where((F.col("a") >= min_docs) & (F.col("contexts") >= min_contexts)).withColumn("w", share("a", size[1]) - share("b", size[0])).where(F.col("w") >= min_weight)
-    rows = counted.orderBy(F.desc(F.col("a") * F.col("w")), "term").limit(max_terms).collect()
+    rows = counted.collect()  # terms of at least min_docs of max_train_rows documents
     picked = {r.term: r.w for r in rows}
     # A longer term adds nothing to its own beginning, if that is about as telling.
     weights = {t: w for t, w in picked.items() if not any(picked.get(t[: n + 1], 0) >= 0.8 * w for n in PREFIXES if len(t.rstrip()) > n + 1)}
     exceptions = []
     if any(r.b for r in rows if r.term in weights):
-        exceptions = [r.phrase for r in count_phrases(train, weights).where(f"a = 0 and b >= {min_docs}").orderBy(F.desc("b"), "phrase").limit(max_terms).collect()]
+        exceptions = [r.phrase for r in count_phrases(train, weights).where(f"a = 0 and b >= {min_docs}").collect()]
     lexicon = Lexicon(weights, exceptions)
 
     def measured(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-        a = lexicon.automaton()
+        a = automaton_of(lexicon)
         f = [features(t, a) for t in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in f], pa.float64()), pa.array([v[1] for v in f], pa.float64()), batch.column(1)], ["u", "v", "y"])
 
@@ -228,8 +263,7 @@ def score_column(text: Column, lexicon: Lexicon) -> Column:
     """A struct of ``score`` and ``n_matches`` for a text column."""
 
     def run(texts: pa.Array) -> pa.Array:
-        a = lexicon.automaton()
-        return in_slices(texts, lambda part: of(part, a))
+        return in_slices(texts, lambda part: of(part, automaton_of(lexicon)))
 
     def of(texts: pa.Array, a: ahocorasick.Automaton) -> pa.Array:
         f = [features(t, a) for t in texts.to_pylist()]
