@@ -47,8 +47,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    rows = cotrain.scores(docs, cotrain.fit(docs, table(spark, sf_dir, "labels")))
+    made = cotrain.features(table(spark, sf_dir, "documents"))
+    rows = cotrain.scores(made, cotrain.fit(made, table(spark, sf_dir, "labels")))
     return rows.select("doc_id", cotrain.held_out_fold(F.col("doc_id")).alias("held_out"), "score", "predicted", "text_score", "meta_score")
 
 

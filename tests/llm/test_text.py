@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -151,6 +152,94 @@ def test_toxicity_learns_folds_and_exceptions(spark):
     assert toxicity.fold("Ｉdіоt! 1D10T a$$ 3 x5 ") == " idiot idiot a 3 x5 " or toxicity.fold("1D10T") == " idiot "
 
 
+def slow_terms(w):
+    return [f" {w} ", *(f" {w[:n]}" for n in (4, 5, 6, 7, 8) if len(w) > n)]
+
+
+def slow_lexicon(rows, min_docs=5, min_contexts=4, min_weight=2.5):
+    """Weights and exception phrases over plain dictionaries; rows of (words, label)."""
+    a, b, contexts, size = Counter(), Counter(), defaultdict(set), Counter(y for _, y in rows)
+    for w, y in rows:
+        (a if y else b).update({t for x in w for t in slow_terms(x)})
+        first = {}
+        for i, x in enumerate(w):
+            for t in slow_terms(x):
+                first.setdefault(t, (w[i - 1] if i else "", w[i + 1] if i + 1 < len(w) else ""))
+        for t, c in first.items() if y else ():
+            contexts[t].add(c)
+    weight = {t: math.log((a[t] + 0.5) / (size[1] + 1)) - math.log((b[t] + 0.5) / (size[0] + 1)) for t in a}
+    picked = {t: w for t, w in weight.items() if a[t] >= min_docs and len(contexts[t]) >= min_contexts and w >= min_weight}
+    weights = {t: w for t, w in picked.items() if not any(picked.get(t[: n + 1], 0) >= 0.8 * w for n in (4, 5, 6, 7, 8) if len(t.rstrip()) > n + 1)}
+    phrases, toxic = Counter(), set()
+    for w, y in rows:
+        own = {f" {p} {q} " for p, q in zip(w, w[1:], strict=False) if set(slow_terms(p) + slow_terms(q)) & set(weights)}
+        phrases.update(() if y else own)
+        toxic |= own if y else set()
+    return weights, {p for p, n in phrases.items() if n >= min_docs and p not in toxic}
+
+
+def slow_matches(w, weights, phrases):
+    t = f" {' '.join(w)} "
+    places = lambda x: [i for i in range(len(t)) if t.startswith(x, i)]
+    safe = [(i, i + len(p)) for p in phrases for i in places(p)]
+    at = defaultdict(list)
+    for x, v in weights.items():
+        for i in places(x):
+            at[i].append((v, len(x)))
+    total = n = 0
+    for i, found in at.items():
+        v, size = max(found, key=lambda f: f[0])
+        if not any(p <= i and i + size <= q for p, q in safe):
+            total, n = total + v, n + 1
+    return math.log1p(total), math.log1p(100 * total / max(1, len(w))), n
+
+
+def test_toxicity_equals_brute_force(spark):
+    rng = random.Random(41)
+    stems = ["zwomp", "blargh", "krutz"]
+    base = ["".join(rng.choice("aeionrstld") for _ in range(rng.randrange(2, 8))) for _ in range(300)]
+    rows = []
+    for i in range(400):
+        w = rng.choices(base, k=rng.randrange(20, 60))
+        if i % 3 == 0:
+            for k in rng.sample(range(len(w)), 3):
+                w[k] = rng.choice(stems) + rng.choice(["", "ing", "enter", "ka"])
+        elif i % 37 == 5:
+            w[4:6] = ["good", "zwompka"]
+        rows.append((i, " ".join(w), int(i % 3 == 0)))
+    # Copies of one toxic text whose rare words are no terms, and texts of several labels or rows.
+    rows += [(1000 + i, "one and the same text with onlyhere inside", 1) for i in range(9)]
+    docs = spark.createDataFrame([*[(i, t) for i, t, _ in rows], (None, "zwomp"), (0, rows[0][1])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(1, 1), (None, 1), (7777, 1)], "doc_id long, toxic int")
+    known = [(t.split(), max(y, int(i == 1))) for i, t, y in rows]
+    lexicon = toxicity.fit(docs, labels)
+    weights, phrases = slow_lexicon(known)
+    assert lexicon.weights == pytest.approx(weights) and set(lexicon.exceptions) == phrases
+    assert " good zwompka " in phrases and len(weights) >= 3 and not any("onlyhere" in t for t in weights)
+    x = np.array([slow_matches(w, weights, phrases)[:2] for w, _ in known])
+    m, y, c = np.column_stack([np.ones(len(x)), x]), np.array([y for _, y in known]), np.array(lexicon.curve)
+    # At the optimum the slope of the penalised likelihood is zero.
+    assert np.abs(m.T @ (y - 1 / (1 + np.exp(-m @ c))) - 0.01 * c).max() < 1e-5
+    got = {r.doc_id: r for r in toxicity.scores(docs, lexicon).collect()}
+    for i, t, _ in rows:
+        u, v, n = slow_matches(t.split(), weights, phrases)
+        assert got[i].n_matches == n and got[i].score == pytest.approx(1 / (1 + math.exp(-(c @ [1, u, v]))))
+        assert got[i].predicted == (got[i].score >= 0.7)
+
+
+def test_toxicity_of_one_id_with_many_texts_is_bounded(spark):
+    docs = spark.range(5000).selectExpr("id % 2 AS doc_id", "concat('some words ', if(id % 2 = 0, 'blarg ', ''), id) AS text", "'x' AS _s", "1 AS score")
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
+    assert toxicity.training_rows(docs, labels, 100, F.lit(False), "doc_id", "text").count() == 2
+    long = spark.createDataFrame([(1, "word " * 400_000), (2, "")], "doc_id long, text string")
+    assert [r.n_matches for r in toxicity.scores(long, toxicity.Lexicon({" word ": 3.0})).orderBy("doc_id").collect()] == [400_000, 0]
+
+
+def test_folding():
+    for dressed, plain in (("ꜱнɪт", "shit"), ("I\u200bD\u00adiot", "idiot"), ("🅸🅳🅸🅾🆃", "idiot"), ("b̶a̶d̶", "bad"), ("Größe CAFÉ", "grösse café"), ("ｆｕｌｌ", "full"), ("𝓼𝓬𝓻𝓲𝓹𝓽", "script"), ("1d10t", "idiot"), ("5 or 10 days", "5 or 10 days"), ("", ""), ("\u0301\u0301", "")):
+        assert " ".join(toxicity.fold(dressed).split()) == plain
+
+
 def slow_base(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -270,25 +359,125 @@ def test_language_model_equals_brute_force(spark, docs):
     assert {r.score for r in lm.scores(docs, none).collect()} == {0.0} and lm.scores(docs.limit(0), model).count() == 0
 
 
-def test_cotraining_views_teach_each_other():
-    rng = np.random.default_rng(0)
-    truth = rng.integers(0, 2, 2000)
-    a = rng.normal(truth[:, None] * 1.5, 1, (2000, 4))
-    b = rng.normal(truth[:, None] * 1.5, 1, (2000, 3))
-    y = np.full(2000, -1)
-    y[:60] = truth[:60]
-    aside = np.zeros(2000, bool)
-    aside[:20] = True
-    model = cotrain.cotrain(a, b, y, aside)
-    s, t, m = model.scores(a, b)
-    right = lambda x: ((x >= 0.5) == truth)[60:].mean()
-    assert right(s) > 0.9 and right(s) >= max(right(t), right(m)) - 0.02
-
-
-def test_cotraining_scores_all(spark, docs):
+def slow_features(lang, source, n_chars, t):
+    """The features of one document by their description, as numbers of steps."""
+    t = t or ""
+    raw, grams = t.encode(), Counter()
+    for i in range(len(raw) - 2):
+        h = (raw[i] * 0x9E3779B1 ^ raw[i + 1] * 0x85EBCA6B ^ raw[i + 2] * 0xC2B2AE35) & 0xFFFFFFFF
+        grams[(h * 0x27D4EB2F & 0xFFFFFFFF) >> 23] += 1
+    n, chars, symbols, dup, repeat = slow_base(t)
+    log = lambda v: min(1.0, math.log2(1 + v) / 24)
+    lines = [len(x) for x in t.split("\n")]
+    out = [math.sqrt(grams[g] / max(1, grams.total())) for g in range(512)]
+    out += [log(n), log(chars / max(1, n)), symbols / max(1, chars), dup / len(lines), repeat / max(1, n), min(1.0, n / 200)]
+    out += [float(xxhash.xxh32_intdigest(f"{source is None}{source}") % 64 == i) for i in range(64)]
+    out += [float(xxhash.xxh32_intdigest(f"{lang is None}{lang}") % 16 == i) for i in range(16)]
+    out += [sum(min(31, int(2 * math.log2(1 + x))) == i for x in lines) / len(lines) for i in range(32)]
+    out += [float(n_chars is None), log(max(0, n_chars or 0)), log(len(lines)), log(max(lines)), log(sum(lines) / len(lines))]
+    return out
+
+
+def slow_fit(x, y):
+    """Ridge-penalised logistic regression over scaled columns, by plain Newton steps."""
+    mean, scale = x.mean(0), x.std(0)
+    scale[scale <= 1e-6] = 1
+    m, w = np.hstack([np.ones((len(x), 1)), (x - mean) / scale]), np.zeros(x.shape[1] + 1)
+    ridge = np.diag([1e-6] + [1.0] * x.shape[1])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(m @ w, -30, 30)))
+        w = w - np.linalg.lstsq((m.T * (p * (1 - p) + 1e-9)) @ m + ridge, m.T @ (p - y) + ridge @ w, rcond=None)[0]
+    return lambda v: np.clip(np.hstack([np.ones((len(v), 1)), (v - mean) / scale]) @ w, -30, 30)
+
+
+def quality_corpus(spark, n=900):
+    rng = random.Random(77)
+    rows, labels = [], []
+    for i in range(n):
+        good = rng.random() < 0.7
+        w = ["".join(rng.choice("aeionrst" if good else "qxzkvwrst") for _ in range(rng.randrange(2, 8))) for _ in range(rng.randrange(5, 40))]
+        gap = rng.randrange(6, 12) if good else rng.randrange(1, 4)
+        rows.append((i, "\n".join(" ".join(w[k : k + gap]) for k in range(0, len(w), gap)), rng.choice(["en", None]), rng.choice(["a", "b"]), 7, "x"))
+        if i < 260:
+            labels.append((i, int(good)))
+    rows += [(n, None, None, None, None, "x"), (n + 1, "", "en", "a", -5, "x"), (None, "no id", None, None, None, None), rows[-1], rows[300], (2, "another text of a labelled id", "en", "a", 3, "y")]
+    rows += [(2000 + i, rows[301][1], "en", "b", 7, "z") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string")
+    return docs, spark.createDataFrame([*labels, (3, 0), (4, 2), (5, None), (None, 1)], "doc_id long, quality int")
+
+
+def test_quality_features(spark):
+    docs, _ = quality_corpus(spark, 320)
+    got = Counter((r.id, bytes(r.x)) for r in cotrain.features(docs).collect())
+    want = Counter((r.doc_id, bytes(round(255 * v) for v in slow_features(r.lang, r.source, r.n_chars, r.text))) for r in docs.collect())
+    near = lambda a, b: a[0] == b[0] and max(abs(x - y) for x, y in zip(a[1], b[1], strict=True)) <= 1
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert all(near(a, b) for a, b in zip(sorted(got.elements(), key=key), sorted(want.elements(), key=key), strict=True))
+
+
+def test_cotraining_equals_brute_force(spark):
+    docs, labels = quality_corpus(spark)
+    table = cotrain.features(docs)
+    rounds, handed = 3, 12
+    model = cotrain.fit(table, labels, rounds=rounds, handed=handed)
+    r = table.collect()
+    x = {id(v): np.frombuffer(v.x, np.uint8) / 255 for v in r}
+    view = lambda v, k: x[id(v)][: cotrain.N_TEXT] if k == 0 else x[id(v)][cotrain.N_TEXT :]
+    y = {}
+    for v in labels.collect():
+        if v.doc_id is not None and v.quality in (0, 1):
+            y[v.doc_id] = max(v.quality, y.get(v.doc_id, 0))
+    crc = lambda i: zlib.crc32(str(i).encode()) % 5
+    own = [min((v for v in r if v.id == i), key=lambda v: (v.sha, v.x)) for i in sorted(y) if crc(i) != 3]
+    train, aside = [v for v in own if crc(v.id) != 1], [v for v in own if crc(v.id) == 1]
+    named = {v.doc_id for v in labels.collect()} - {None}
+    pool = {}
+    for v in r:
+        if v.id not in named:
+            pool.setdefault(v.sha, []).append(v)
+    xs = [[view(v, k) for v in train] for k in (0, 1)]
+    ys = [[y[v.id] for v in train] for k in (0, 1)]
+    share, given = sum(ys[0]) / len(ys[0]), [set(), set()]
+    fitted = lambda: [slow_fit(np.array(a), np.array(b)) for a, b in zip(xs, ys, strict=True)]
+    truth = np.array([y[v.id] for v in aside])
+    for _ in range(rounds):
+        models, picks = fitted(), []
+        for taker in (0, 1):
+            m = models[1 - taker]
+            curve = slow_fit(m(np.array([view(v, 1 - taker) for v in aside]))[:, None], truth)
+            p = {s: [round(1 / (1 + math.exp(-curve(m(view(v, 1 - taker)[None])[:, None])[0])), 4) for v in vs] for s, vs in pool.items() if s not in given[taker]}
+            quota = [max(1, round(handed * (1 - share))), max(1, round(handed * share))]
+            best = [[s for q, s in sorted((-max(q if label else 1 - q for q in v), s) for s, v in p.items()) if -q >= 0.95][: quota[label]] for label in (0, 1)]
+            part = min(len(b) / q for b, q in zip(best, quota, strict=True))
+            picks += [(taker, s, label) for label in (0, 1) for s in best[label][: int(part * quota[label])]]
+        for taker, s, label in picks:
+            xs[taker].append(view(min(pool[s], key=lambda v: v.x), taker))
+            ys[taker].append(label)
+            given[taker].add(s)
+    assert max(map(len, given)) == rounds * handed
+    models = fitted()
+    z = [m(np.array([view(v, k) for v in aside])) for k, m in enumerate(models)]
+    curves = [slow_fit(q[:, None], truth) for q in z]
+    both = slow_fit(np.column_stack([c(q[:, None]) for c, q in zip(curves, z, strict=True)]), truth)
+    t, m = (c(f(np.array([view(v, k) for v in r]))[:, None]) for k, (c, f) in enumerate(zip(curves, models, strict=True)))
+    want = sorted((str(v.id), round(1 / (1 + math.exp(-s)), 4)) for v, s in zip(r, both(np.column_stack([t, m])), strict=True))
+    got = sorted((str(v.doc_id), round(v.score, 4)) for v in cotrain.scores(table, model).collect())
+    assert [i for i, _ in got] == [i for i, _ in want] and max(abs(a - b) for (_, a), (_, b) in zip(got, want, strict=True)) < 2e-3
+    good = {v.doc_id: v.text for v in docs.collect()}
+    right = [(v.score >= 0.5) == ("q" not in good[v.doc_id] and "z" not in good[v.doc_id]) for v in cotrain.scores(table, model).collect() if v.doc_id is not None and 260 <= v.doc_id < 900]
+    assert sum(right) > 0.95 * len(right)
+
+
+def test_cotraining_odd_cases(spark, docs):
+    table = cotrain.features(docs.withColumn("x", F.lit("own")).withColumn("sha", F.lit(1)))
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
-    model = cotrain.fit(docs, labels)
-    r = cotrain.scores(docs, model).collect()
+    model = cotrain.fit(table, labels)
+    r = cotrain.scores(table, model).collect()
     assert len(r) == docs.count() and all(0 <= x.score <= 1 for x in r)
-    empty = cotrain.fit(docs, labels.limit(0))
-    assert {x.score for x in cotrain.scores(docs, empty).collect()} == {0.5} and cotrain.scores(docs.limit(0), model).count() == 0
+    empty = cotrain.fit(table, labels.limit(0))
+    assert {x.score for x in cotrain.scores(table, empty).collect()} == {0.5} and cotrain.scores(cotrain.features(docs.limit(0)), model).count() == 0
+    long = spark.createDataFrame([(1, "word\n" * 300_000), (2, "x" * 2_000_000)], "doc_id long, text string")
+    assert cotrain.scores(cotrain.features(long), model).count() == 2
+    many = spark.range(5000).selectExpr("id % 2 AS doc_id", "concat('text ', id) AS text")
+    two = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    assert cotrain.fit(cotrain.features(many), two).share in (0.0, 0.5, 1.0)
