@@ -21,6 +21,8 @@ from tessera.llm.common import get_file, put_file
 #: Entries that a map task holds before it packs them.
 HELD = 1 << 22
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: A column of counts of four or, where one needs it, eight bytes, behind columns of eight.
+COUNT = "count"
 
 
 def shard_of(keys: np.ndarray, bits: int, mixed: bool) -> np.ndarray:
@@ -38,17 +40,27 @@ def unplanes(raw: bytes, n: int, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size).reshape(size, n).T).view(kind).ravel()
 
 
+def width_of(c: np.ndarray) -> str:
+    """Four bytes for counts that fit them, else eight."""
+    return "<u4" if not len(c) or int(c.max()) < 1 << 32 else "<u8"
+
+
 def pack(keys: np.ndarray, *columns: np.ndarray) -> bytes:
-    """Sorted keys and counts (below 2 ** 32) as bytes."""
-    parts = [np.diff(keys, prepend=np.uint64(0)), *(c.astype("<u4") for c in columns)]
-    return len(keys).to_bytes(8, "little") + zlib.compress(b"".join(map(planes, parts)), 1)
+    """Sorted keys and counts as bytes."""
+    kinds = [width_of(c) for c in columns]
+    parts = [np.diff(keys, prepend=np.uint64(0)), *(c.astype(k) for c, k in zip(columns, kinds, strict=True))]
+    head = len(keys).to_bytes(8, "little") + bytes(int(k[2:]) for k in kinds)
+    return head + zlib.compress(b"".join(map(planes, parts)), 1)
 
 
 def unpack(blob: bytes, n_columns: int) -> list[np.ndarray]:
     n = int.from_bytes(blob[:8], "little")
-    raw = zlib.decompress(blob[8:])
-    out = [np.cumsum(unplanes(raw, n, "<u8"), dtype=np.uint64)]
-    return out + [unplanes(raw[8 * n + 4 * n * i :], n, "<u4").astype(np.int64) for i in range(n_columns)]
+    raw = zlib.decompress(blob[8 + n_columns :])
+    out, at = [np.cumsum(unplanes(raw, n, "<u8"), dtype=np.uint64)], 8 * n
+    for width in blob[8 : 8 + n_columns]:
+        out.append(unplanes(raw[at:], n, f"<u{width}").astype(np.int64))
+        at += width * n
+    return out
 
 
 def add_up(keys: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
@@ -126,6 +138,8 @@ def map_arrays(uri: str, n: int, kinds: list[str]) -> list[np.ndarray]:
         return [np.empty(0, k) for k in kinds]
     raw = np.memmap(get_file(uri), np.uint8, "r")
     out, at = [], 0
+    # The last column may be of COUNT: as wide as the file is long.
+    kinds = [("<u8" if len(raw) >= 8 * n * len(kinds) else "<u4") if k == COUNT else k for k in kinds]
     for k in kinds:
         size = n * np.dtype(k).itemsize
         out.append(raw[at : at + size].view(k))
@@ -165,7 +179,7 @@ class Opened:
         t = self.table
         shard = shard_of(keys, t.bits, t.mixed)
         place = np.full(len(keys), -1, np.int64)
-        values = [np.full(len(keys), d, k) for d, k in zip(defaults, t.kinds, strict=False)]
+        values = [np.full(len(keys), d, "<u8" if k == COUNT else k) for d, k in zip(defaults, t.kinds, strict=False)]
         order = np.argsort(shard, kind="stable")
         edges = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1)) if len(keys) else []
         for a, z in zip(edges, edges[1:], strict=False):

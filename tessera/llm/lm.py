@@ -1,12 +1,14 @@
 """Interpolated modified Kneser-Ney language model (operator 3).
 
 Tokens are the words of a text, A to Z lower-cased, then one end. The model has two orders, which
-are what its counts can be kept of for whole corpora: pairs of tokens, and tokens by the number of
-different tokens before them, interpolated with the uniform distribution over the vocabulary and
-one class of unknown words. Discounts for counts 1, 2 and more follow Chen and Goodman.
+are what its counts can be kept of for whole corpora (README has the figures): pairs of tokens, and
+tokens by the number of different tokens before them, interpolated with the uniform distribution over
+the vocabulary and one class of unknown words. Discounts for counts 1, 2 and more follow Chen and Goodman.
 
 Counting. Pass one counts tokens by XXH64; the sorted hash arrays give every token a dense number,
-its place. Pass two counts pairs of numbers, 32 bits each, exactly. What the estimate needs of
+its place. Pass two counts pairs of numbers exactly: a pair is one number of 64 bits, and if the
+vocabulary has more than 2 ** 32 tokens, so that 64 bits don't hold all pairs, first tokens are dealt
+to groups of which they do. Counts have as many bytes as they need. What the estimate needs of
 pairs (per first token, how many pairs occur once, twice, more often; per second token, how many
 there are) is summed per shard and then per range of numbers. Nothing of the size of the vocabulary
 is ever collected; the driver sees one row of totals per shard.
@@ -22,17 +24,19 @@ probability one. An empty table gives an empty result; other columns are ignored
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import fold_remainder, map_batches, scratch, small_batches, stored
-from tessera.llm.hashstore import Counts, Opened, Shards, add_up, blobs_of, gathered, map_arrays, write_arrays
+from tessera.llm.hashstore import COUNT, Counts, Opened, Shards, add_up, blobs_of, gathered, map_arrays, width_of, write_arrays
 
 #: No word has white space, so this stands for the end of a text.
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
@@ -40,7 +44,32 @@ END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
 SHARD_BYTES, MIN_BITS, MAX_BITS = 1 << 23, 4, 18
 #: Bytes of text that are looked at together.
 SLICE_BYTES = 1 << 22
-LOW = np.uint64(0xFFFFFFFF)
+
+
+@dataclass
+class Pairs:
+    """Pairs of token numbers (0 to ``n`` - 1) as one number within a group of first tokens."""
+
+    n: int
+    key_bits: int = 64
+
+    @property
+    def span(self) -> int:
+        """First tokens of a group."""
+        return max(1, (1 << self.key_bits) // self.n)
+
+    @property
+    def groups(self) -> int:
+        return -(-self.n // self.span)
+
+    def keys(self, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Group and number of each pair."""
+        span = min(self.span, 1 << 62)
+        return before // span, (before % span).astype(np.uint64) * np.uint64(self.n) + after.astype(np.uint64)
+
+    def parts(self, group: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = np.uint64(self.n)
+        return keys // n + np.uint64(group * self.span if self.groups > 1 else 0), keys % n
 
 
 def slices(texts: list[str | None]) -> Iterator[list[bytes]]:
@@ -95,7 +124,7 @@ class Model:
     """What workers need: the arrays' places, and the totals."""
 
     words: Shards
-    pairs: Shards
+    pairs: list[Shards]
     folder: str
     range_bits: int
     n_tokens: int
@@ -105,6 +134,8 @@ class Model:
     d_pair: list[float]
     d_word: list[float]
     seen: list[int]
+    numbers: Pairs
+    dense_kind: str
 
     @property
     def rest(self) -> float:
@@ -116,8 +147,8 @@ def width(n_words: int, bits: int) -> int:
     return -(-(n_words + 1) // (1 << bits))
 
 
-def train(texts: DataFrame, text_col: str = "text") -> Model:
-    """Counts and estimates the model of all rows of ``texts``."""
+def train(texts: DataFrame, text_col: str = "text", key_bits: int = 64) -> Model:
+    """Counts and estimates the model of all rows of ``texts``. ``key_bits`` bounds the numbers of pairs."""
     spark = texts.sparkSession
     small_batches(spark)
     src = texts.select(F.col(text_col).cast("string").alias("text"))
@@ -147,19 +178,28 @@ def train(texts: DataFrame, text_col: str = "text") -> Model:
         sizes[r["shard"]] = r["size"]
     words = Shards(f"{folder}/words", bits, False, sizes, ["<u8"])
     n_words = sum(sizes)
-    if n_words >= 1 << 32:
-        raise ValueError("token numbers need more than 32 bits")
     step = width(n_words, bits)
+    numbers = Pairs(n_words + 1, key_bits)
+    dense_kind = "<u4" if n_words < (1 << 32) - 1 else "<u8"  # no token has more neighbours than there are tokens
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, known = Counts(bits, mixed=True), words.open()
+        known = words.open()
+        counts = defaultdict(lambda: Counts(bits, mixed=True))
+
+        def emptied(g: int) -> Iterator[pa.RecordBatch]:
+            for b in counts.pop(g).blobs():
+                yield pa.RecordBatch.from_arrays([pc.add(b.column(0), g * parts), b.column(1)], ["shard", "blob"])
+
         for batch in batches:
             for part in slices(batch.column(0).to_pylist()):
                 ids, sizes = token_numbers(known, part)
-                counts.add(previous(ids, sizes).astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64))
-                if counts.full:
-                    yield from counts.blobs()
-        yield from counts.blobs()
+                group, keys = numbers.keys(previous(ids, sizes), ids)
+                for g in np.unique(group).tolist() if numbers.groups > 1 else [0]:
+                    counts[g].add(keys[group == g] if numbers.groups > 1 else keys)
+                    if counts[g].full:
+                        yield from emptied(g)
+        for g in list(counts):
+            yield from emptied(g)
 
     def write_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["shard", "blob", "size", "n1", "n2", "n3", "n4"]
@@ -168,10 +208,10 @@ def train(texts: DataFrame, text_col: str = "text") -> Model:
             return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([blob], pa.binary()), *(pa.array([x], pa.int64()) for x in (size, *n))], names)
 
         for s, (keys, n) in gathered(batches, 1):
-            write_arrays(f"{folder}/pairs/{s:06d}", keys, np.minimum(n, 0xFFFFFFFF).astype("<u4"))
+            write_arrays(f"{folder}/pairs/{s // parts}/{s % parts:06d}", keys, n.astype(width_of(n)))
             # Row -1 - s: totals of this shard. Row r: sums for the token numbers of range r.
             yield row(-1 - s, None, len(keys), [int((n == k).sum()) for k in (1, 2, 3, 4)])
-            before, after = (keys >> np.uint64(32)), keys & LOW
+            before, after = numbers.parts(s // parts, keys)
             zero = np.zeros(len(keys), np.int64)
             one = zero + 1
             sums = add_up(np.concatenate([before, after]), *(np.concatenate(x) for x in (((n == 1).astype(np.int64), zero), ((n == 2).astype(np.int64), zero), ((n > 2).astype(np.int64), zero), (zero, one))))
@@ -179,16 +219,17 @@ def train(texts: DataFrame, text_col: str = "text") -> Model:
                 k = batch.num_rows
                 yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.nulls(k, pa.int64())] * 5], names)
 
-    counted = stored(src.mapInArrow(count_pairs, blobs).repartition(parts, "shard").mapInArrow(write_pairs, "shard long, blob binary, size long, n1 long, n2 long, n3 long, n4 long"), "lm-pairs")
-    sizes, n = [0] * parts, [0] * 4
+    every = parts * numbers.groups
+    counted = stored(src.mapInArrow(count_pairs, blobs).repartition(every, "shard").mapInArrow(write_pairs, "shard long, blob binary, size long, n1 long, n2 long, n3 long, n4 long"), "lm-pairs")
+    sizes, n = [0] * every, [0] * 4
     for r in counted.where("shard < 0").drop("blob").collect():  # a row per shard
         sizes[-1 - r["shard"]] = r["size"]
         n = [a + r[f"n{k}"] for k, a in enumerate(n, 1)]
-    pairs = Shards(f"{folder}/pairs", bits, True, sizes, ["<u4"])
+    pairs = [Shards(f"{folder}/pairs/{g}", bits, True, sizes[g * parts : (g + 1) * parts], [COUNT]) for g in range(numbers.groups)]
 
     def write_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r, (keys, *columns) in gathered(batches, 4):
-            dense = [np.zeros(step, "<u4") for _ in columns]
+            dense = [np.zeros(step, dense_kind) for _ in columns]
             at = (keys - np.uint64(r * step)).astype(np.int64)
             for d, c in zip(dense, columns, strict=True):
                 d[at] = c
@@ -198,7 +239,7 @@ def train(texts: DataFrame, text_col: str = "text") -> Model:
 
     rows = stored(counted.where("shard >= 0").select("shard", "blob").repartition(parts, "shard").mapInArrow(write_ranges, "n1 long, n2 long, n3 long, n4 long, more long"), "lm-ranges")
     sums = rows.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in rows.columns)).first()
-    return Model(words, pairs, f"{folder}/ranges", bits, sum(r["total"] for r in done), n_words, src.count(), sum(sizes), discounts(n), discounts(list(sums[:4])), [sums[0], sums[1], sums[4]])
+    return Model(words, pairs, f"{folder}/ranges", bits, sum(r["total"] for r in done), n_words, src.count(), sum(sizes), discounts(n), discounts(list(sums[:4])), [sums[0], sums[1], sums[4]], numbers, dense_kind)
 
 
 def token_numbers(known: Opened, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +254,7 @@ class Scorer:
     """The mapped model in a worker."""
 
     def __init__(self, model: Model) -> None:
-        self.m, self.words, self.pairs = model, model.words.open(), model.pairs.open()
+        self.m, self.words, self.pairs = model, model.words.open(), [p.open() for p in model.pairs]
         self.step = width(model.n_words, model.range_bits)
         self.maps: dict[int, list[np.ndarray]] = {}
 
@@ -225,11 +266,20 @@ class Scorer:
         for a, z in zip(edges, edges[1:], strict=False):
             r = int(part[a])
             if r not in self.maps:
-                self.maps[r] = map_arrays(f"{self.m.folder}/{r:06d}", self.step, ["<u4"] * 4)
+                self.maps[r] = map_arrays(f"{self.m.folder}/{r:06d}", self.step, [self.m.dense_kind] * 4)
             for o, c in zip(out, self.maps[r], strict=True):
                 o[a:z] = c[ids[a:z] - r * self.step]
         return out
 
+    def pair_counts(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        group, every = self.m.numbers.keys(before, after)
+        out = np.zeros(len(every), np.int64)
+        for g, own in enumerate(self.pairs):
+            at = slice(None) if len(self.pairs) == 1 else np.flatnonzero(group == g)
+            keys, where = np.unique(every[at], return_inverse=True)
+            out[at] = own.find(keys, 0)[1].astype(np.int64)[where]
+        return out
+
     def score(self, texts: list[bytes]) -> list[np.ndarray]:
         """Per text: tokens, known tokens, base score, score."""
         m = self.m
@@ -264,10 +314,8 @@ class Scorer:
             context_left[begins], context_total[begins] = first_left, first_total
         p = context_left * lower[back]
         use = (token > 0) & (prior >= 0)
-        keys, where = np.unique(prior[use].astype(np.uint64) << np.uint64(32) | token[use].astype(np.uint64), return_inverse=True)
-        c = self.pairs.find(keys, 0)[1].astype(np.int64)
-        part = np.maximum(c - of_count(m.d_pair, c), 0)[where]
-        p[use] += part / np.maximum(context_total[use], 1)
+        c = self.pair_counts(prior[use], token[use])
+        p[use] += np.maximum(c - of_count(m.d_pair, c), 0) / np.maximum(context_total[use], 1)
         score = np.add.reduceat(np.log10(p), begins)
         return [sizes, known, base, score]
 

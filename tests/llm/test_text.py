@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe, chat, cotrain, lm, quality, toxicity, warc
+from tessera.llm import bpe, chat, cotrain, hashstore, lm, quality, toxicity, warc
 from tessera.llm.common import scratch
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -255,12 +255,29 @@ def slow_base(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(inside)
 
 
+def test_counts_of_any_size_are_kept(tmp_path):
+    keys = np.array([3, 9, 1 << 63], np.uint64)
+    for counts in ([1, 2, 3], [1, 1 << 40, (1 << 62) + 1]):
+        n = np.array(counts, np.int64)
+        assert [x.tolist() for x in hashstore.unpack(hashstore.pack(keys, n, n + 1), 2)] == [keys.tolist(), counts, [c + 1 for c in counts]]
+        hashstore.write_arrays(f"{tmp_path}/x", keys, n.astype(hashstore.width_of(n)))
+        assert [x.tolist() for x in hashstore.map_arrays(f"{tmp_path}/x", 3, ["<u8", hashstore.COUNT])] == [keys.tolist(), counts]
+
+
+def slow_discounts(counts):
+    """Chen and Goodman's D1, D2, D3+; half of the count where they are out of bounds."""
+    n1, n2, n3, n4 = (sum(c == k for c in counts) for k in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2) if n1 else 0.0
+    d = [1 - 2 * y * n2 / n1 if n1 else 0.0, 2 - 3 * y * n3 / n2 if n2 else 0.0, 3 - 4 * y * n4 / n3 if n3 else 0.0]
+    return [x if 0 < x < k else k / 2 for k, x in zip((1, 2, 3), d, strict=True)]
+
+
 def slow_spelling(texts, order):
     """The same model over plain dictionaries."""
     top = defaultdict(int)
     for t in texts:
         for w in t.split():
-            s = "\x01" + w + "\x02"
+            s = "\v" + w + "\f"
             for i in range(1, len(s)):
                 top[s[max(0, i - order + 1) : i + 1]] += 1
     levels = {order: {g: c for g, c in top.items() if len(g) == order}}
@@ -274,7 +291,7 @@ def slow_spelling(texts, order):
         levels[n] = dict(now)
     model = {}
     for n, grams in levels.items():
-        d = lm.discounts([sum(c == k for c in grams.values()) for k in (1, 2, 3, 4)])
+        d = slow_discounts(grams.values())
         total, spare = defaultdict(int), defaultdict(float)
         for g, c in grams.items():
             total[g[:-1]] += c
@@ -285,7 +302,7 @@ def slow_spelling(texts, order):
     def log_perplexity(t):
         score = letters_seen = 0
         for w in t.split():
-            s = "\x01" + w + "\x02"
+            s = "\v" + w + "\f"
             for i in range(1, len(s)):
                 p = 1 / (letters + 1)
                 for n in range(1, order + 1):
@@ -303,12 +320,13 @@ def test_quality_equals_brute_force(spark):
     rng = random.Random(6)
     texts = [" ".join(rng.choice(["und", "der", "zeit", "lang", "heim", "weg"]) + rng.choice("aeiou") for _ in range(rng.randrange(55, 120))) for _ in range(40)]
     texts += [" ".join("QX#Z%" + rng.choice("ABC") + str(rng.randrange(99)) for _ in range(80)) for _ in range(3)]
+    texts.append(" ".join("\x01ab\x02 \x01" for _ in range(9)) + " " + texts[0])
     rows = [(i, t, None if i % 9 == 0 else "de") for i, t in enumerate(texts)] + [(100, None, "de"), (101, "", "fr"), (102, "a\nb\na\n\n \na b c a b c", None), (None, texts[0], "de")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     r = {x.doc_id: x for x in quality.judged(docs).collect()}
     assert len(r) == len(rows)
     for lang in ("de", None):
-        own = [t for _, t, x in rows if x == lang and t and quality.passes(slow_base(t))]
+        own = [t for _, t, x in rows if x == lang and t and slow_base(t)[0] >= 50 and 2 * slow_base(t)[4] <= slow_base(t)[0]]
         ppl = slow_spelling(own, quality.ORDER)
         for i, t, x in rows:
             if x == lang and t and t.split():
@@ -321,6 +339,20 @@ def test_quality_equals_brute_force(spark):
     assert quality.judged(docs.limit(0)).count() == 0
 
 
+def test_any_number_of_letters_can_be_counted(spark):
+    words = ["".join(map(chr, range(a, a + 7))) for a in range(0x3400, 0x3400 + 90_000, 6) if not 0xD7F0 < a < 0xE010]
+    grams, n = quality.counted({w: 1 + i % 3 for i, w in enumerate(words)})
+    want = Counter()
+    for i, w in enumerate(words):
+        s = quality.BEGIN + w + quality.END
+        for j in range(1, len(s)):
+            want[s[max(0, j - quality.ORDER + 1) : j + 1]] += 1 + i % 3
+    assert len({c for w in words for c in w}) > 1 << 16 and dict(zip(grams, n.tolist(), strict=True)) == want
+    many = spark.createDataFrame([(i, " ".join(words[i :: 150]), f"language {i}") for i in range(150)] + [(900, "long " * 500_000, "long")], "doc_id long, text string, lang string").withColumn("n_words", F.lit("own")).withColumn("id", F.lit(1))
+    rows = quality.judged(many).collect()
+    assert len(rows) == 151 and all(r.n_words >= 90 for r in rows)
+
+
 def test_language_model_equals_brute_force(spark, docs):
     model = lm.train(docs.where(~lm.held_out_fold(F.col("doc_id"))))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
@@ -332,9 +364,8 @@ def test_language_model_equals_brute_force(spark, docs):
             uni.update(tokens(t))
             bi.update(zip([0, *tokens(t)[:-1]], tokens(t), strict=True))
     n, v = sum(uni.values()), len(uni)
-    count = lambda c: lm.discounts([sum(x == k for x in c) for k in (1, 2, 3, 4)])
     before = Counter(b for _, b in bi)
-    d2, d1 = count(bi.values()), count(before.values())
+    d2, d1 = slow_discounts(bi.values()), slow_discounts(before.values())
     behind, total = defaultdict(lambda: [0, 0, 0]), Counter()
     for (a, _), c in bi.items():
         behind[a][min(c, 3) - 1] += 1
@@ -355,6 +386,9 @@ def test_language_model_equals_brute_force(spark, docs):
         want.append((-1 if i is None else i, len(w), sum(x in uni for x in w), n, round(sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w), 6), round(sum(math.log10(p(a, b)) for a, b in zip([0, *w[:-1]], w, strict=True)), 6)))
     assert got == sorted(want)
     assert sum(p(0, w) for w in uni) + (1 - sum(p(0, w) for w in uni)) == pytest.approx(1) and sum(low(w) for w in uni) + rest / (v + 1) == pytest.approx(1)
+    groups = lm.train(docs.where(~lm.held_out_fold(F.col("doc_id"))), key_bits=22)
+    assert 2 < groups.numbers.groups < 12, groups.numbers
+    assert sorted(((-1 if r.doc_id is None else r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm.scores(docs, groups).collect()) == got
     none = lm.train(docs.limit(0))
     assert {r.score for r in lm.scores(docs, none).collect()} == {0.0} and lm.scores(docs.limit(0), model).count() == 0
 
