@@ -3,9 +3,10 @@
 Writer. Every page becomes one record in one gzip member. Pages with equal payloads (by SHA-1) of
 at least ``min_revisit_bytes`` share one ``response``, that of the largest page id; the others are
 ``revisit`` records that name it. Which page is which comes from a count of digests, pre-aggregated
-in each task; the members are made before the join with that result, so that what is shuffled is
-compressed once. A task writes whole archives under names of its own and renames them when ended;
-a task that runs twice replaces its files.
+in each task, and is known before a record is made, so that no payload is compressed in vain. Up to
+``BROADCAST_DIGESTS`` repeated digests go to all tasks, and pages are not shuffled; more meet the pages
+in a join. A task writes whole archives under names that no other attempt has, and the table of
+files that Spark commits tells which count: files of an attempt that was lost or beaten are never read.
 
 Reader. One task reads an archive from front to end: a zlib stream per member, fed chunk by chunk,
 header lines up to the blank line, exactly ``Content-Length`` bytes of block, the closing blank
@@ -14,7 +15,8 @@ payloads are asked for.
 
 Defined cases. A null html is an empty payload, a null url an empty target. A null page id is
 written as such and read back as null; it never is the response of a group that has another id.
-Rows with equal id and payload are all responses, if their id is the largest, else all revisits.
+Rows with equal id and payload are all responses, if their id is the largest, else all revisits;
+rows of one page id share a record id. Tabs, line ends and blanks of a url become one blank.
 A damaged record ends its archive with a row whose ``error`` says what was wrong. An empty table
 gives no archive and no rows. Other columns are ignored.
 """
@@ -23,6 +25,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from typing import BinaryIO
@@ -32,13 +36,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import get_file, map_batches, put_file, scratch, stored
+from tessera.llm.common import get_file, put_file, scratch, small_batches, stored
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:page:"
 CHUNK = 1 << 16
 #: An archive is closed once it has this many bytes.
 ARCHIVE_BYTES = 1 << 26
+#: Repeated digests (of some 60 bytes) that are broadcast at most.
+BROADCAST_DIGESTS = 1_000_000
+#: Bytes of an HTTP header at most.
+MAX_HEAD = 1 << 20
+_BLANKS = re.compile(r"[ \t\n\f\r]+")
 
 
 def b32(digest: bytes) -> str:
@@ -52,7 +61,7 @@ def record(kind: str, page_id: int | None, url: str, digest: str, size: int, blo
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: <{URN}{'' if page_id is None else page_id}>",
         f"WARC-Date: {date}",
-        f"WARC-Target-URI: {' '.join(url.split())}",
+        f"WARC-Target-URI: {_BLANKS.sub(' ', url).strip(' ')}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Block-Digest: sha1:{b32(hashlib.sha1(block).digest())}",
         "Content-Type: application/http; msgtype=response",
@@ -72,7 +81,9 @@ class Archives:
     """Writes members to numbered archives of one task, in a mounted folder or in a store."""
 
     def __init__(self, folder: str) -> None:
-        self.folder, self.part, self.n, self.held, self.size = folder, TaskContext.get().partitionId(), 0, [], 0
+        # A name of this attempt alone: rows of a join come in any order, so a second attempt can deal
+        # them out to its archives otherwise.
+        self.prefix, self.n, self.held, self.size = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", 0, [], 0
 
     def add(self, member: bytes) -> str | None:
         self.held.append(member)
@@ -82,7 +93,7 @@ class Archives:
     def close(self) -> str | None:
         if not self.held:
             return None
-        name = f"{self.folder}/{self.part:06d}-{self.n:04d}.warc.gz"
+        name = f"{self.prefix}-{self.n:04d}.warc.gz"
         put_file(name, b"".join(self.held))
         self.held, self.size, self.n = [], 0, self.n + 1
         return name
@@ -94,31 +105,29 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, da
     digests = src.select("id", F.sha1(F.encode("body", "UTF-8")).alias("sha"), F.octet_length("body").alias("size"))
     shared = digests.where(F.col("size") >= min_revisit_bytes).groupBy("sha").agg(F.max("id").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "best")
 
-    def members(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-        out = []
-        for i, url, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            payload = body.encode()
-            sha = hashlib.sha1(payload)
-            size = len(payload)
-            out.append((i, sha.hexdigest(), url, size, record("response", i, url, b32(sha.digest()), size, http_head(size) + payload, date)))
-        kinds = pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()
-        yield pa.RecordBatch.from_arrays([pa.array([row[k] for row in out], t) for k, t in enumerate(kinds)], ["id", "sha", "url", "size", "member"])
+    shared = stored(shared, "shared")
+    if shared.count() <= BROADCAST_DIGESTS:
+        shared = F.broadcast(shared)
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archives = Archives(folder)
         for batch in batches:
             names = []
-            for i, sha, url, size, member, best in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if best is not None and i != best:
-                    member = record("revisit", i, url, b32(bytes.fromhex(sha)), size, http_head(size), date, best)
+            for i, url, body, sha, best in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                payload, digest = body.encode(), b32(bytes.fromhex(sha))
+                if best is None or i == best:
+                    member = record("response", i, url, digest, len(payload), http_head(len(payload)) + payload, date)
+                else:
+                    member = record("revisit", i, url, digest, len(payload), http_head(len(payload)), date, best)
                 names.append(archives.add(member))
             if names := [x for x in names if x]:
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["file"])
         if name := archives.close():
             yield pa.RecordBatch.from_arrays([pa.array([name], pa.string())], ["file"])
 
-    made = map_batches(src, members, "id long, sha string, url string, size long, member binary")
-    return stored(made.join(shared, "sha", "left").select("id", "sha", "url", "size", "member", "best").mapInArrow(files, "file string"), "warc-files")
+    small_batches(pages.sparkSession)
+    rows = src.withColumn("sha", F.sha1(F.encode("body", "UTF-8"))).join(shared, "sha", "left").select("id", "url", "body", "sha", "best")
+    return stored(rows.mapInArrow(files, "file string"), "warc-files")
 
 
 class Damaged(Exception):
@@ -165,7 +174,7 @@ class Reader:
             name, colon, value = line.decode("utf-8", "replace").partition(":")
             if not colon:
                 raise Damaged("a header line has no colon")
-            out[name.strip().lower()] = value.strip()
+            out[name.strip().lower()] = value.strip(" \t")
         return out
 
     def _take(self, n: int) -> Iterator[bytes]:
@@ -197,8 +206,10 @@ class Reader:
             block.update(part)
             if http is not None:
                 http += part
-                cut = http.find(b"\r\n\r\n")
+                cut = http.find(b"\r\n\r\n", max(0, len(http) - len(part) - 3))
                 if cut < 0:
+                    if len(http) > MAX_HEAD:
+                        raise Damaged("the HTTP header doesn't end")
                     continue
                 part, inner, http = http[cut + 4 :], http[:cut], None
             payload.update(part)
