@@ -11,7 +11,8 @@ a join that Spark splits if it is skewed).
 
 Defined cases. Turns are ordered by turn, role and text, nulls first; equal rows count once. A null
 role or text counts as empty. Turns of a null conversation id belong to none. A pair is left out
-if a side is null or has no turns. If a conversation is a prefix of the other (or equal to it), its
+if a side is null or has no turns. Equal rows of pairs count once; a pair id with other sides is
+another pair, with a row of its own. If a conversation is a prefix of the other (or equal to it), its
 completion and mask are empty. Empty tables give an empty result; other columns are ignored.
 """
 
@@ -58,16 +59,13 @@ def mask(turns: Column) -> Column:
 def format_preferences(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     """``turns(conv_id, turn, role, text)``, ``pairs(pair_id, chosen_id, rejected_id)`` -> one row per pair."""
     convs = conversations_of(turns)
-    sides = pairs.select("pair_id", F.explode(F.array(F.struct(F.lit(True).alias("chosen"), F.col("chosen_id").alias("conv_id")), F.struct(F.lit(False).alias("chosen"), F.col("rejected_id").alias("conv_id")))).alias("s")).select("pair_id", "s.*")
+    ids = ["pair_id", "chosen_id", "rejected_id"]
+    side = lambda flag, c: F.struct(F.lit(flag).alias("chosen"), F.col(c).alias("conv_id"))
+    sides = pairs.select(*ids).distinct().select(*ids, F.explode(F.array(side(True, "chosen_id"), side(False, "rejected_id"))).alias("s")).select(*ids, "s.*")
     both = (
         sides.join(convs, "conv_id")
-        .groupBy("pair_id")
-        .agg(
-            F.first(F.when(F.col("chosen"), F.col("conv_id")), True).alias("chosen_id"),
-            F.first(F.when(~F.col("chosen"), F.col("conv_id")), True).alias("rejected_id"),
-            F.first(F.when(F.col("chosen"), F.col("turns")), True).alias("a"),
-            F.first(F.when(~F.col("chosen"), F.col("turns")), True).alias("b"),
-        )
+        .groupBy(*ids)
+        .agg(F.first(F.when(F.col("chosen"), F.col("turns")), True).alias("a"), F.first(F.when(~F.col("chosen"), F.col("turns")), True).alias("b"))
         .where("a is not null and b is not null")
         .withColumn("k", common_turns(F.col("a"), F.col("b")))
     )
