@@ -4,17 +4,21 @@ Fingerprints. Words are lower-cased (A to Z), shingles of ``k`` words are joined
 repeats included; a text with fewer words is one shingle, one without words has fingerprint zero.
 Bit b is set if it is set in more than half of the shingles' XXH64 (seed 42).
 
-Links. Only distinct fingerprints are compared, so a group of copies counts once. Two fingerprints
-with at most r differing bits agree in one of r + 1 blocks of bits, which brings them into one
-bucket. Buckets of more than ``bucket_limit`` fingerprints, where so many are to be expected of the
-whole number, are cut again: of their other bits, r + 1 blocks are formed and again one of them
-must agree. A bucket that is larger than that holds a cluster of near copies. Its fingerprints are
-linked without comparing pairs: two of them are within r bits if and only if some number is within
-r / 2 bits of both, so each is written under all such numbers, and those that share one are linked
-to the least of them. In a smaller bucket, a pivot distance table holds the Hamming distance of each fingerprint to
-many reference fingerprints; by the triangle inequality a pair whose coordinates differ by more
-than r anywhere is no link. Survivors are verified. A bucket gives no pairs but a spanning star of
-each group of linked fingerprints.
+Links. Only distinct fingerprints are compared, so a group of copies counts once. A pivot distance
+table holds the Hamming distance of each fingerprint to many reference fingerprints; by the triangle
+inequality a pair whose coordinates differ by more than r anywhere is no link. What is not discarded
+is verified. Pivots alone are no key to join by; so that not all fingerprints have to be in one place,
+they are dealt to buckets: two with at most r differing bits agree in one of r + 1 blocks of bits. In
+small buckets all pairs are looked at, in larger ones groups are grown: what is linked to a member
+leaves the rest that the next is held against, so a bucket of near copies takes few steps. A
+bucket gives no pairs but a spanning star of each group of linked fingerprints.
+
+A bucket of more than ``bucket_limit`` fingerprints, which should not be one task's, is cut again: of
+its other bits, r + 1 blocks are formed and again one of them must agree. If so many are still together
+when chance would have spread them, they are a cluster of near copies. These are linked through
+numbers: two of them are within r bits if and only if some number is within r // 2 bits of one and
+r - r // 2 of the other, so each is written under all such numbers, and linked to the least
+fingerprint that is within r // 2 of the number.
 
 Near copies by similarity (``near_classes``, ``one_per_near_class``) are texts whose shingles of
 ``k`` words, each counted as often as it occurs, have a Jaccard similarity of ``threshold`` or more.
@@ -48,7 +52,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import forget, map_slices, stored
 
 SEED = 42
-BUCKET_LIMIT = 1024
+#: Fingerprints of a bucket whose pairs are all looked at, and that one task works off.
+ALL_PAIRS, BUCKET_LIMIT = 1024, 1 << 16
 N_PIVOTS = 32
 #: Pairs that are looked at together.
 PAIRS = 1 << 20
@@ -166,6 +171,40 @@ def stars(fp: np.ndarray, bucket_end: np.ndarray, radius: int) -> tuple[np.ndarr
     return fp[others], fp[label[others]]
 
 
+def grown(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one large bucket: groups are grown from one member after the other."""
+    table = np.ascontiguousarray(np.bitwise_count(fp[None, :] ^ pivots()[:, None]).astype(np.int8))
+    left = np.arange(len(fp))
+    label = np.arange(len(fp))
+    while len(left):
+        root, left = left[0], left[1:]
+        todo = [root]
+        while todo and len(left):
+            a = todo.pop()
+            near = left
+            for row in table:
+                near = near[np.abs(row[near] - row[a]) <= radius]
+                if len(near) < 64:
+                    break
+            near = near[np.bitwise_count(fp[near] ^ fp[a]) <= radius]
+            if len(near):
+                label[near] = root
+                left = left[label[left] != root]
+                todo += near.tolist()
+    others = np.flatnonzero(label != np.arange(len(fp)))
+    return fp[others], fp[label[others]]
+
+
+def bucket_links(fp: np.ndarray, ends: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within buckets that lie one after the other; ``ends`` is where each ends."""
+    sizes = np.diff(ends, prepend=0)
+    small = np.repeat(sizes <= ALL_PAIRS, sizes)
+    own = sizes[sizes <= ALL_PAIRS]
+    out = [stars(fp[small], np.repeat(np.cumsum(own), own), radius)]
+    out += [grown(fp[e - n : e], radius) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True) if n > ALL_PAIRS]
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def links(distinct: DataFrame, radius: int = 4, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """``u``, ``v``: pairs of fingerprints that connect all fingerprints linked within the radius.
 
@@ -177,8 +216,7 @@ def links(distinct: DataFrame, radius: int = 4, bucket_limit: int = BUCKET_LIMIT
         def close(rows: np.ndarray) -> pa.RecordBatch:
             new = np.flatnonzero((rows[:2, 1:] != rows[:2, :-1]).any(axis=0)) + 1
             ends = np.concatenate([new, [rows.shape[1]]])
-            sizes = np.diff(ends, prepend=0)
-            u, v = stars(rows[2].view(np.uint64), np.repeat(ends, sizes), radius)
+            u, v = bucket_links(rows[2].view(np.uint64), ends, radius)
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
         for batch in batches:
@@ -212,17 +250,20 @@ def links(distinct: DataFrame, radius: int = 4, bucket_limit: int = BUCKET_LIMIT
             return found
         items = items.join(heavy, ["mask", "val"], "left_semi")
         fixed = min(m.bit_count() for m in known)
-        if radius % 2 == 0 and total / 2**fixed <= bucket_limit / 4 or 64 - fixed <= radius:
+        if total / 2**fixed <= bucket_limit / 4 or 64 - fixed <= radius:
             return found.union(dense_links(items.select("fp").distinct(), radius))
         items = items.select("fp", "mask")
 
 
 def dense_links(members: DataFrame, radius: int) -> DataFrame:
-    """``u``, ``v``: links among fingerprints many of which are near each other; for an even radius."""
-    flips = [sum(1 << b for b in bits) for n in range(radius // 2 + 1) for bits in combinations(range(64), n)]
-    near = members.select("fp", F.explode(F.array(*[F.lit(signed(x)) for x in flips])).alias("x")).select("fp", F.col("fp").bitwiseXOR(F.col("x")).alias("z"))
-    least = near.groupBy("z").agg(F.min("fp").alias("v"), F.max("fp").alias("w")).where("v < w").select("z", "v")
-    return near.join(least, "z").where("fp != v").select(F.col("fp").alias("u"), "v").distinct()
+    """``u``, ``v``: links among fingerprints many of which are near each other."""
+
+    def within(r: int) -> DataFrame:
+        flips = [sum(1 << b for b in bits) for n in range(r + 1) for bits in combinations(range(64), n)]
+        return members.select("fp", F.explode(F.array(*[F.lit(signed(x)) for x in flips])).alias("x")).select("fp", F.col("fp").bitwiseXOR(F.col("x")).alias("z"))
+
+    least = within(radius // 2).groupBy("z").agg(F.min("fp").alias("v"))
+    return within(radius - radius // 2).join(least, "z").where("fp != v").select(F.col("fp").alias("u"), "v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

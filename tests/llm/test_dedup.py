@@ -80,6 +80,50 @@ def test_large_buckets_are_cut_without_loss(spark):
     assert {n & (1 << 64) - 1 for n in want} == linked
 
 
+def test_odd_radii_and_clusters_lose_no_link(spark):
+    rng = random.Random(15)
+    hub = rng.getrandbits(64)
+    flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(64), n))
+    for radius in (1, 3):
+        fps = {flip(hub, rng.randrange(5)) for _ in range(150)} | {rng.getrandbits(64) for _ in range(100)}
+        fps |= {flip(x, radius) for x in list(fps)[:40]}
+        df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+        want = list(range(len(fps)))
+        own = list(fps)
+        for a, x in enumerate(own):
+            for b in range(a):
+                if (x ^ own[b]).bit_count() <= radius and want[a] != want[b]:
+                    want = [min(want[a], want[b]) if w in (want[a], want[b]) else w for w in want]
+        groups = {frozenset(own[i] for i, w in enumerate(want) if w == g) for g in set(want)}
+        for found in (simhash.links(df, radius, 1000), simhash.links(df, radius, 30), simhash.dense_links(df, radius)):
+            got = {}
+            for r in simhash.components(found).collect():
+                got.setdefault(r.label, set()).add(r.node & (1 << 64) - 1)
+            assert {frozenset(x) for x in got.values()} == {g for g in groups if len(g) > 1}
+
+
+def test_large_buckets_are_grown_like_small_ones(monkeypatch):
+    rng = np.random.default_rng(3)
+    fp = rng.integers(0, 1 << 63, 700, dtype=np.uint64)
+    for k in range(1, 600):
+        fp[k] = fp[rng.integers(0, k)] ^ (np.uint64(1) << rng.integers(0, 64, dtype=np.uint64)) if k % 3 else fp[k]
+    fp = rng.permutation(np.unique(fp))
+    ends = np.array([5, 300, 301, len(fp)])
+
+    def groups():
+        label = {int(x): int(x) for x in fp}
+        for u, v in zip(*simhash.bucket_links(fp, ends, 2), strict=True):
+            label[int(u)] = int(v)
+        out = {}
+        for x, y in label.items():
+            out.setdefault(y, set()).add(x)
+        return {frozenset(x) for x in out.values()}
+
+    want = groups()
+    monkeypatch.setattr(simhash, "ALL_PAIRS", 20)
+    assert groups() == want and max(map(len, want)) > 20
+
+
 def test_pivots_lose_no_pair():
     rng = np.random.default_rng(1)
     fp = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
