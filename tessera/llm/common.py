@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import itertools
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -27,18 +29,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, as ``spark.checkpoint.dir`` names it.
+    """The folder that the driver and all executors see: what ``spark.checkpoint.dir`` names, or the
+    checkpoint folder that the context was given.
 
-    Only where that is unset (local tests) is a temporary folder made.
+    Only where neither is set, and the driver is the only executor (local tests), is a temporary folder made.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(_OWN[app])
-    return _OWN[app]
+    context = spark.sparkContext
+    given = context._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get().rstrip("/")
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    if context.applicationId not in _OWN:
+        own = _OWN[context.applicationId] = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return _OWN[context.applicationId]
 
 
 def scratch(spark: SparkSession, what: str) -> str:
