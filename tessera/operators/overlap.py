@@ -2,7 +2,9 @@
 
 Pairs come from a tile join, never from a theta join: both sides are dealt to the tiles their
 bounding boxes touch, meet by tile, and a pair is kept only in the tile that holds the greater of
-both both low corners. Tiles are half open, so no pair is found twice. The measures of boxes and segments
+both low corners. Tiles are half open, so no pair is found twice. Tiles have levels, each twice as wide
+as the one below, and a box lies in tiles of its own width, so a few huge boxes cost no more than
+others. The join is a plain equi-join, which Spark splits where a tile is crowded. The measures of boxes and segments
 are column expressions; those of triangles, tetrahedra, and exact rational ones, are made in Arrow
 batches.
 """
@@ -13,10 +15,9 @@ from collections.abc import Iterator
 from fractions import Fraction
 from functools import reduce
 from itertools import product
-from math import comb, factorial
+from math import comb, factorial, prod
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,32 +28,67 @@ from tessera.plans import constants as K
 from tessera.plans.store import bound
 
 
+def extents(df: DataFrame, dim: int) -> list[Column]:
+    return [F.get("hi", F.lit(d)) - F.get("lo", F.lit(d)) for d in range(dim)]
+
+
 def tile_sides(a: DataFrame, b: DataFrame, dim: int) -> list[float]:
-    """Tile widths: the greater of both mean extents per axis (one row of statistics)."""
-    mean = lambda df: df.agg(*[F.avg(F.get("hi", F.lit(d)) - F.get("lo", F.lit(d))) for d in range(dim)]).first()
-    return [max(x or 0.0, y or 0.0, 1e-9) for x, y in zip(mean(a), mean(b), strict=True)]
+    """Least tile widths: the greater of both median extents per axis (one row of statistics)."""
+    half = lambda df: df.agg(*[F.percentile_approx(x.cast("double"), 0.5, F.lit(1000)) for x in extents(df, dim)]).first()
+    return [max(x or 0.0, y or 0.0, 1e-9) for x, y in zip(half(a), half(b), strict=True)]
+
+
+def leveled(df: DataFrame, base: list[float]) -> DataFrame:
+    """Adds ``_lev``: the level whose tiles (``base`` times a power of two) are as wide as the row's box."""
+    need = [F.ceil(F.log2(F.greatest(x.cast("double") / s, F.lit(1.0)))) for x, s in zip(extents(df, len(base)), base, strict=True)]
+    return df.withColumn("_lev", F.least(F.greatest(*need, F.lit(0)), F.lit(60)).cast("int"))
+
 
+def levels_of(a: DataFrame, b: DataFrame) -> tuple[list[int], list[int]]:
+    """The levels of both sides (at most 61 each), in one job."""
+    rows = a.select("_lev", F.lit(0).alias("side")).union(b.select("_lev", F.lit(1))).distinct().collect()
+    return tuple(sorted(r[0] for r in rows if r[1] == k) for k in (0, 1))
 
-def tiled(df: DataFrame, side: list[float]) -> DataFrame:
-    for d, s in enumerate(side):
-        df = df.withColumn(f"t{d}", F.explode(F.sequence(F.floor(F.get("lo", F.lit(d)) / s), F.floor(F.get("hi", F.lit(d)) / s))))
+
+def tiled(df: DataFrame, base: list[float], others: list[int]) -> DataFrame:
+    """A row for each tile that a box touches, at its own level and at wider levels that the other side
+    has: at most two per axis and level, however wide the box is."""
+    wider = F.filter(F.array(*map(F.lit, others)).cast("array<int>"), lambda x: x > F.col("_lev"))
+    df = df.withColumn("t_lev", F.explode(F.concat(F.array("_lev"), wider)))
+    for d, s in enumerate(base):
+        side = F.pow(F.lit(2.0), F.col("t_lev")) * s
+        df = df.withColumn(f"t{d}", F.explode(F.sequence(F.floor(F.get("lo", F.lit(d)) / side), F.floor(F.get("hi", F.lit(d)) / side))))
     return df
 
 
 def box_pairs(a: DataFrame, b: DataFrame, dim: int, side: list[float] | None = None) -> DataFrame:
     """Pairs of rows whose boxes (``lo``, ``hi`` arrays) overlap strictly on every axis.
 
-    Columns of ``a`` come back with the prefix ``a_``, those of ``b`` with ``b_``.
+    A pair meets at the level of the wider of both, in the tile that holds the greater low corners.
+    With ``side`` the least tiles have these widths. Columns of ``a`` come back with the prefix
+    ``a_``, those of ``b`` with ``b_``.
     """
-    side = side or tile_sides(a, b, dim)
-    named = lambda df, p: tiled(df, side).select(*[F.col(c).alias(c if c in tiles else p + c) for c in [*df.columns, *tiles]])
-    tiles = [f"t{d}" for d in range(dim)]
-    pairs = named(a, "a_").join(named(b, "b_"), tiles)
+    base = side or tile_sides(a, b, dim)
+    a, b = leveled(a, base), leveled(b, base)
+    la, lb = levels_of(a, b)
+    tiles = ["t_lev", *[f"t{d}" for d in range(dim)]]
+
+    def named(df: DataFrame, p: str, others: list[int]) -> DataFrame:
+        return tiled(df, base, others).select(*[F.col(c).alias(c if c in tiles else p + c) for c in [*df.columns, *tiles]])
+
+    pairs = named(a, "a_", lb).join(named(b, "b_", la), tiles).where(F.col("t_lev") == F.greatest("a__lev", "b__lev"))
     get = lambda c, d: F.get(c, F.lit(d))
-    for d, s in enumerate(side):
+    for d, s in enumerate(base):
         at = F.greatest(get("a_lo", d), get("b_lo", d))
-        pairs = pairs.where((get("a_hi", d) > get("b_lo", d)) & (get("b_hi", d) > get("a_lo", d)) & (F.floor(at / s) == F.col(f"t{d}")))
-    return pairs.drop(*tiles)
+        width = F.pow(F.lit(2.0), F.col("t_lev")) * s
+        pairs = pairs.where((get("a_hi", d) > get("b_lo", d)) & (get("b_hi", d) > get("a_lo", d)) & (F.floor(at / width) == F.col(f"t{d}")))
+    return pairs.drop(*tiles, "a__lev", "b__lev")
+
+
+def within_range(boxes: DataFrame, lo: list[float], hi: list[float]) -> DataFrame:
+    """Rows whose boxes overlap a given box strictly on every axis."""
+    get = lambda c, d: F.get(c, F.lit(d))
+    return boxes.where(reduce(lambda x, y: x & y, [(get("lo", d) < h) & (get("hi", d) > x) for d, (x, h) in enumerate(zip(lo, hi, strict=True))]))
 
 
 def overlap_boxes(a: DataFrame, b: DataFrame, dim: int, order: int = 0, side: list[float] | None = None) -> DataFrame:
@@ -68,12 +104,28 @@ def overlap_boxes(a: DataFrame, b: DataFrame, dim: int, order: int = 0, side: li
 
 def ghosts(df: DataFrame, periods: list[float | None]) -> DataFrame:
     """Copies shifted by -1, 0, +1 periods on periodic axes (a factor of at most 3 ** axes)."""
-    shifts = list(product(*[(0.0,) if p is None else (-p, 0.0, p) for p in periods]))
-    out = df.withColumn("_s", F.explode(F.array(*[F.array(*map(F.lit, s)) for s in shifts])))
+    out = df.withColumn("_s", F.explode(shifts(periods)))
     moved = lambda c: F.zip_with(c, "_s", lambda x, y: x + y)
     return out.withColumn("lo", moved("lo")).withColumn("hi", moved("hi")).drop("_s")
 
 
+def shifts(periods: list[float | None]) -> Column:
+    """All moves by -1, 0, +1 periods, as arrays."""
+    return F.array(*[F.array(*map(F.lit, s)) for s in product(*[(0.0,) if p is None else (-p, 0.0, p) for p in periods])])
+
+
+def ghost_triangles(tri: DataFrame, periods: list[float | None]) -> DataFrame:
+    """Triangles (``id``, x1 ... y3) and their images beyond periodic walls, under the same ids."""
+    out = tri.withColumn("_s", F.explode(shifts(periods)))
+    return out.select(*[(F.col(c) + F.get("_s", F.lit("xy".index(c[0])))).alias(c) if c in {f"{x}{k}" for x in "xy" for k in (1, 2, 3)} else F.col(c) for c in tri.columns])
+
+
+def ghost_simplices(simplices: DataFrame, periods: list[float | None]) -> DataFrame:
+    """The same for simplices (``id``, ``points``)."""
+    moved = F.transform("points", lambda p: F.zip_with(p, "_s", lambda x, y: x + y))
+    return simplices.withColumn("_s", F.explode(shifts(periods))).withColumn("points", moved).drop("_s")
+
+
 # Triangles -------------------------------------------------------------------------------------
 
 
@@ -223,48 +275,61 @@ def overlap_triangles(tri: DataFrame, boxes: DataFrame, order: int = 0, side: li
 # Simplices of any dimension, in floating point or exactly ----------------------------------------
 
 
-def split_simplex(points: list, axis: int, at, keep_above: bool) -> Iterator[list]:
-    """Pieces of a simplex on one side of a plane: cut edges are halved at the plane until no edge crosses."""
-    sign = 1 if keep_above else -1
-    d = [sign * (p[axis] - at) for p in points]
-    below = next((i for i, x in enumerate(d) if x < 0), None)
-    above = next((i for i, x in enumerate(d) if x > 0), None)
-    if above is None:
-        return
-    if below is None:
-        yield points
-        return
-    t = d[above] / (d[above] - d[below])
-    on = tuple(a + t * (b - a) for a, b in zip(points[above], points[below], strict=True))
-    on = (*on[:axis], at, *on[axis + 1 :])
-    for gone in (below, above):
-        yield from split_simplex([on if i == gone else p for i, p in enumerate(points)], axis, at, keep_above)
-
-
-def determinant(rows: list[list]):
-    """By elimination with pivots; exact for fractions."""
-    m, out = [list(r) for r in rows], 1
-    for k in range(len(m)):
-        p = max(range(k, len(m)), key=lambda i: abs(m[i][k]))
-        if m[p][k] == 0:
-            return m[p][k] * 0
-        if p != k:
-            m[k], m[p], out = m[p], m[k], -out
-        out *= m[k][k]
-        for i in range(k + 1, len(m)):
-            f = m[i][k] / m[k][k]
-            m[i] = [x - f * y for x, y in zip(m[i], m[k], strict=True)]
-    return out
-
-
-def simplex_moments(points: list, order: int) -> list:
-    """Integrals of monomials over a simplex: powers of its affine map, integrated term by term."""
-    dim = len(points[0])
-    jac = abs(determinant([[q - p for p, q in zip(points[0], v, strict=True)] for v in points[1:]]))
-    maps = [{(0,) * dim: points[0][a]} | {tuple(int(j == k) for j in range(dim)): points[k + 1][a] - points[0][a] for k in range(dim)} for a in range(dim)]
+# A batch of simplices is an array (simplex, vertex, coordinate). Coordinates are homogeneous: the
+# last one is what the others are divided by. In floating point it is 1; on the integer lattice
+# nothing is divided before the end, and the arrays hold Python's integers, which don't overflow.
+
+
+def cut_at(points: np.ndarray, owner: np.ndarray, axis: int, at: np.ndarray, keep_above: bool, exact: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces on one side of a plane per owner: an edge that crosses is divided at the plane, all
+    simplices of the batch at a time, until none crosses."""
+    done, owners = [], []
+    rows = np.arange
+    while len(points):
+        d = points[:, :, axis] - at[owner][:, None] * points[:, :, -1]
+        d = d if keep_above else -d
+        below, above = d < 0, d > 0
+        inside = above.any(axis=1) & ~below.any(axis=1)
+        done.append(points[inside])
+        owners.append(owner[inside])
+        crossing = above.any(axis=1) & below.any(axis=1)
+        p, d, own = points[crossing], d[crossing], owner[crossing]
+        if not len(p):
+            break
+        k = rows(len(p))
+        i, j = below[crossing].argmax(axis=1), above[crossing].argmax(axis=1)
+        on = p[k, i] * d[k, j][:, None] - p[k, j] * d[k, i][:, None]
+        if exact:
+            on //= np.gcd.reduce(on, axis=1)[:, None]
+        else:
+            on /= on[:, -1:]
+            on[:, axis] = at[own]
+        first, second = p.copy(), p.copy()
+        first[k, i], second[k, j] = on, on
+        points, owner = np.concatenate([first, second]), np.concatenate([own, own])
+    shape = (0, *points.shape[1:])
+    return np.concatenate([np.empty(shape, points.dtype), *done]), np.concatenate([np.empty(0, np.int64), *owners])
+
+
+def determinants(m: np.ndarray) -> np.ndarray:
+    """Of a batch of small square matrices, by their first row; exact for integers and fractions."""
+    if m.shape[1] == 1:
+        return m[:, 0, 0]
+    minors = (determinants(np.delete(m[:, 1:], k, axis=2)) for k in range(m.shape[1]))
+    return sum((-1) ** k * m[:, 0, k] * d for k, d in enumerate(minors))
+
+
+def simplex_moments(points: np.ndarray, order: int) -> list[np.ndarray]:
+    """Integrals of monomials over simplices (plain coordinates): powers of their affine maps, term by term."""
+    dim = points.shape[2]
+    one = Fraction(1) if points.dtype == object else 1.0
+    edges = points[:, 1:] - points[:, :1]
+    jac = np.abs(determinants(edges))
+    unit = [tuple(int(j == k) for j in range(dim)) for k in range(dim)]
+    maps = [{(0,) * dim: points[:, 0, a]} | {unit[k]: edges[:, k, a] for k in range(dim)} for a in range(dim)]
     out = []
     for e in K.multi_indices(dim, order):
-        poly = {(0,) * dim: 1}
+        poly = {(0,) * dim: one}
         for a, n in enumerate(e):
             for _ in range(n):
                 new: dict = {}
@@ -273,21 +338,28 @@ def simplex_moments(points: list, order: int) -> list:
                         key = tuple(i + j for i, j in zip(x, y, strict=True))
                         new[key] = new.get(key, 0) + u * v
                 poly = new
-        value = sum(c * Fraction(int(np.prod([factorial(i) for i in g])), factorial(sum(g) + dim)) if isinstance(c, Fraction | int) else c * float(np.prod([factorial(i) for i in g])) / factorial(sum(g) + dim) for g, c in poly.items())
-        out.append(value * jac)
+        # Over the unit simplex a monomial has the integral of its factorials over that of all.
+        out.append(sum(c * (one * prod(map(factorial, g)) / factorial(sum(g) + dim)) for g, c in poly.items()) * jac)
     return out
 
 
-def simplex_box(points: list, lo: list, hi: list, order: int) -> list | None:
-    """Moments of a simplex within a box; None if they share no volume."""
-    pieces = [list(map(tuple, points))]
-    for a in range(len(lo)):
-        for at, above in ((lo[a], True), (hi[a], False)):
-            pieces = [q for p in pieces for q in split_simplex(p, a, at, above)]
-    if not pieces:
-        return None
-    sums = [sum(c) for c in zip(*(simplex_moments(p, order) for p in pieces), strict=True)]
-    return sums if sums[0] > 0 else None
+def simplex_boxes(points: np.ndarray, lo: np.ndarray, hi: np.ndarray, order: int) -> np.ndarray:
+    """Moments of each simplex within its box, a row each; exact if the coordinates are Python's integers."""
+    n, corners, dim = points.shape
+    exact = points.dtype == object
+    ones = np.full((n, corners, 1), 1, object) if exact else np.ones((n, corners, 1))
+    pieces, owner = np.concatenate([points, ones], axis=2), np.arange(n)
+    for a in range(dim):
+        for at, above in ((lo[:, a], True), (hi[:, a], False)):
+            pieces, owner = cut_at(pieces, owner, a, at, above, exact)
+    plain = pieces[:, :, :-1]
+    if exact and len(pieces):
+        plain = np.frompyfunc(Fraction, 2, 1)(plain, pieces[:, :, -1:])
+    out = np.full((n, K.n_coeffs(dim, order)), Fraction(0) if exact else 0.0)
+    if len(pieces):
+        for k, m in enumerate(simplex_moments(plain, order)):
+            np.add.at(out[:, k], owner, m)
+    return out
 
 
 def along(points: str, axis: int) -> Column:
@@ -295,41 +367,63 @@ def along(points: str, axis: int) -> Column:
     return F.transform(points, lambda p: F.get(p, F.lit(axis)))
 
 
-def overlap_simplices(simplices: DataFrame, boxes: DataFrame, dim: int, order: int = 0, exact_bits: int | None = None, side: list[float] | None = None) -> DataFrame:
+#: Pairs that are measured together.
+PAIRS = 2048
+
+
+def whole(x: np.ndarray) -> np.ndarray:
+    """Python's integers."""
+    return np.frompyfunc(int, 1, 1)(np.rint(x))
+
+
+
+def overlap_simplices(simplices: DataFrame, boxes: DataFrame, dim: int, order: int = 0, exact_bits: int | None = None, side: list[float] | None = None, lattice: tuple[list[float], float] | None = None) -> DataFrame:
     """Simplices (``id``, ``points`` array of arrays) with boxes (``id``, ``lo``, ``hi``).
 
-    With ``exact_bits`` all coordinates are put on an integer lattice over the boxes first, and
-    measured in rational numbers; results come back in the original units. ``drop_kind`` tells why a
-    candidate pair has no volume (``none`` for pairs that have).
+    With ``exact_bits`` all coordinates are put on an integer lattice over the boxes first (or on
+    the one of a given origin and steps per unit, ``lattice``), and measured in integers and
+    rational numbers; results come back in the original units. ``drop_kind`` tells why a candidate pair
+    has no volume: ``flat`` (the simplex has none of its own), ``empty``, or ``none`` for pairs that have.
     """
     axes = [along("points", d) for d in range(dim)]
     bounds = simplices.withColumn("lo", F.array(*map(F.array_min, axes))).withColumn("hi", F.array(*map(F.array_max, axes)))
     pairs = box_pairs(bounds.select("id", "lo", "hi", "points"), boxes.select("id", "lo", "hi"), dim, side).select("a_id", "b_id", "a_points", "b_lo", "b_hi")
-    frame = None
-    if exact_bits:
+    if exact_bits and lattice is None:
         r = boxes.agg(*[F.min(F.get("lo", F.lit(d))) for d in range(dim)], *[F.max(F.get("hi", F.lit(d))) for d in range(dim)]).first()
-        frame = list(r[:dim]), ((1 << exact_bits) - 1) / max(h - x for x, h in zip(r[:dim], r[dim:], strict=True))
+        if r[0] is not None:
+            lattice = list(r[:dim]), ((1 << exact_bits) - 1) / max(h - x for x, h in zip(r[:dim], r[dim:], strict=True))
     ix = K.multi_indices(dim, order)
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            rows = []
-            for a, b, pts, lo, hi in df.itertuples(index=False):
-                if frame is None:
-                    m = simplex_box([tuple(map(float, p)) for p in pts], list(map(float, lo)), list(map(float, hi)), order)
-                    kind = "none" if m else "empty"
-                else:
-                    base, scale = frame
-                    on = lambda p: tuple(Fraction(round((float(x) - o) * scale)) for x, o in zip(p, base, strict=True))  # noqa: E731, B023
-                    q = simplex_box([on(p) for p in pts], on(lo), on(hi), order)
-                    kind = "none" if q else "empty"
-                    m = [float(v) / scale ** (dim + sum(e)) for v, e in zip(q, ix, strict=True)] if q else None
-                    m = shifted(m, [-o for o in base], dim, order) if m else None
-                rows.append((a, b, m[0] if m else 0.0, [v / m[0] for v in m[1 : dim + 1]] if m and order else [0.0] * dim, m or [0.0] * len(ix), kind))
-            yield pd.DataFrame(rows, columns=["lag_idx", "eul_idx", "volume", "centroid", "moments", "drop_kind"])
+    def in_units(m: np.ndarray) -> np.ndarray:
+        base, scale = lattice
+        raw = m.astype(float) / [scale ** (dim + sum(e)) for e in ix]
+        return np.array([shifted(row, [-o for o in base], dim, order) for row in raw.tolist()]).reshape(raw.shape)
+
+    def measured(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = batch.num_rows
+        values = lambda k, *shape: np.array(batch.column(k).flatten().to_pylist() if k > 2 else batch.column(k).flatten().flatten().to_pylist(), float).reshape(n, *shape)
+        points, lo, hi = values(2, dim + 1, dim), values(3, dim), values(4, dim)
+        if lattice is not None:
+            points, lo, hi = (whole((x - np.array(lattice[0])) * lattice[1]) for x in (points, lo, hi))
+        flat = determinants(points[:, 1:] - points[:, :1]) == 0
+        m = simplex_boxes(points, lo, hi, order)
+        m = np.asarray(m if lattice is None else in_units(m), float).reshape(n, len(ix))
+        some = m[:, 0] > 0
+        m = np.where(some[:, None], m, 0.0)
+        middle = m[:, 1 : dim + 1] / np.where(some, m[:, 0], 1.0)[:, None] if order else np.zeros((n, dim))
+        kind = np.where(some, "none", np.where(flat.astype(bool), "flat", "empty"))
+        rows = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32)), pa.array(a.ravel()))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(m[:, 0]), rows(middle), rows(m), pa.array(kind.tolist(), pa.string())], ["lag_idx", "eul_idx", "volume", "centroid", "moments", "drop_kind"])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, PAIRS):
+                yield measured(batch.slice(i, PAIRS))
 
     kinds = dict(pairs.dtypes)
-    return pairs.mapInPandas(measure, f"lag_idx {kinds['a_id']}, eul_idx {kinds['b_id']}, volume double, centroid array<double>, moments array<double>, drop_kind string")
+    doubles = lambda c: F.transform(c, lambda x: x.cast("double")).alias(c)
+    flat = pairs.select("a_id", "b_id", F.transform("a_points", lambda p: F.transform(p, lambda x: x.cast("double"))).alias("a_points"), doubles("b_lo"), doubles("b_hi"))
+    return flat.mapInArrow(measure, f"lag_idx {kinds['a_id']}, eul_idx {kinds['b_id']}, volume double, centroid array<double>, moments array<double>, drop_kind string")
 
 
 def shifted(m: list[float], delta: list[float], dim: int, order: int) -> list[float]:
@@ -354,11 +448,34 @@ def describe(ov: DataFrame) -> DataFrame:
     return ov.agg(F.count(F.lit(1)).alias("n_entries"), F.sum("volume").alias("total_volume"), p.alias("p"), F.min_by(pair, F.struct("volume", "lag_idx", "eul_idx")).alias("least"), F.max_by(pair, F.struct(F.col("volume"), -F.col("lag_idx"), -F.col("eul_idx"))).alias("most"))
 
 
-def audit(a: DataFrame, b: DataFrame, atol: float = 1e-10, top: int = 32) -> DataFrame:
+def pair_differences(a: DataFrame, b: DataFrame, dim: int = 0, atol: float = 1e-10) -> DataFrame:
+    """Per pair of either side: volumes in floating point (``a``) and exactly (``b``), the absolute and
+    relative difference, that of the centroids (of the first ``dim`` axes), and ``kind``: ``exact_dropped``,
+    ``float_missing``, ``volume_mismatch``, ``centroid_mismatch`` or ``same``."""
+    cols = lambda df, p: df.select("lag_idx", "eul_idx", F.col("volume").alias(p + "_volume"), *([F.col("centroid").alias(p + "_centroid")] if dim else []))
+    j = cols(a, "float").join(cols(b, "exact"), ["lag_idx", "eul_idx"], "full_outer")
+    u, v = F.coalesce("float_volume", F.lit(0.0)), F.coalesce("exact_volume", F.lit(0.0))
+    off = [F.abs(F.get("float_centroid", F.lit(d)) - F.get("exact_centroid", F.lit(d))) for d in range(dim)]
+    far = F.coalesce(F.greatest(*off) if dim > 1 else off[0], F.lit(0.0)) if dim else F.lit(0.0)
+    j = j.withColumn("volume_diff", F.abs(u - v)).withColumn("rel_diff", F.coalesce(F.abs(u - v) / F.nullif(F.greatest(F.abs(u), F.abs(v)), F.lit(0.0)), F.lit(0.0))).withColumn("centroid_diff", far)
+    kind = F.when(F.col("volume_diff") <= atol, F.when(F.col("centroid_diff") > atol, "centroid_mismatch").otherwise("same"))
+    kind = kind.when(F.col("exact_volume").isNull(), "exact_dropped").when(F.col("float_volume").isNull(), "float_missing").otherwise("volume_mismatch")
+    return j.select("lag_idx", "eul_idx", kind.alias("kind"), "float_volume", "exact_volume", "volume_diff", "rel_diff", "centroid_diff")
+
+
+def audit(a: DataFrame, b: DataFrame, atol: float = 1e-10, top: int = 32, dim: int = 0) -> DataFrame:
     """Entries of ``a`` (float) and ``b`` (exact) that disagree, worst first."""
-    x = a.select("lag_idx", "eul_idx", F.col("volume").alias("float_volume"))
-    y = b.select("lag_idx", "eul_idx", F.col("volume").alias("exact_volume"))
-    j = x.join(y, ["lag_idx", "eul_idx"], "full_outer")
-    kind = F.when(F.col("exact_volume").isNull(), "exact_dropped").when(F.col("float_volume").isNull(), "float_missing").otherwise("volume_mismatch")
-    diff = F.abs(F.coalesce("float_volume", F.lit(0.0)) - F.coalesce("exact_volume", F.lit(0.0)))
-    return j.where(diff > atol).select("lag_idx", "eul_idx", kind.alias("kind"), diff.alias("volume_diff")).orderBy(F.desc("volume_diff"), "lag_idx", "eul_idx").limit(top)
+    bad = pair_differences(a, b, dim, atol).where("kind <> 'same'")
+    return bad.orderBy(F.desc("volume_diff"), "lag_idx", "eul_idx").limit(top)
+
+
+def audit_summary(a: DataFrame, b: DataFrame, dim: int = 0, atol: float = 1e-10) -> DataFrame:
+    """One row: pairs, how many agree and not, and the greatest relative difference."""
+    d = pair_differences(a, b, dim, atol)
+    return d.agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("kind") == "same").alias("n_same"), F.count_if(F.col("kind") != "same").alias("n_failed"), F.coalesce(F.max("rel_diff"), F.lit(0.0)).alias("max_rel_diff"))
+
+
+def drop_report(measured: DataFrame) -> DataFrame:
+    """Candidate pairs by ``drop_kind``, with the least pair of each; all kinds but ``none`` have no entry."""
+    pair = F.struct("lag_idx", "eul_idx")
+    return measured.groupBy("drop_kind").agg(F.count(F.lit(1)).alias("n"), F.min(pair).alias("first"))
