@@ -150,6 +150,26 @@ def uniform_dimensions(cells: DataFrame) -> DataFrame:
     return r.select(F.when((F.col("a") == F.col("b")) & F.col("iso"), F.col("a")).alias("depth"))
 
 
+def uniform_grid(cells: DataFrame, lo: list[float], hi: list[float]) -> DataFrame:
+    """One row for a uniform tree over a frame, none for others: ``depth``, cells per axis, ``spacing``."""
+    r = uniform_dimensions(cells).where("depth is not null")
+    n = shift_left(F.lit(1), F.col("depth"))
+    return r.select("depth", n.alias("n"), F.array(*[(F.lit(float(h - a)) / n).cast("double") for a, h in zip(lo, hi, strict=True)]).alias("spacing"))
+
+
+def voxels(cells: DataFrame) -> DataFrame:
+    """``ix`` (from 0), ``cell_id`` of the leaves of a uniform tree; no row for others."""
+    r = uniform_dimensions(cells).where("depth is not null")
+    return leaves(cells).join(r, F.col("level") == F.col("depth")).select("ix", "cell_id")
+
+
+def at_path(cells: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted(path, masks)`` with the ``cell_id`` that is there, 0 if there is none or it came by other masks."""
+    have = cells.select("path", "cell_id", F.col("masks").alias("_masks"))
+    found = wanted.join(have, "path", "left")
+    return found.select(*wanted.columns, F.when(F.col("_masks") == F.col("masks"), F.col("cell_id")).otherwise(F.lit(0)).cast("long").alias("cell_id"))
+
+
 # Structural updates ----------------------------------------------------------------------------
 
 
@@ -214,6 +234,27 @@ def refine_by_indicator(cells: DataFrame, indicator: DataFrame, dim: int, refine
     return cells, False, False
 
 
+def from_pyramid(pyramid: DataFrame, dim: int, above: float, depth: int, value: str = "n") -> DataFrame:
+    """The tree that splits a cell while its value exceeds ``above``, to ``depth`` levels, in one pass.
+
+    ``pyramid`` has the value of the cells of every level (``level``, ``ix``); absent cells have none.
+    The value must not grow from a cell to its children, as counts and sums of what is inside do
+    not: then a cell is there if its parent exceeds the limit, whatever lies further up. This gives
+    what ``refine_by_indicator`` gives when it is repeated until nothing is split.
+    """
+    split = pyramid.where((F.col(value) > above) & (F.col("level") < depth)).select("level", "ix")
+    k, mask = F.col("level"), S.isotropic_mask(dim)
+    bits = F.sequence(F.lit(1), k)
+    step = lambda s: S.total([F.call_function("shiftright", F.get("ix", F.lit(d)), k - s).bitwiseAND(1) * (1 << d) for d in range(dim)]).cast("int")
+    path = F.when(k > 0, F.transform(bits, step)).otherwise(F.array().cast("array<int>"))
+    sound = split.select("level", "ix", path.alias("path"), F.array_repeat(F.lit(mask), k).alias("masks"), F.array_repeat(k, dim).alias("lev"), F.lit(mask).cast("int").alias("own_mask"))
+    born = children_of(sound, dim).unionByName(root(pyramid.sparkSession, dim))
+    again = split.withColumn("_split", F.lit(True))
+    both = born.join(again, ["level", "ix"], "left")
+    more = F.col("_split").isNotNull()
+    return both.select(*[(~more).alias(c) if c == "is_leaf" else F.when(more, F.lit(mask)).cast("int").alias(c) if c == "own_mask" else c for c in COLUMNS])
+
+
 def remap(before: DataFrame, after: DataFrame) -> DataFrame:
     """``old_id``, ``new_id``, ``kind``: what an update did to the numbered cells."""
     a = before.select("path", F.col("cell_id").alias("old_id"), F.col("is_leaf").alias("was"))

@@ -83,7 +83,43 @@ def exploded_samples(field: DataFrame, n: int, samples: str = "samples") -> Data
     """``i``, ``j``, ``value``: the nodes of blocks (``ix``) that share their edge nodes, as one grid."""
     each = field.select("ix", F.posexplode(samples).alias("k", "value"))
     at = lambda d: (F.get("ix", F.lit(d)) * (n - 1) + F.floor(F.col("k") / n**d) % n).cast("long")
-    return each.select(at(0).alias("i"), at(1).alias("j"), "value").dropDuplicates(["i", "j"])
+    return each.select(at(0).alias("i"), at(1).alias("j"), "ix", "value").groupBy("i", "j").agg(F.min_by("value", "ix").alias("value"))
+
+
+def with_block_halo(field: DataFrame, size: list[int] | None = None, samples: str = "samples") -> DataFrame:
+    """Adds ``_halo``: the samples of the blocks beside each block (``ix``), by axis and side; null where
+    there is none. With ``size`` (blocks per axis) the grid is periodic. Blocks send their samples to
+    their neighbours, in one shuffle."""
+    dim = len(size) if size else field.select(F.size("ix")).first()[0]
+    wrap = lambda x, d: F.pmod(x, F.lit(size[d])) if size else x
+    to = lambda a, s: F.array(*[wrap(F.get("ix", F.lit(d)) + (s if d == a else 0), d) for d in range(dim)]).cast("array<bigint>")
+    # What a block sends to the block on its high side is that block's low halo.
+    sent = field.select(F.explode(F.array(*[F.struct(to(a, s).alias("ix"), F.lit(2 * a + (s < 0)).alias("k"), F.col(samples).alias("x")) for a in range(dim) for s in (1, -1)])).alias("m")).select("m.*")
+    got = sent.groupBy("ix").agg(F.array(*[F.first(F.when(F.col("k") == k, F.col("x")), True) for k in range(2 * dim)]).alias("_halo"))
+    return field.withColumn("ix", F.col("ix").cast("array<bigint>")).join(got, "ix", "left")
+
+
+def for_each_block_with_halo(field: DataFrame, out: str, kernel: Callable[[Callable[[list[int]], Column]], list[Column]], n: int, dim: int, size: list[int] | None = None, samples: str = "samples") -> DataFrame:
+    """Like ``for_each_block``, with a getter that takes indices from 0 to n + 1: those beyond the block, on
+    one axis, are the nearest samples of the block there; without one, the block's own edge."""
+    field = with_block_halo(field, size, samples)
+
+    def get(ix: list[int]) -> Column:
+        beyond = [d for d, i in enumerate(ix) if not 1 <= i <= n]
+        flat = lambda at: F.lit(sum((i - 1) * n**d for d, i in enumerate(at)))
+        held = [min(max(i, 1), n) for i in ix]
+        if not beyond:
+            return F.get(samples, flat(ix))
+        if len(beyond) > 1:
+            raise ValueError("blocks at corners aren't read")
+        d = beyond[0]
+        there = [(n if ix[d] < 1 else 1) if e == d else i for e, i in enumerate(ix)]
+        return F.coalesce(F.get(F.get("_halo", F.lit(2 * d + (ix[d] > n))), flat(there)), F.get(samples, flat(held)))
+
+    values = kernel(get)
+    if len(values) != n**dim:
+        raise ValueError(f"a block has {n**dim} samples")
+    return field.withColumn(out, F.array(*values)).drop("_halo")
 
 
 # Gas dynamics ------------------------------------------------------------------------------------

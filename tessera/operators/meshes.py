@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,15 +60,81 @@ def density(cells: DataFrame, now: DataFrame, ref: DataFrame) -> DataFrame:
     return remap.density(overlap.overlap_triangles(now, boxes), density_factors(now, ref), boxes)
 
 
-def periodic_faces(faces: DataFrame, axis: int, lo: float, hi: float, tol: float = 1e-10) -> DataFrame:
-    """``face``, ``partner``: faces on the low wall with the nearest face on the high wall.
+def faces_of(simplices: DataFrame) -> DataFrame:
+    """``sid``, ``face`` (from 0: the one opposite that vertex), ``key`` (its vertices in order)."""
+    each = simplices.select("sid", "vids", F.posexplode("vids").alias("face", "_v"))
+    return each.select("sid", "face", F.sort_array(F.filter("vids", lambda v, i: i != F.col("face"))).alias("key"))
 
-    ``faces(face, sid, center)`` are boundary faces. Centres are matched on a lattice of the
-    tolerance across the axis, which is an equi-join; equals are taken in order, each once.
+
+def face_neighbors(simplices: DataFrame) -> DataFrame:
+    """``sid``, ``face``, ``neighbor``: the simplex on the other side of each face, null at the boundary."""
+    same = W.partitionBy("key")
+    both = faces_of(simplices).select("sid", "face", F.min("sid").over(same).alias("a"), F.max("sid").over(same).alias("b"))
+    return both.select("sid", "face", F.when(F.col("a") != F.col("b"), F.when(F.col("sid") == F.col("a"), F.col("b")).otherwise(F.col("a"))).alias("neighbor"))
+
+
+def mesh_faults(simplices: DataFrame, vertices: DataFrame, dim: int) -> DataFrame:
+    """``sid``, ``fault`` of simplices that make no mesh: not dim + 1 ``vertices``, one of them ``repeated``,
+    one that is ``missing``, or a face ``shared`` by more than two."""
+    size = simplices.where(F.size("vids") != dim + 1).select("sid", F.lit("vertices").alias("fault"))
+    again = simplices.where(F.size(F.array_distinct("vids")) != F.size("vids")).select("sid", F.lit("repeated").alias("fault"))
+    lost = simplices.select("sid", F.explode("vids").alias("vid")).join(vertices.select("vid"), "vid", "left_anti").select("sid", F.lit("missing").alias("fault"))
+    crowded = faces_of(simplices).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).where("n > 2").select("sid", F.lit("shared").alias("fault"))
+    return size.union(again).union(lost).union(crowded).distinct()
+
+
+def checked(simplices: DataFrame, vertices: DataFrame, dim: int) -> DataFrame:
+    """The simplices; an error if they make no mesh."""
+    bad = mesh_faults(simplices, vertices, dim).first()
+    if bad is not None:
+        raise ValueError(f"simplex {bad['sid']}: {bad['fault']}")
+    return simplices
+
+
+def pinned(simplices: DataFrame, which: DataFrame) -> DataFrame:
+    """Adds ``pinned``: whether a simplex is among ``which.sid``; an error if one of these is none."""
+    if not which.join(simplices.select("sid"), "sid", "left_anti").isEmpty():
+        raise ValueError("no such simplex")
+    mark = which.select("sid").distinct().withColumn("_pin", F.lit(True))
+    return simplices.join(mark, "sid", "left").withColumn("pinned", F.col("_pin").isNotNull()).drop("_pin")
+
+
+def face_centers(simplices: DataFrame, vertices: DataFrame, dim: int) -> DataFrame:
+    """``sid``, ``face``, ``center``, ``least``, ``most`` (per axis) of the boundary faces."""
+    open_ = face_neighbors(simplices).where("neighbor is null").select("sid", "face")
+    corner = faces_of(simplices).join(open_, ["sid", "face"]).select("sid", "face", F.explode("key").alias("vid")).join(vertices.select("vid", "pos"), "vid")
+    per = lambda f: F.array(*[f(F.get("pos", F.lit(d))) for d in range(dim)])
+    return corner.groupBy("sid", "face").agg(per(F.avg).alias("center"), per(F.min).alias("least"), per(F.max).alias("most"))
+
+
+def periodic(simplices: DataFrame, vertices: DataFrame, axis: int, lo: float, hi: float, dim: int, tol: float = 1e-10) -> DataFrame:
+    """``sid``, ``face``, ``neighbor`` with the faces of one wall rewired to the nearest ones of the other.
+
+    Faces lie on a wall if all their vertices do. Their centres are matched across the other axes,
+    to within ``tol`` times the extent: by lattice cells of that width and those beside them, and
+    of what is within reach each face takes the nearest that takes it too.
     """
-    rest = lambda c: F.transform(F.filter(F.transform(c, lambda x, i: F.when(i != axis, x)), lambda x: x.isNotNull()), lambda x: F.rint(x / max(tol, 1e-12)))
-    wall = lambda at, name: faces.where(F.abs(F.get("center", F.lit(axis)) - at) <= tol).select(F.col("face").alias(name), rest(F.col("center")).alias("k")).withColumn("r", F.row_number().over(W.partitionBy("k").orderBy(name)))
-    return wall(lo, "face").join(wall(hi, "partner"), ["k", "r"]).select("face", "partner")
+    reach = tol * (hi - lo)
+    faces = face_centers(simplices, vertices, dim)
+    others = [d for d in range(dim) if d != axis]
+    get = lambda c, d: F.get(c, F.lit(d))
+
+    def wall(at: float, p: str) -> DataFrame:
+        on = (F.abs(get("least", axis) - at) <= reach) & (F.abs(get("most", axis) - at) <= reach)
+        return faces.where(on).select(F.col("sid").alias(p + "sid"), F.col("face").alias(p + "face"), *[get("center", d).alias(f"{p}{d}") for d in others])
+
+    cell = lambda c: F.floor(F.col(c) / (2 * reach))
+    low, high = wall(lo, "l"), wall(hi, "h")
+    for d in others:
+        low = low.withColumn(f"k{d}", F.explode(F.array(*[cell(f"l{d}") + i for i in (-1, 0, 1)])))
+        high = high.withColumn(f"k{d}", cell(f"h{d}"))
+    met = low.join(high, [f"k{d}" for d in others]) if others else low.crossJoin(high)  # in one dimension a wall is one face
+    gap = reduce(lambda x, y: x + y, [F.abs(F.col(f"l{d}") - F.col(f"h{d}")) for d in others], F.lit(0.0))
+    near = met.withColumn("gap", gap).where(F.col("gap") <= reach)
+    near = near.withColumn("r", F.row_number().over(W.partitionBy("lsid", "lface").orderBy("gap", "hsid", "hface"))).withColumn("q", F.row_number().over(W.partitionBy("hsid", "hface").orderBy("gap", "lsid", "lface")))
+    pair = near.where("r = 1 and q = 1")
+    new = pair.select(F.col("lsid").alias("sid"), F.col("lface").alias("face"), F.col("hsid").alias("_new")).union(pair.select("hsid", "hface", "lsid"))
+    return face_neighbors(simplices).join(new, ["sid", "face"], "left").select("sid", "face", F.coalesce("neighbor", "_new").alias("neighbor"))
 
 
 class Paired:

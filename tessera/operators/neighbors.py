@@ -124,9 +124,11 @@ def boundary_faces(nbrs: DataFrame, cells: DataFrame, dim: int) -> DataFrame:
 def adjacency(nbrs: DataFrame, cells: DataFrame, depth: int = 1) -> DataFrame:
     """``cell``, ``other``: pairs within ``depth`` face hops, each cell with itself."""
     edges = nbrs.select(F.col("cell").alias("other"), F.col("nbr").alias("next")).distinct()
-    reach = leaves(cells).select(F.col("cell_id").alias("cell"), F.col("cell_id").alias("other"))
+    newest = reach = leaves(cells).select(F.col("cell_id").alias("cell"), F.col("cell_id").alias("other"))
     for _ in range(depth):
-        reach = reach.unionByName(reach.join(edges, "other").select("cell", F.col("next").alias("other"))).distinct()
+        # Only what was reached last leads further.
+        newest = newest.join(edges, "other").select("cell", F.col("next").alias("other")).distinct().join(reach, ["cell", "other"], "left_anti")
+        reach = reach.unionByName(newest)
     return reach
 
 

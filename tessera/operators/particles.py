@@ -48,32 +48,47 @@ def totals(p: DataFrame) -> DataFrame:
     return p.agg(F.count(F.lit(1)).alias("n"), *[F.sum("v" + c).alias("p" + c) for c in AXES], (F.sum(sq) * 0.5).alias("energy"), *[F.avg("v" + c).alias("u" + c) for c in AXES], *[F.var_pop("v" + c).alias("t" + c) for c in AXES])
 
 
-def collided(p: DataFrame, sigma: float, c_max: float, dt: float, volume: float, seed: int = 0) -> DataFrame:
+#: Particles of a cell that collide in one task; larger cells are dealt to groups at random.
+GROUP = 4096
+
+
+def collided(p: DataFrame, sigma: float, c_max: float, dt: float, volume: float, seed: int = 0, group: int = GROUP) -> DataFrame:
     """Hard-sphere collisions within cells; each cell draws from a seed of its own.
 
-    A cell is one physical neighbourhood, so its particles have to meet in one task.
+    Partners are drawn at random, so a crowded cell is dealt to random groups, each with its share of
+    the cell's volume: as many pairs are tried, none of them by one task alone. Pairs are tried many at
+    a time, in rounds in which no particle is drawn twice.
     """
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        cell, part, parts = key
         df = df.sort_values("pid").reset_index(drop=True)
         n = len(df)
         if n < 2:
-            return df
-        rng = np.random.default_rng([seed, int(df["cell"].iloc[0])])
+            return df[columns]
+        rng = np.random.default_rng([seed, int(cell), int(part)])
         v = df[["vx", "vy", "vz"]].to_numpy(copy=True)
-        expected = 0.5 * n * (n - 1) * sigma * c_max * dt / volume
-        for _ in range(int(expected) + (rng.random() < expected % 1)):
-            a, b = rng.choice(n, 2, replace=False)
-            rel = np.linalg.norm(v[a] - v[b])
-            if rng.random() * c_max < rel:
-                cos, phi = 2 * rng.random() - 1, 2 * np.pi * rng.random()
-                sin = np.sqrt(1 - cos * cos)
-                middle, half = (v[a] + v[b]) / 2, rel / 2 * np.array([cos, sin * np.cos(phi), sin * np.sin(phi)])
-                v[a], v[b] = middle + half, middle - half
+        expected = 0.5 * n * (n - 1) * sigma * c_max * dt / (volume / parts)
+        todo = int(expected) + int(rng.random() < expected % 1)
+        while todo > 0:
+            k = min(todo, n // 2)
+            drawn = rng.permutation(n)
+            a, b = drawn[:k], drawn[k : 2 * k]
+            rel = np.linalg.norm(v[a] - v[b], axis=1)
+            hit = rng.random(k) * c_max < rel
+            a, b, rel = a[hit], b[hit], rel[hit]
+            cos, phi = 2 * rng.random(len(a)) - 1, 2 * np.pi * rng.random(len(a))
+            sin = np.sqrt(1 - cos * cos)
+            middle, half = (v[a] + v[b]) / 2, rel[:, None] / 2 * np.stack([cos, sin * np.cos(phi), sin * np.sin(phi)], axis=1)
+            v[a], v[b] = middle + half, middle - half
+            todo -= k
         df[["vx", "vy", "vz"]] = v
-        return df
+        return df[columns]
 
-    return p.groupBy("cell").applyInPandas(run, p.schema)
+    columns = p.columns
+    size = p.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("_parts"))
+    dealt = p.join(size, "cell").withColumn("_part", F.pmod(F.xxhash64("pid", F.lit(seed)), F.col("_parts")).cast("int"))
+    return dealt.groupBy("cell", "_part", "_parts").applyInPandas(run, p.schema)
 
 
 def step(p: DataFrame, n: int, length: float, dt: float, sigma: float, c_max: float, seed: int = 0) -> DataFrame:

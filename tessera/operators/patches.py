@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import scalars as S
 from tessera.operators import overlap, remap
 
 
@@ -24,12 +25,22 @@ def inside(dim: int, p: str = "", q: str = "up_"):
 
 def parents(patches: DataFrame, dim: int) -> DataFrame:
     """Per patch above level 0 the first patch of the next coarser level that holds it (null: none)."""
-    fine = patches.where("level > 0").select("level", "patch", "lo", "hi")
-    up = patches.select((F.col("level") + 1).alias("level"), F.col("patch").alias("parent"), F.col("lo").alias("up_lo"), F.col("hi").alias("up_hi"))
-    found = fine.join(up, "level").where(inside(dim)).groupBy("level", "patch").agg(F.min("parent").alias("parent"))
+    # The level is one more axis of the boxes, so that patches of other levels never meet.
+    lifted = lambda df, up: df.select("level", "patch", *[F.concat(c, F.array(F.col("level") + up + e)).cast("array<double>").alias(c) for e, c in enumerate(("lo", "hi"))])
+    fine = patches.where("level > 0")
+    pairs = overlap.box_pairs(lifted(fine, 0), lifted(patches, 1), dim + 1)
+    found = pairs.where(inside(dim, "a_", "b_")).groupBy(F.col("a_level").alias("level"), F.col("a_patch").alias("patch")).agg(F.min("b_patch").alias("parent"))
     return fine.select("level", "patch").join(found, ["level", "patch"], "left")
 
 
+def patches_at(patches: DataFrame, level: int) -> DataFrame:
+    return patches.where(F.col("level") == level)
+
+
+def n_levels(patches: DataFrame) -> int:
+    return (patches.agg(F.max("level")).first()[0] or 0) + 1
+
+
 def validate(patches: DataFrame, dim: int) -> None:
     """An error if a patch isn't inside one of the next coarser level."""
     bad = parents(patches, dim).where("parent is null")
@@ -53,11 +64,62 @@ def prolong(coarse: DataFrame, fine: DataFrame, field: DataFrame, dim: int, side
     return best.join(field.select(F.col("id").alias("a_id"), "value"), "a_id").select(F.col("b_id").alias("id"), "value")
 
 
+def _own_frames(cells: DataFrame, dim: int, order: int, coeffs: str | None = None) -> DataFrame:
+    lo, hi = ([F.get(c, F.lit(d)) for d in range(dim)] for c in ("lo", "hi"))
+    size = S.product([h - a for a, h in zip(lo, hi, strict=True)])
+    return cells.select("id", *([F.col(coeffs).alias("coeffs")] if coeffs else []), remap.box_pullback(lo, hi, order).alias("pullback"), size.alias("jacobian"))
+
+
+def _projected(src: DataFrame, dst: DataFrame, field: DataFrame, dim: int, order: int, side: list[float] | None) -> DataFrame:
+    ov = overlap.overlap_boxes(src.select("id", "lo", "hi"), dst.select("id", "lo", "hi"), dim, 2 * order, side).select(F.col("a_id").alias("lag_idx"), F.col("b_id").alias("eul_idx"), "moments")
+    known = src.select("id", "lo", "hi").join(field.select("id", "coeffs"), "id")
+    covered = dst.select("id", "lo", "hi").join(ov.select(F.col("eul_idx").alias("id")).distinct(), "id", "left_semi")
+    return remap.polynomial(ov, _own_frames(known, dim, order, "coeffs"), _own_frames(covered, dim, order), dim, order, order)
+
+
+def restrict_polynomial(coarse: DataFrame, fine: DataFrame, field: DataFrame, dim: int, order: int, side: list[float] | None = None) -> DataFrame:
+    """``id``, ``coeffs`` of the coarse cells: the L2 projection of the fine cells' polynomials (in each
+    cell's own coordinates) where there are any, else the old ones. ``field(id, coeffs)`` holds both levels."""
+    new = _projected(fine, coarse, field, dim, order, side).withColumnRenamed("coeffs", "new")
+    return coarse.select("id").join(field.select("id", "coeffs"), "id").join(new, "id", "left").select("id", F.coalesce("new", "coeffs").alias("coeffs"))
+
+
+def prolong_polynomial(coarse: DataFrame, fine: DataFrame, field: DataFrame, dim: int, order: int, side: list[float] | None = None) -> DataFrame:
+    """``id``, ``coeffs`` of the fine cells: the L2 projection of the coarse cells' polynomials."""
+    return _projected(coarse, fine, field, dim, order, side)
+
+
+def for_each_patch(cells: DataFrame, field: DataFrame, coarse: DataFrame, coarse_field: DataFrame, kernel: Callable[[Column, dict[tuple[int, int], Column]], Column], reads: list[tuple[int, int]], dim: int, level: int, walls: Callable | None = None) -> DataFrame:
+    """``id``, ``value`` = kernel(own value, what is read across faces (axis from 1, side)) of a level's cells.
+
+    What lies beyond a patch is read as ``patch_halo`` says; null is what nothing gives.
+    """
+    out = cells.select("id").join(field.select("id", F.col("value").alias("own")), "id")
+    for axis, side in reads:
+        seen = patch_halo(cells, field, coarse, coarse_field, axis, side, dim, level, walls)
+        out = out.join(seen.withColumnRenamed("value", f"r{axis}{side}"), "id", "left")
+    return out.select("id", kernel(F.col("own"), {(a, s): F.col(f"r{a}{s}") for a, s in reads}).alias("value"))
+
+
+def advected(cells: DataFrame, field: DataFrame, coarse: DataFrame, coarse_field: DataFrame, courant: list[float], dim: int, level: int) -> DataFrame:
+    """One upwind step against the low sides; where nothing is to be read a cell's own value stands in."""
+
+    def kernel(own: Column, read: dict[tuple[int, int], Column]) -> Column:
+        out = own
+        for d, c in enumerate(courant):
+            out = out - c * (own - F.coalesce(read[d + 1, 1], own))
+        return out
+
+    return for_each_patch(cells, field, coarse, coarse_field, kernel, [(d + 1, 1) for d in range(dim)], dim, level)
+
+
 def leaf_at(points: DataFrame, leaves: DataFrame, dim: int, depth: int) -> DataFrame:
     """``pid``, ``cell``: the first leaf (``cell_id``, ``level``, ``ix`` in the unit box) that holds a
-    point (closed); none outside. Points on faces try the cells on both sides."""
+    point (closed); none outside. Points ask the levels that leaves have; on faces they try the cells on
+    both sides."""
     get = lambda c, d: F.get(c, F.lit(d))
-    tries = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth))))
+    levels = sorted(r[0] for r in leaves.where(F.col("level") <= depth).select("level").distinct().collect())  # a row per level
+    tries = points.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
     for d in range(dim):
         x = get("x", d) * F.pow(F.lit(2.0), F.col("level"))
         low = F.floor(x)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions import arrays as A
+from tessera.functions import simplex as X
 from tessera.plans import constants as K
 
 
@@ -77,28 +78,25 @@ def box_pullback(lo: list[Column], hi: list[Column], order: int) -> Column:
     return F.array(*rows)
 
 
-def simplex_pullback_np(points: np.ndarray, order: int) -> np.ndarray:
-    """The same for a simplex: xi = inv(E) (x - v0), expanded term by term."""
-    dim = points.shape[1]
-    inv = np.linalg.inv((points[1:] - points[0]).T)
-    shift = -inv @ points[0]
+def simplex_pullback(points: list[list[Column]], order: int) -> Column:
+    """The same for a simplex: xi = inv(E) (x - v0), expanded term by term. Null for flat simplices."""
+    dim = len(points[0])
+    inv = X.inverse(X.edge_matrix(points))
+    unit = [tuple(int(j == k) for j in range(dim)) for k in range(dim)]
+    lines = [{(0,) * dim: -A.added([inv[d][k] * points[0][k] for k in range(dim)])} | {unit[k]: inv[d][k] for k in range(dim)} for d in range(dim)]
     ix = K.multi_indices(dim, order)
-    at = {e: i for i, e in enumerate(ix)}
-    lines = [{(0,) * dim: shift[d]} | {tuple(int(j == k) for j in range(dim)): inv[d, k] for k in range(dim)} for d in range(dim)]
-    out = np.zeros((len(ix), len(ix)))
-    for r, a in enumerate(ix):
-        poly = {(0,) * dim: 1.0}
+    rows = []
+    for a in ix:
+        poly: dict = {(0,) * dim: F.lit(1.0)}
         for d, n in enumerate(a):
             for _ in range(n):
                 new: dict = {}
                 for x, u in poly.items():
                     for y, v in lines[d].items():
-                        key = tuple(i + j for i, j in zip(x, y, strict=True))
-                        new[key] = new.get(key, 0.0) + u * v
-                poly = new
-        for e, v in poly.items():
-            out[r, at[e]] = v
-    return out
+                        new.setdefault(tuple(i + j for i, j in zip(x, y, strict=True)), []).append(u * v)
+                poly = {e: A.added(parts) for e, parts in new.items()}
+        rows.append(F.array(*[poly.get(e, F.lit(0.0)).cast("double") for e in ix]))
+    return F.array(*rows)
 
 
 def polynomial(ov: DataFrame, src: DataFrame, dst: DataFrame, dim: int, p_src: int, p_dst: int, kind: str = "box", source: str = "lag_idx", target: str = "eul_idx") -> DataFrame:

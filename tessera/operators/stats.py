@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,6 +84,13 @@ def ema(df: DataFrame, key: str, order: list[str], x: str, alpha: float) -> Data
     return place.groupBy(key).agg(F.sum(weight * F.col("_x")).alias("ema"))
 
 
-def reduce_cells(df: DataFrame, value: Column, op: str = "sum") -> DataFrame:
-    """A map and an associative reduction over all rows."""
-    return df.agg({"sum": F.sum, "max": F.max, "min": F.min, "product": F.product}[op](value).alias("value"))
+REDUCTIONS = {"sum": F.sum, "max": F.max, "min": F.min, "product": F.product}
+
+
+def reduce_cells(df: DataFrame, value: Column, op: str | Callable[[Column], Column] = "sum", by: list[str] | None = None) -> DataFrame:
+    """A map and an associative reduction over all rows, or over those of each group.
+
+    ``op`` is a name of ``REDUCTIONS`` or any aggregate function of a column.
+    """
+    fold = REDUCTIONS[op] if isinstance(op, str) else op
+    return df.groupBy(*(by or [])).agg(fold(value).alias("value"))

@@ -3,6 +3,8 @@ lost executors."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,14 +15,21 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint
+    folder; a temporary one only in local mode, where the driver is the only executor."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="tessera-")
-    return _OWN[app]
+    context = spark.sparkContext
+    given = context._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get().rstrip("/")
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    if context.applicationId not in _OWN:
+        own = _OWN[context.applicationId] = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return _OWN[context.applicationId]
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
