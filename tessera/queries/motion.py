@@ -100,22 +100,70 @@ def tetrahedra_3d(spark: SparkSession, d: str) -> DataFrame:
     return ov.where("drop_kind = 'none'").groupBy(F.col("lag_idx").alias("id")).agg(F.round(F.sum("volume"), 9).alias("volume"), r6(m(1), "mx"), r6(m(3), "mz"))
 
 
-@query(f"WITH {TET} SELECT id, round(1.0 / 6, 2) AS volume FROM tet")
+#: Steps of the lattice per unit in the exact queries; the fixtures' coordinates are put on it.
+STEPS = 64
+
+
+def _points(corners: int = 3):
+    return F.array(*[F.array(F.col(f"x{k}"), F.col(f"y{k}")) for k in range(1, corners + 1)])
+
+
+@query(f"WITH {TET}, t AS (SELECT id, floor(x * {STEPS}) / {STEPS} AS x, floor(y * {STEPS}) / {STEPS} AS y, floor(z * {STEPS}) / {STEPS} AS z FROM tet) SELECT id, round(1.0 / 6, 9) AS volume, round((x + 0.25) / 6, 9) AS mx, round((y + 0.25) / 6, 9) AS my, round((z + 0.25) / 6, 9) AS mz FROM t")
 def tetrahedra_exact(spark: SparkSession, d: str) -> DataFrame:
-    """The same on an integer lattice, in rational numbers."""
-    ov = overlap.overlap_simplices(_tetrahedra(spark, d), grid_boxes(spark, 2, [0.0] * 3, [4.0] * 3), 3, 0, exact_bits=12, side=[1.0] * 3)
-    return ov.where("drop_kind = 'none'").groupBy(F.col("lag_idx").alias("id")).agg(F.round(F.sum("volume"), 2).alias("volume"))
+    """Tetrahedra on the points of a lattice, measured in integers and rational numbers."""
+    on = _tetrahedra(spark, d).select("id", F.transform("points", lambda p: F.transform(p, lambda x: F.floor(x * STEPS) / STEPS)).alias("points"))
+    ov = overlap.overlap_simplices(on, grid_boxes(spark, 2, [0.0] * 3, [4.0] * 3), 3, 1, side=[1.0] * 3, lattice=([0.0] * 3, float(STEPS)))
+    m = lambda k, n: F.round(F.sum(F.get("moments", F.lit(k))), 9).alias(n)
+    return ov.where("drop_kind = 'none'").groupBy(F.col("lag_idx").alias("id")).agg(F.round(F.sum("volume"), 9).alias("volume"), m(1, "mx"), m(2, "my"), m(3, "mz"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS n_failures")
-def float_exact_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Triangles on lattice points: floating point and rational measures agree."""
-    p = F.array(*[F.array(F.col(f"x{k}"), F.col(f"y{k}")) for k in (1, 2, 3)])
-    tri = triangles(spark, d).where(overlap.signed_area() != 0)
+def _exact_triangles(spark: SparkSession, d: str, order: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Triangles on cells of 8 x 8, in floating point and exactly."""
+    tri = triangles(spark, d)
     cells = grid_boxes(spark, 3, [0.0, 0.0], [64.0, 64.0])
-    a = overlap.overlap_triangles(tri, cells, 0, side=[8.0, 8.0])
-    b = overlap.overlap_simplices(tri.select("id", p.alias("points")), cells, 2, 0, side=[8.0, 8.0])
-    return overlap.audit(a, b.where("drop_kind = 'none'"), 1e-9).agg(F.count(F.lit(1)).alias("n_failures"))
+    a = overlap.overlap_triangles(tri, cells, order, side=[8.0, 8.0])
+    return a, overlap.overlap_simplices(tri.select("id", _points().alias("points")), cells, 2, order, side=[8.0, 8.0], lattice=([0.0, 0.0], 1.0))
+
+
+@query(f"WITH {TRI} SELECT id, round(abs((x2 - x1) * (y3 - y1) - (x3 - x1) * (y2 - y1)) / 2, 9) AS volume, true AS same FROM tri WHERE (x2 - x1) * (y3 - y1) <> (x3 - x1) * (y2 - y1)")
+def float_exact_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Pair by pair, measures in floating point and in rational numbers agree; those of a triangle add up to its area."""
+    a, b = _exact_triangles(spark, d)
+    pairs = overlap.pair_differences(a, b.where("drop_kind = 'none'"), 2, 1e-9)
+    return pairs.groupBy(F.col("lag_idx").alias("id")).agg(F.round(F.sum("exact_volume"), 9).alias("volume"), F.bool_and(F.col("kind") == "same").alias("same"))
+
+
+@query(f"""WITH {TRI}, s AS (SELECT *, (x2 - x1) * (y3 - y1) = (x3 - x1) * (y2 - y1) AS flat, least(x1, x2, x3) AS lx, greatest(x1, x2, x3) AS hx, least(y1, y2, y3) AS ly, greatest(y1, y2, y3) AS hy FROM tri),
+g AS (SELECT range AS id, 8.0 * (range % 8) AS x, 8.0 * (range // 8) AS y FROM range(64))
+SELECT s.id, count(*) AS n_pairs, CAST(count(*) FILTER (flat) AS BIGINT) AS n_flat FROM s JOIN g ON s.hx > g.x AND g.x + 8 > s.lx AND s.hy > g.y AND g.y + 8 > s.ly GROUP BY 1""")
+def drop_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """All candidate pairs of the exact measure have a kind; flat triangles have that of their own."""
+    b = _exact_triangles(spark, d, 0)[1]
+    return b.groupBy(F.col("lag_idx").alias("id")).agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("drop_kind") == "flat").alias("n_flat"))
+
+
+#: Simplices with a box each, and the volume they share, as fixed values: whole simplex, whole box, a corner
+#: cut off, a slab, a point of contact, nothing; in two, three and four dimensions.
+BATTERY = {
+    2: [([[0, 0], [1, 0], [0, 1]], [0, 0], [1, 1], "1/2"), ([[0, 0], [8, 0], [0, 8]], [1, 1], [2, 3], "2"), ([[0, 0], [2, 0], [0, 2]], [0, 0], [1, 2], "3/2"), ([[0, 0], [4, 0], [2, 4]], [0, 1], [4, 2], "5/2"), ([[0, 0], [1, 0], [0, 1]], [1, 0], [2, 1], "0"), ([[0, 0], [1, 0], [0, 1]], [5, 5], [6, 6], "0")],
+    3: [([[0, 0, 0], [1, 0, 0], [0, 1, 0], [0, 0, 1]], [0, 0, 0], [1, 1, 1], "1/6"), ([[0, 0, 0], [9, 0, 0], [0, 9, 0], [0, 0, 9]], [1, 1, 1], [2, 2, 3], "2"), ([[0, 0, 0], [2, 0, 0], [0, 2, 0], [0, 0, 2]], [0, 0, 0], [1, 1, 1], "5/6"), ([[0, 0, 0], [2, 0, 0], [0, 2, 0], [0, 0, 2]], [0, 0, 1], [2, 2, 2], "1/6"), ([[0, 0, 0], [1, 0, 0], [0, 1, 0], [0, 0, 1]], [0, 0, 1], [1, 1, 2], "0")],
+    4: [([[0, 0, 0, 0], [1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]], [0, 0, 0, 0], [1, 1, 1, 1], "1/24"), ([[0, 0, 0, 0], [2, 0, 0, 0], [0, 2, 0, 0], [0, 0, 2, 0], [0, 0, 0, 2]], [0, 0, 0, 0], [1, 1, 1, 1], "1/2")],
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({dim}, {i}, round(CAST({v.replace('/', '.0 / ')} AS DOUBLE), 9), 0.0::DOUBLE)" for dim, rows in BATTERY.items() for i, (*_, v) in enumerate(rows)) + ") t(dim, id, volume, max_diff)")
+def canonical_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Simplices and boxes whose common volume is known, exactly and in floating point."""
+    out = None
+    for dim, rows in BATTERY.items():
+        ints = lambda x: [float(v) for v in x]
+        df = spark.createDataFrame([(i, [ints(p) for p in pts], ints(lo), ints(hi)) for i, (pts, lo, hi, _) in enumerate(rows)], "id int, points array<array<double>>, lo array<double>, hi array<double>")
+        got = [overlap.overlap_simplices(df.select("id", "points"), df.select("id", "lo", "hi"), dim, 2, side=[16.0] * dim, lattice=x).where("lag_idx = eul_idx").select("lag_idx", "eul_idx", "volume", "moments") for x in (None, ([0.0] * dim, 1.0))]
+        both = df.select("id").join(got[1].select(F.col("lag_idx").alias("id"), "volume", F.col("moments").alias("m")), "id", "left").join(got[0].select(F.col("lag_idx").alias("id"), F.col("moments").alias("f")), "id", "left")
+        worst = F.coalesce(F.array_max(F.zip_with("m", "f", lambda x, y: F.abs(x - y))), F.lit(0.0))
+        part = both.select(F.lit(dim).alias("dim"), "id", F.round(F.coalesce("volume", F.lit(0.0)), 9).alias("volume"), F.round(worst, 9).alias("max_diff"))
+        out = part if out is None else out.union(part)
+    return out
 
 
 @query(f"WITH {PART} SELECT count(*) AS n, round(sum(vx), 6) AS px, round(sum(vy), 6) AS py, round(0.5 * sum(vx * vx + vy * vy + vz * vz), 6) AS energy FROM particle")
@@ -151,8 +199,7 @@ def accumulated_sampling(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT l_returnflag, round(max(CAST(l_quantity AS DOUBLE) * 2), 6) AS value FROM lineitem GROUP BY 1")
 def map_reduce(spark: SparkSession, d: str) -> DataFrame:
     src = table(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").cast("double").alias("q"))
-    one = lambda flag: stats.reduce_cells(src.where(F.col("l_returnflag") == flag), F.col("q") * 2, "max").select(F.lit(flag).alias("l_returnflag"), r6(F.col("value"), "value"))
-    return one("A").union(one("N")).union(one("R"))
+    return stats.reduce_cells(src, F.col("q") * 2, "max", ["l_returnflag"]).select("l_returnflag", r6(F.col("value"), "value"))
 
 
 @query(f"WITH {PT} SELECT id, round(pow(x / 64, 2) + y / 16, 6) AS value FROM pt")

@@ -9,7 +9,7 @@ from tessera.functions import scalars as S
 from tessera.operators import fields, grid, kernels, neighbors, overlap, patches, remap
 from tessera.plans.store import stored
 from tessera.queries.basics import r6
-from tessera.sources.fixtures import BINS, OV1, PT, SEG, grid_boxes, points, segments
+from tessera.sources.fixtures import PT, SEG, grid_boxes, points, segments
 
 Q, SQL = {}, {}
 DEPTH, MANY = 5, 400
@@ -45,7 +45,12 @@ def counted(cells: DataFrame, counts: DataFrame) -> DataFrame:
 def tree(spark: SparkSession, d: str, counts: DataFrame | None = None) -> DataFrame:
     """Cells split while they hold more than ``MANY`` points, to ``DEPTH`` levels."""
     counts = _counts(spark, d) if counts is None else counts
-    cells, more = grid.root(spark, 2), True
+    return grid.from_pyramid(counts, 2, MANY, DEPTH)
+
+
+def tree_by_passes(counts: DataFrame) -> DataFrame:
+    """The same, level by level."""
+    cells, more = grid.root(counts.sparkSession, 2), True
     while more:
         cells, more, _ = grid.refine_by_indicator(cells, counted(cells, counts), 2, MANY, -1.0, DEPTH)
         cells = stored(cells, "cells") if more else cells
@@ -76,6 +81,13 @@ def adaptive_grid(spark: SparkSession, d: str) -> DataFrame:
     return _numbered(spark, d).select("cell_id", "parent_id", "level", F.get("ix", F.lit(0)).alias("i"), F.get("ix", F.lit(1)).alias("j"), "is_leaf", F.size("path").cast("long").alias("steps"))
 
 
+@query(f"WITH {TREE} SELECT l AS level, i, j, leaf AS is_leaf, array_to_string(path, '') AS path FROM tree")
+def refine_passes(spark: SparkSession, d: str) -> DataFrame:
+    """The grid made by an indicator that is asked again after each pass."""
+    c = tree_by_passes(_counts(spark, d))
+    return c.select("level", F.get("ix", F.lit(0)).alias("i"), F.get("ix", F.lit(1)).alias("j"), "is_leaf", F.array_join("path", "").alias("path"))
+
+
 @query(f"""WITH {TREE}, s AS (SELECT a.id, count(*) AS size FROM tree a JOIN tree b ON b.l >= a.l AND b.path[1:a.l] = a.path GROUP BY 1)
 SELECT a.id AS cell_id, s.size AS subtree_size, CAST(1 << a.l AS BIGINT) AS denominator, 2 * a.l AS volume_exponent, round(1.0 / (1 << (2 * a.l)), 9) AS volume, CASE WHEN a.l = 0 THEN 0 ELSE 2 * (a.i % 2) - 1 END AS cx FROM tree a JOIN s USING (id)""")
 def tree_nav(spark: SparkSession, d: str) -> DataFrame:
@@ -164,14 +176,22 @@ def boundary_faces(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.boundary_faces(neighbors.neighbors(c, 2), c, 2)
 
 
-@query("SELECT CAST(0 AS BIGINT) AS violations, 1.0::DOUBLE AS volume")
+def _balanced_sql() -> str:
+    """Cells that a balanced tree splits, level by level from the finest: those of the tree, and the parents
+    of the face neighbours of finer ones."""
+    parts = [f"s{DEPTH - 1} AS (SELECT i, j FROM split WHERE l = {DEPTH - 1})"]
+    for k in range(DEPTH - 2, -1, -1):
+        near = f"SELECT (i + a) // 2 AS i, (j + b) // 2 AS j FROM s{k + 1}, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) t(a, b) WHERE i + a BETWEEN 0 AND {(1 << (k + 1)) - 1} AND j + b BETWEEN 0 AND {(1 << (k + 1)) - 1}"
+        parts.append(f"s{k} AS (SELECT i, j FROM split WHERE l = {k} UNION {near})")
+    every = " UNION ALL ".join(f"SELECT {k} AS l, i, j FROM s{k}" for k in range(DEPTH))
+    return ", ".join(parts) + f", every AS ({every}), kids AS (SELECT 0 AS l, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS j UNION ALL SELECT l + 1, 2 * i + a, 2 * j + b FROM every, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) t(a, b))"
+
+
+@query(f"WITH {TREE}, {_balanced_sql()} SELECT l AS level, i, j FROM kids ANTI JOIN every USING (l, i, j)")
 def balance_2to1(spark: SparkSession, d: str) -> DataFrame:
-    c = grid.numbered(neighbors.balance(tree(spark, d), 2, grid.numbered))
-    c = stored(c, "balanced")
-    lv = c.select("cell_id", "level")
-    n = neighbors.neighbors(c, 2).join(lv.select(F.col("cell_id").alias("cell"), F.col("level").alias("a")), "cell").join(lv.select(F.col("cell_id").alias("nbr"), F.col("level").alias("b")), "nbr")
-    v = grid.leaves(c).agg(F.sum(F.pow(F.lit(2.0), -2 * F.col("level"))).alias("volume"))
-    return n.agg(F.count_if(F.abs(F.col("a") - F.col("b")) > 1).alias("violations")).crossJoin(v)
+    """The leaves of the grid once no two face neighbours are more than a level apart."""
+    c = neighbors.balance(tree(spark, d), 2, grid.numbered)
+    return grid.leaves(c).select("level", F.get("ix", F.lit(0)).alias("i"), F.get("ix", F.lit(1)).alias("j"))
 
 
 @query(f"""{TN}, {PER}, one AS (SELECT cell, min(nbr) FILTER (axis = 1 AND side = 2) AS e, min(nbr) FILTER (axis = 2 AND side = 1) AS s, min(nbr) FILTER (axis = 2 AND side = 2) AS n FROM per GROUP BY 1),
@@ -294,17 +314,16 @@ def init_projection(spark: SparkSession, d: str) -> DataFrame:
     return f.select("cell_id", *[(F.round(F.get("coeffs", F.lit(k)) + 1e-9, 5)).alias(f"c{k}") for k in range(5)])
 
 
-@query(f"WITH {SEG}, {BINS}, {OV1} SELECT DISTINCT eul_idx AS id, round(5 + 3 * CAST(eul_idx AS DOUBLE) * 64, 4) AS c0, 192.0::DOUBLE AS c1 FROM ov JOIN (SELECT DISTINCT 1) ON true WHERE eul_idx < 8")
+@query(f"WITH {SEG}, u AS (SELECT DISTINCT unnest(range(CAST(floor((lo + 4096) / 128) AS BIGINT), CAST(ceil((hi + 4096) / 128) AS BIGINT))) AS id FROM seg) SELECT id, round(5 + 3 * (128.0 * id - 4096), 4) AS c0, 384.0::DOUBLE AS c1 FROM u")
 def poly_remap_linear(spark: SparkSession, d: str) -> DataFrame:
-    """A linear field given on cells of 32 days, remapped to bins of 64 days, is the same field."""
-    src = grid_boxes(spark, 5, [0.0], [1024.0])
-    dst = grid_boxes(spark, 4, [0.0], [1024.0])
-    ov = overlap.overlap_boxes(src, dst, 1, 2, [64.0]).select(F.col("a_id").alias("lag_idx"), F.col("b_id").alias("eul_idx"), "moments")
+    """A linear field given on cells of 64 days, remapped to bins of 128 days, is the same field: in all bins with orders."""
+    src, dst = grid_boxes(spark, 7, [-4096.0], [4096.0]), grid_boxes(spark, 6, [-4096.0], [4096.0])
+    ov = overlap.overlap_boxes(src, dst, 1, 2, [128.0]).select(F.col("a_id").alias("lag_idx"), F.col("b_id").alias("eul_idx"), "moments")
     lo, hi = [F.get("lo", F.lit(0))], [F.get("hi", F.lit(0))]
     coeffs = F.array(5 + 3 * lo[0], 3 * (hi[0] - lo[0]))
     s = src.select("id", coeffs.alias("coeffs"), remap.box_pullback(lo, hi, 1).alias("pullback"))
     t = dst.select("id", remap.box_pullback(lo, hi, 1).alias("pullback"), F.col("volume").alias("jacobian"))
-    used = segments(spark, d).select(F.explode(F.sequence(F.floor(F.col("lo") / 64), F.ceil(F.col("hi") / 64) - 1)).alias("id")).where("id < 8").distinct()
+    used = segments(spark, d).select(F.explode(F.sequence(F.floor((F.col("lo") + 4096) / 128), F.ceil((F.col("hi") + 4096) / 128) - 1)).alias("id")).distinct()
     r = remap.polynomial(ov, s, t, 1, 1, 1)
     return r.join(used, "id").select("id", F.round(F.get("coeffs", F.lit(0)), 4).alias("c0"), F.round(F.get("coeffs", F.lit(1)), 6).alias("c1"))
 

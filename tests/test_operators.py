@@ -2,6 +2,7 @@
 
 import math
 from fractions import Fraction
+from itertools import product
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from tessera.functions import simplex as X
 from tessera.operators import fields, grid, kernels, meshes, neighbors, overlap, particles, patches, remap, stats
 from tessera.plans import constants as K
 from tessera.sources.fixtures import grid_boxes
+from tessera.streaming import online
 
 
 def value(spark, c):
@@ -138,13 +140,34 @@ def test_translated_frames(spark, dim, want):
     assert overlap.overlap_boxes(a, boxes(spark, 1, [0.0] * dim, [1.0] * dim), dim).count() == 2**dim
 
 
+def integers(rows):
+    return np.frompyfunc(int, 1, 1)(np.array(rows))
+
+
 def test_simplices_are_cut_exactly():
-    points = [(Fraction(0), Fraction(0)), (Fraction(4), Fraction(0)), (Fraction(0), Fraction(4))]
-    m = overlap.simplex_box(points, [Fraction(1), Fraction(1)], [Fraction(2), Fraction(3)], 1)
-    assert m[0] == Fraction(3, 2) and isinstance(m[1], Fraction)
-    assert overlap.simplex_box(points, [Fraction(4), Fraction(4)], [Fraction(5), Fraction(5)], 0) is None
-    four = [tuple(Fraction(int(i == j)) for j in range(4)) for i in range(-1, 4)]
-    assert overlap.simplex_box(four, [Fraction(0)] * 4, [Fraction(1)] * 4, 0)[0] == Fraction(1, 24)
+    m = overlap.simplex_boxes(integers([[[0, 0], [4, 0], [0, 4]]] * 2), integers([[1, 1], [4, 4]]), integers([[2, 3], [5, 5]]), 1)
+    assert m[0, 0] == Fraction(3, 2) and isinstance(m[0, 1], Fraction) and m[1].tolist() == [0, 0, 0]
+    four = [[int(i == j) for j in range(4)] for i in range(-1, 4)]
+    assert overlap.simplex_boxes(integers([four]), integers([[0] * 4]), integers([[1] * 4]), 0)[0, 0] == Fraction(1, 24)
+
+
+@pytest.mark.parametrize("dim", [1, 2, 3, 4])
+def test_float_and_exact_simplices_agree(dim):
+    rng = np.random.default_rng(dim)
+    points = rng.integers(-20, 20, (60, dim + 1, dim))
+    lo = rng.integers(-20, 10, (60, dim))
+    hi = lo + rng.integers(1, 20, (60, dim))
+    exact = overlap.simplex_boxes(integers(points), integers(lo), integers(hi), 2)
+    rough = overlap.simplex_boxes(points.astype(float), lo.astype(float), hi.astype(float), 2)
+    assert rough == pytest.approx(exact.astype(float), rel=1e-9, abs=1e-7)
+    # Boxes that tile a great one have all of the simplex between them.
+    steps = [-20, -3, 4, 20]
+    tiles = list(product(range(3), repeat=dim))
+    tile_lo, tile_hi = (integers([[steps[i + k] for i in t] for t in tiles]) for k in (0, 1))
+    for p in points[: 12 if dim < 4 else 3]:
+        m = overlap.simplex_boxes(integers([p] * len(tiles)), tile_lo, tile_hi, 0)[:, 0]
+        edges = p[1:] - p[:1]
+        assert sum(m) == abs(Fraction(round(np.linalg.det(edges)), math.factorial(dim)))
 
 
 def test_shifted_moments(spark):
@@ -295,9 +318,90 @@ def test_unit_square_mesh_and_cached_overlap(spark):
     assert pair.overlap is not first
 
 
-def test_periodic_walls_are_matched(spark):
-    f = spark.createDataFrame([(1, [0.0, 0.25]), (2, [0.0, 0.75]), (3, [1.0, 0.75]), (4, [1.0, 0.25]), (5, [0.5, 0.0])], "face long, center array<double>")
-    assert {tuple(r) for r in meshes.periodic_faces(f, 0, 0.0, 1.0).collect()} == {(1, 4), (2, 3)}
+def test_periodic_walls_take_the_nearest_face(spark):
+    shaken = [[0.0, 0.0], [1.0, 1e-12], [0.0, 1.0], [1.0, 1.0 - 1e-12], [0.5, 0.5], [0.0, 2.0], [1.0, 2.0]]
+    v = spark.createDataFrame(list(enumerate(shaken)), "vid long, pos array<double>")
+    t = spark.createDataFrame([(10, [0, 1, 4]), (11, [1, 3, 4]), (12, [3, 2, 4]), (13, [2, 0, 4]), (14, [2, 3, 5]), (15, [3, 6, 5])], "sid long, vids array<long>")
+    n = {(r.sid, r.face): r.neighbor for r in meshes.periodic(t, v, 0, 0.0, 1.0, 2).collect()}
+    assert n[13, 2] == 11 and n[11, 2] == 13 and n[14, 1] == 15 and n[15, 2] == 14 and n[10, 2] is None
+    line = spark.createDataFrame([(i, [i, i + 1]) for i in range(4)], "sid long, vids array<long>")
+    ends = spark.createDataFrame([(i, [i / 4]) for i in range(5)], "vid long, pos array<double>")
+    assert {(r.sid, r.face): r.neighbor for r in meshes.periodic(line, ends, 0, 0.0, 1.0, 1).collect()}[0, 1] == 3
+
+
+def test_mesh_faults_and_pins(spark):
+    v, t = X.unit_square_mesh(spark, 4)
+    assert meshes.checked(t, v, 2) is t
+    bad = t.union(spark.createDataFrame([(90, [0, 0, 1]), (91, [0, 1]), (92, [0, 1, 77]), (93, [1, 4, 9]), (94, [1, 4, 14])], "sid long, vids array<long>"))
+    faults = {(r.sid, r.fault) for r in meshes.mesh_faults(bad, v, 2).collect()}
+    assert {(90, "repeated"), (91, "vertices"), (92, "missing")} <= faults and {(93, "shared"), (94, "shared")} <= faults
+    with pytest.raises(ValueError):
+        meshes.checked(bad, v, 2)
+    ids = spark.createDataFrame([(3,), (3,)], "sid long")
+    assert {r.sid for r in meshes.pinned(t, ids).where("pinned").collect()} == {3}
+    with pytest.raises(ValueError):
+        meshes.pinned(t, spark.createDataFrame([(1000,)], "sid long"))
+
+
+def test_boxes_of_any_width_meet(spark):
+    rng = np.random.default_rng(8)
+    wide = lambda n: [(i, x, [p + w for p, w in zip(x, (rng.choice([0.01, 0.5, 3.0, 500.0], 2) * rng.random(2)).tolist(), strict=True)]) for i, x in enumerate(rng.random((n, 2)).tolist())]
+    a, b = wide(150), [(i, [10 * p for p in lo], [10 * p + 4 for p in hi]) for i, lo, hi in wide(150)]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, lo array<double>, hi array<double>")
+    want = {(i, j) for i, lo, hi in a for j, l2, h2 in b if all(x < q and p < y for x, y, p, q in zip(lo, hi, l2, h2, strict=True))}
+    for side in (None, [1.0, 1.0]):
+        got = [(r.a_id, r.b_id) for r in overlap.box_pairs(frame(a), frame(b), 2, side).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    one = frame([(1, [0.0, 0.0], [1e4, 1e4])])
+    assert overlap.tiled(overlap.leveled(one, [1.0, 1.0]), [1.0, 1.0], [0, 20]).count() <= 8
+
+
+def test_uniform_trees_and_paths(spark):
+    cells = grid.numbered(grid.uniform(spark, 2, 2)).cache()
+    r = grid.uniform_grid(cells, [0.0, 1.0], [4.0, 2.0]).first()
+    assert (r.depth, r.n, r.spacing) == (2, 4, [1.0, 0.25]) and grid.voxels(cells).count() == 16
+    split = grid.numbered(grid.refine(cells.select(*grid.COLUMNS), cells.where("cell_id = 3").select("path"), 2))
+    assert grid.uniform_grid(split, [0.0], [1.0]).count() == 0 == grid.voxels(split).count()
+    wanted = spark.createDataFrame([([0, 1], [3, 3]), ([0, 1], [1, 3]), ([9], [3])], "path array<int>, masks array<int>")
+    assert sorted(x.cell_id for x in grid.at_path(cells, wanted).collect()) == [0, 0, 4]
+
+
+def test_patches_find_their_parents(spark):
+    p = spark.createDataFrame([(0, 1, [0.0, 0.0], [8.0, 8.0]), (0, 2, [8.0, 0.0], [16.0, 8.0]), (1, 3, [1.0, 1.0], [3.0, 2.0]), (1, 4, [7.0, 1.0], [9.0, 2.0]), (2, 5, [1.5, 1.0], [2.0, 1.5])], "level int, patch long, lo array<double>, hi array<double>")
+    assert {(r.patch, r.parent) for r in patches.parents(p, 2).collect()} == {(3, 1), (4, None), (5, 3)}
+    assert patches.n_levels(p) == 3 and patches.patches_at(p, 1).count() == 2
+    with pytest.raises(ValueError):
+        patches.validate(p, 2)
+
+
+def test_streams_leave_each_batch_once(spark, tmp_path):
+    online.replaced(spark.range(3), f"{tmp_path}/x")
+    online.replaced(spark.range(2), f"{tmp_path}/x")
+    assert spark.read.parquet(f"{tmp_path}/x").count() == 2
+    path, src = f"{tmp_path}/amr", f"{tmp_path}/src"
+    value = lambda b, c: c.select("path", F.lit(5.0).alias("value"))
+    for k in range(2):
+        spark.range(1).coalesce(1).write.parquet(f"{src}/a={k}")
+        stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(src)
+        versions = online.adaptive_stream(stream, grid.root(spark, 1), value, 1, 1.0, 9, path=path)
+        # Begun again in the same place, the stream goes on from its last version.
+        assert {r.version: r.n for r in versions.where("is_leaf").groupBy("version").agg(F.count("*").alias("n")).collect()} == {v: 2**v for v in range(k + 2)}
+
+
+def test_listeners_hear_of_everything():
+    heard, who = [], online.Listeners()
+
+    def bad(events):
+        heard.append("bad")
+        raise KeyError(events)
+
+    who.register(bad)
+    gone = who.register(lambda e: heard.append("gone"))
+    who.register(heard.append)
+    who.unregister(gone)
+    with pytest.raises(KeyError):
+        who.fire("now")
+    assert heard == ["bad", "now"]
 
 
 def test_collisions_keep_momentum_and_energy(spark):

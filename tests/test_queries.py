@@ -7,11 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from tessera.queries import basics, motion, trees
+from tessera.queries import basics, meshing, motion, trees
 
 DATA = Path("/root/testdata/sf0.001")
-OWN = basics.Q | trees.Q | motion.Q
-SQL = basics.SQL | trees.SQL | motion.SQL
+OWN = basics.Q | trees.Q | motion.Q | meshing.Q
+SQL = basics.SQL | trees.SQL | motion.SQL | meshing.SQL
 
 
 @pytest.fixture(scope="module")
