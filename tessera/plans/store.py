@@ -32,9 +32,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[context.applicationId]
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all that this application left in the shared folder, once results that read it are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back."""
-    path = f"{shared_dir(df.sparkSession)}/tessera/{what}-{uuid.uuid4().hex}"
+    path = f"{own_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

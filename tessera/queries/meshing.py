@@ -11,11 +11,12 @@ from tessera.functions import arrays as A
 from tessera.functions import scalars as S
 from tessera.functions import simplex as X
 from tessera.operators import fields, grid, kernels, meshes, overlap, particles, patches, remap
-from tessera.plans.store import shared_dir, stored
+from tessera.plans.store import own_dir, stored
 from tessera.queries.basics import r6
 from tessera.queries.trees import DEPTH, MANY, PATCH, TREE, UNI, _counts, _levels, _numbered, _uniform, counted, pyramid
 from tessera.sources.fixtures import BOX, OV1, PART, PT, SEG, TRI, BINS, boxes, grid_boxes, points, segments, stream_table, table, triangles
 from tessera.sources.fixtures import particles as all_particles
+from tessera.sources import svg
 from tessera.streaming import online
 
 Q, SQL = {}, {}
@@ -104,6 +105,13 @@ def voxel_counts(spark: SparkSession, d: str) -> DataFrame:
     return each.crossJoin(F.broadcast(g.select("depth", F.get("spacing", F.lit(0)).alias("dx"), F.get("spacing", F.lit(1)).alias("dy"))))  # one row
 
 
+@query(f"""WITH {TRI} SELECT 1 AS layer, CAST(range AS BIGINT) AS id, printf('<rect x="%.4f" y="%.4f" width="8.0000" height="8.0000" class="cell"/>', 8.0 * (range % 8), 8.0 * (range // 8)) AS line FROM range(64)
+UNION ALL SELECT 2, id, printf('<polygon points="%.4f,%.4f %.4f,%.4f %.4f,%.4f" class="triangle"/>', x1, y1, x2, y2, x3, y3) FROM tri""")
+def drawing(spark: SparkSession, d: str) -> DataFrame:
+    """Triangles on cells, as elements of a drawing."""
+    return svg.elements(grid_boxes(spark, 3, [0.0, 0.0], [64.0, 64.0]), triangles(spark, d))
+
+
 # Polynomials -------------------------------------------------------------------------------------
 
 
@@ -295,7 +303,7 @@ ver AS (SELECT CAST(range AS INTEGER) AS version FROM range({STEPS + 1})), cells
 
 def _versions(spark: SparkSession, d: str) -> DataFrame:
     """A grid that is refined once with each of three micro-batches, all of which have the same points."""
-    path = f"{shared_dir(spark)}/tessera/batches-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/batches-{uuid.uuid4().hex}"
     p = points(spark, d).select("id", "x", "y", "w").coalesce(1)
     for k in range(STEPS):
         p.write.parquet(f"{path}/step={k}")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import grid, particles, stats
-from tessera.plans.store import shared_dir, stored
+from tessera.plans.store import own_dir, stored
 
 
 def finished(stream: DataFrame, mode: str = "complete") -> DataFrame:
@@ -22,7 +22,7 @@ def finished(stream: DataFrame, mode: str = "complete") -> DataFrame:
     failure leaves its rows once.
     """
     spark = stream.sparkSession
-    path = f"{shared_dir(spark)}/tessera/stream-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         replaced(batch, f"{path}/data" if mode == "complete" else f"{path}/data/batch={number}")
@@ -77,7 +77,7 @@ def adaptive_stream(points: DataFrame, cells: DataFrame, indicator: Callable[[Da
     a stream that is begun again in the same ``path`` goes on where it ended.
     """
     spark: SparkSession = points.sparkSession
-    path = path or f"{shared_dir(spark)}/tessera/stream-{uuid.uuid4().hex}"
+    path = path or f"{own_dir(spark)}/stream-{uuid.uuid4().hex}"
     at = lambda n: f"{path}/cells/version={n}"
     if not exists(spark, at(0)):
         replaced(cells.select(*grid.COLUMNS), at(0))

@@ -3,6 +3,7 @@
 import math
 from fractions import Fraction
 from itertools import product
+from xml.etree import ElementTree
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from tessera.functions import scalars as S
 from tessera.functions import simplex as X
 from tessera.operators import fields, grid, kernels, meshes, neighbors, overlap, particles, patches, remap, stats
 from tessera.plans import constants as K
+from tessera.sources import svg
 from tessera.sources.fixtures import grid_boxes
 from tessera.streaming import online
 
@@ -388,6 +390,14 @@ def test_streams_leave_each_batch_once(spark, tmp_path):
         assert {r.version: r.n for r in versions.where("is_leaf").groupBy("version").agg(F.count("*").alias("n")).collect()} == {v: 2**v for v in range(k + 2)}
 
 
+def test_drawings_are_written_in_order(spark, tmp_path):
+    tri = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 0.0, 0.0, 1.0)], "id long, x1 double, y1 double, x2 double, y2 double, x3 double, y3 double")
+    svg.write(svg.elements(grid_boxes(spark, 1, [0.0, 0.0], [1.0, 1.0]), tri), f"{tmp_path}/d", [0.0, 0.0], [1.0, 1.0])
+    text = "".join(p.read_text() for p in sorted((tmp_path / "d").glob("part-*")))
+    root = ElementTree.fromstring(text)
+    assert [x.tag.split("}")[1] for x in root[1]] == ["rect"] * 4 + ["polygon"] and root[1][4].get("points") == "0.0000,0.0000 1.0000,0.0000 0.0000,1.0000"
+
+
 def test_listeners_hear_of_everything():
     heard, who = [], online.Listeners()
 
