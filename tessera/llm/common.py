@@ -50,8 +50,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/tessera/{what}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared folder, in the folder of this application."""
+    return f"{own_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all tables, models and archives that this application left in the shared folder. To be
+    called once nothing reads them any more: results are lazy, so that is after they are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:

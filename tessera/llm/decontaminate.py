@@ -203,5 +203,5 @@ def candidates(keyed: DataFrame, items: DataFrame, k: int, radius: int) -> DataF
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item."""
     held = stored(matches(docs, items, id_col=id_col, text_col=text_col).select("id", "sha").distinct(), "held").alias("held")
-    same = F.col(id_col).eqNullSafe(F.col("held.id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("held.sha"))
-    return docs.join(held, same, "left_anti")
+    same = F.col(f"d.`{id_col}`").eqNullSafe(F.col("held.id")) & (F.xxhash64(F.coalesce(F.col(f"d.`{text_col}`"), F.lit(""))) == F.col("held.sha"))
+    return docs.alias("d").join(held, same, "left_anti")

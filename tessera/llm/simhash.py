@@ -312,19 +312,20 @@ def staying(docs: DataFrame, rows: DataFrame, group: list[str], id_col: str, tex
     odd = stored(marked.where("stays is null or n > 1").select("each.id", "each.sha", F.col("stays").isNotNull().alias("again")), "odd")
     counts = odd.agg(F.count(F.lit(1)).alias("n"), F.count_if("again").alias("again")).first()
     small = counts["n"] <= BROADCAST_ROWS
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(f"d.`{text_col}`"), F.lit(""))
 
     def same() -> Column:
-        return F.col(id_col).cast("long").eqNullSafe(F.col("odd.id")) & (F.xxhash64(text) == F.col("odd.sha"))
+        return F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("odd.id")) & (F.xxhash64(text) == F.col("odd.sha"))
 
     out = (F.broadcast(odd) if small else odd).alias("odd")
+    docs = docs.alias("d")
     single = docs.join(out, same(), "left_anti")
     if not counts["again"]:
         return single
     again = odd.where("again")
     again = (F.broadcast(again) if small else again).alias("odd")
     # By id and text: other texts with this id, or without one, are rows of their own.
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("sha"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"d.`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("sha"))
     once = row.join(again, F.col("row")[id_col].cast("long").eqNullSafe(F.col("odd.id")) & (row.sha == F.col("odd.sha")), "left_semi").dropDuplicates(["id", "sha"])
     return single.union(once.select("row.*"))
 

@@ -391,6 +391,20 @@ def test_a_very_long_text_is_searched_in_proportion(spark):
     assert {(r.id, r.item_id, r.similarity) for r in got} == {(1, i, 1.0) for i in range(50)} | {(2, 7, 1.0)}
 
 
+def test_the_id_may_have_any_name(spark):
+    rng = random.Random(19)
+    item, twice = sentence(rng, 20), sentence(rng, 90)
+    rows = [(1, f"{sentence(rng, 40)} {item}", 5), (2, twice, 5), (3, twice, 5), (3, twice, 5), (None, "no id", 5)]
+    docs = spark.createDataFrame(rows, "id long, body string, sha long")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontaminate.clean(docs, bench, "id", "body")
+    assert kept.columns == docs.columns and sorted(str(r.id) for r in kept.collect()) == ["2", "3", "3", "None"]
+    for one in (simhash.one_per_class(docs, id_col="id", text_col="body"), simhash.one_per_near_class(docs, id_col="id", text_col="body")):
+        assert one.columns == docs.columns and sorted(str(r.id) for r in one.collect()) == ["1", "2", "None"]
+    cut = chunks.deduplicated(docs, "id", "body")
+    assert cut.columns == docs.columns and cut.count() == 5
+
+
 def test_native_plan_has_no_python(spark):
     plan = decontaminate.matches(documents(spark), spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -16,8 +17,9 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe, chat, cotrain, hashstore, lm, quality, toxicity, warc
+from tessera.llm import bpe, chat, common, cotrain, hashstore, lm, quality, toxicity, warc
 from tessera.llm.common import scratch
+from tessera.plans import store
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [None, "", " \n\t ", "one", "Two words", "ΑΣ ΣΑΣ İ", "x<|endoftext|>y <|EndOfText|>", "don't 'S 1234 ½", "á é 漢字 한국 🙂", "a" * 3000, "\x00\x1f\x85 ​", "𞤀 ՘ ̣࢘"]
@@ -502,6 +504,48 @@ def test_cotraining_equals_brute_force(spark):
     assert sum(right) > 0.95 * len(right)
 
 
+def test_long_texts_and_clashing_columns(spark):
+    long = spark.createDataFrame([(1, "a b " * 400_000, 1, "x"), (2, None, 2, "y")], "doc_id long, text string, score int, n_tokens string")
+    model = lm.train(long)
+    r = {x.doc_id: x for x in lm.scores(long, model).collect()}
+    assert r[1].n_tokens == 800_001 and r[1].score > -1000 and r[2].n_tokens == 1
+    page = spark.createDataFrame([(1, "u", "é" * 2_000_000, "own", 7), (2, "v", "é" * 2_000_000, "own", 7)], "page_id long, url string, html string, sha string, best long")
+    got = {x.page_id: (x.record_type, x.payload_bytes, x.error) for x in warc.round_trip(spark, page).collect()}
+    assert got == {1: ("revisit", 4_000_000, None), 2: ("response", 4_000_000, None)}
+
+
+def test_archives_of_two_attempts_do_not_mix(spark):
+    folder = scratch(spark, "warc-twice")
+    p = pages(spark)
+    first, second = (warc.write_archives(p, folder) for _ in range(2))
+    assert not {r.file for r in first.collect()} & {r.file for r in second.collect()}
+    assert warc.read_archives(first).count() == warc.read_archives(second).count() == p.count()
+    body = b"HTTP/1.1 200 OK\r\nX: " + b"y" * (2 << 20)
+    bad = warc.record("response", 1, "u", "A", 5, body, "2020-01-01T00:00:00Z")
+    assert list(warc.Reader(io.BytesIO(bad)))[0]["error"] == "the HTTP header doesn't end"
+
+
+def test_pairs_of_one_id_are_told_apart(spark):
+    t = spark.createDataFrame([(i, 0, "user", f"text {i}") for i in range(1, 5)], "conv_id long, turn long, role string, text string")
+    p = spark.createDataFrame([(7, 1, 2), (7, 3, 4), (7, 1, 2)], "pair_id long, chosen_id long, rejected_id long")
+    r = chat.format_preferences(t, p).collect()
+    assert sorted((x.pair_id, x.chosen_id, x.rejected_id) for x in r) == [(7, 1, 2), (7, 3, 4)]
+    assert all(f"text {x.chosen_id}" in x.chosen and f"text {x.rejected_id}" in x.rejected for x in r)
+
+
+def test_the_shared_folder_is_named_off_local_mode():
+    def session(master, given=None):
+        option = SimpleNamespace(isDefined=lambda: given is not None, get=lambda: given)
+        context = SimpleNamespace(master=master, applicationId=master, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: option)))
+        return SimpleNamespace(conf={}, sparkContext=context)
+
+    for dir_of in (common.shared_dir, store.shared_dir):
+        with pytest.raises(ValueError):
+            dir_of(session("spark://host:7077"))
+        assert dir_of(session("yarn", "hdfs://x/y/")) == "hdfs://x/y"
+        assert "tessera-" in dir_of(session("local[2]"))
+
+
 def test_cotraining_odd_cases(spark, docs):
     table = cotrain.features(docs.withColumn("x", F.lit("own")).withColumn("sha", F.lit(1)))
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
