@@ -165,6 +165,8 @@ def windows(keyed: DataFrame, bench: DataFrame, k: int, lane: int, n_shingles: i
         return F.struct(x["n"].alias("n"), x["part"].alias("part"), x["hits"].alias("hits"), F.slice("sh", (x["part"] * SEGMENT + 1).cast("int"), size + (SEGMENT - 1)).alias("psh"))
 
     pieces = found.select("id", "sha", F.explode_outer(F.transform("parts", piece)).alias("x")).select("id", "sha", "x.*")
+    # Few bytes, but much to do for each: dealt out evenly, in a number that Spark does not cut down.
+    pieces = pieces.repartition(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # An item and a place in the part as one number, as structs are compared pair by pair.
     begin = F.col("part") * SEGMENT
     pairs = F.array_distinct(F.flatten(F.transform("hits", lambda c: F.transform(F.sequence(F.greatest(c["lo"].cast("long"), begin), F.least(c["hi"].cast("long"), begin + (SEGMENT - 1))), lambda s: c["item"] * SEGMENT + (s - begin)))))
