@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions import arrays as A
+from tessera.functions import scalars as S
 from tessera.functions import simplex as X
 from tessera.plans import constants as K
 
@@ -54,6 +55,16 @@ def cumulants(order: int) -> None:
     raise NotImplementedError("cumulants above 2")
 
 
+KINDS = {"mass_weighted_average": mean, "conservative_flux": flux, "total_covariance": covariance}
+
+
+def by_kind(kind: str, ov: DataFrame, src: DataFrame, every: DataFrame, source: str = "lag_idx", target: str = "eul_idx") -> DataFrame:
+    """A remap by the name of its kind; cumulants of any order are refused as ``cumulants`` says."""
+    if kind.startswith("total_cumulants_"):
+        cumulants(int(kind.rpartition("_")[2]))
+    return KINDS[kind](ov, src, every, source, target)
+
+
 # Polynomials -----------------------------------------------------------------------------------
 
 
@@ -123,6 +134,28 @@ def polynomial(ov: DataFrame, src: DataFrame, dst: DataFrame, dim: int, p_src: i
     return solved.select("id", scaled.alias("coeffs"))
 
 
+def box_frame(cells: DataFrame, dim: int, order: int) -> DataFrame:
+    """``id``, ``pullback``, ``jacobian`` of boxes (``lo``, ``hi``): what ``polynomial`` needs to know of a side."""
+    lo, hi = ([F.get(c, F.lit(d)) for d in range(dim)] for c in ("lo", "hi"))
+    return cells.select("id", box_pullback(lo, hi, order).alias("pullback"), S.product([h - a for a, h in zip(lo, hi, strict=True)]).alias("jacobian"))
+
+
+def simplex_frame(simplices: DataFrame, dim: int, order: int) -> DataFrame:
+    """The same of simplices (``points``); the Jacobian is signed."""
+    corners = [[F.get(F.get("points", F.lit(k)), F.lit(d)) for d in range(dim)] for k in range(dim + 1)]
+    return simplices.select("id", simplex_pullback(corners, order).alias("pullback"), X.det(X.edge_matrix(corners)).alias("jacobian"))
+
+
+def polynomial_fields(ov: DataFrame, fields: DataFrame, names: list[str], src_frame: DataFrame, dst_frame: DataFrame, dim: int, p_src: int, p_dst: int, kind: str = "box", source: str = "lag_idx", target: str = "eul_idx") -> DataFrame:
+    """Several fields by name: ``fields(id, <names>)`` hold coefficients on the source side; returns the same
+    columns on the target side."""
+    out = dst_frame.select("id")
+    for name in names:
+        src = src_frame.join(fields.select("id", F.col(name).alias("coeffs")), "id")
+        out = out.join(polynomial(ov, src, dst_frame, dim, p_src, p_dst, kind, source, target).withColumnRenamed("coeffs", name), "id", "left")
+    return out
+
+
 def diagnostics(ov: DataFrame, volumes: DataFrame, source: str = "lag_idx") -> DataFrame:
     """One row: extremes of volume / |source volume|, total, entries without volume."""
     j = ov.join(volumes.select(F.col("id").alias(source), F.abs("volume").alias("_v")), source)

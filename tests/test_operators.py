@@ -398,6 +398,21 @@ def test_drawings_are_written_in_order(spark, tmp_path):
     assert [x.tag.split("}")[1] for x in root[1]] == ["rect"] * 4 + ["polygon"] and root[1][4].get("points") == "0.0000,0.0000 1.0000,0.0000 0.0000,1.0000"
 
 
+def test_fields_are_remapped_by_name_and_kind(spark):
+    src, dst = boxes(spark, 2, [0.0], [8.0]), boxes(spark, 1, [0.0], [8.0])
+    ov = overlap.overlap_boxes(src, dst, 1, 2).select(F.col("a_id").alias("lag_idx"), F.col("b_id").alias("eul_idx"), "volume", "moments")
+    both = src.select("id", F.array(F.col("id") * 2.0, F.lit(2.0)).alias("x"), F.array(F.lit(1.0), F.lit(0.0)).alias("one"))
+    got = {r.id: (r.x, r.one) for r in remap.polynomial_fields(ov, both, ["x", "one"], remap.box_frame(src, 1, 1), remap.box_frame(dst, 1, 1), 1, 1, 1).collect()}
+    assert got[1][0] == pytest.approx([4.0, 4.0]) and got[0][0] == pytest.approx([0.0, 4.0], abs=1e-9) and got[1][1] == pytest.approx([1.0, 0.0], abs=1e-9)
+    field = src.select("id", F.col("id").cast("double").alias("value"))
+    assert {r.id: r.value for r in remap.by_kind("conservative_flux", ov, field, dst).collect()} == {0: 1.0, 1: 5.0}
+    with pytest.raises(NotImplementedError):
+        remap.by_kind("total_cumulants_4", ov, field, dst)
+    tri = spark.createDataFrame([(1, [[1.0, 1.0], [3.0, 1.0], [1.0, 2.0]])], "id long, points array<array<double>>")
+    frame = remap.simplex_frame(tri, 2, 2).first()
+    assert frame.jacobian == 2.0 and frame.pullback[1] == [-0.5, 0.5, 0.0, 0.0, 0.0, 0.0] and frame.pullback[3] == [0.25, -0.5, 0.0, 0.25, 0.0, 0.0]
+
+
 def test_listeners_hear_of_everything():
     heard, who = [], online.Listeners()
 
