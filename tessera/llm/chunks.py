@@ -189,16 +189,20 @@ def merged(spans: list[int] | None, least: int) -> list[dict[str, int]]:
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
     """``id``, ``sha``, ``spans``: the runs of ``min_run`` bytes and more of each text that occur earlier."""
 
-    def runs(spans: pa.Array) -> pa.Array:
-        return pa.array([merged(x, min_run) for x in spans.to_pylist()], pa.list_(pa.struct([("b", pa.int64()), ("e", pa.int64())])))
+    # Not a function of a column: Spark would call it once for its value and once for the filter on it,
+    # each time in a Python worker of its own.
+    def runs(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
+        found = [merged(x, min_run) for x in batch.column(2).to_pylist()]
+        some = pa.array([bool(x) for x in found], pa.bool_())
+        kind = pa.list_(pa.struct([("b", pa.int64()), ("e", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], ["id", "sha", "spans"]).filter(some)
 
-    runs.__annotations__ = {"spans": pa.Array, "return": pa.Array}
     own = ["id", "sha", "span"]
     first = Window.partitionBy("hi", "lo").orderBy(*own)
     every = chunks(keyed_texts(docs, id_col, text_col)).select(*own, *[F.first(c).over(first).alias(f"first_{c}") for c in own])
     earlier = (F.col("id") != F.col("first_id")) | (F.col("sha") != F.col("first_sha")) | (F.col("span") != F.col("first_span"))
     again = every.where((F.col("span") < 0) | earlier).groupBy("id", "sha").agg(F.collect_set(F.abs("span")).alias("spans"))
-    return stored(again.select("id", "sha", F.arrow_udf(runs, "array<struct<b: bigint, e: bigint>>")("spans").alias("spans")).where(F.size("spans") > 0), "repeats")
+    return stored(map_batches(again, runs, "id long, sha long, spans array<struct<b: bigint, e: bigint>>"), "repeats")
 
 
 def cut_out(text: pa.Array, spans: pa.Array) -> pa.Array:

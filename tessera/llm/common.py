@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import itertools
 import os
 import shutil
@@ -21,6 +22,7 @@ SPACES = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _OWN: dict[str, str] = {}
+_C = ctypes.CDLL(None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -153,7 +155,8 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.Record
     """``mapInArrow`` with a function of one record batch that yields record batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return itertools.chain.from_iterable(map(fn, batches))
+        yield from itertools.chain.from_iterable(map(fn, batches))
+        tidy()
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
@@ -188,7 +191,17 @@ def map_slices(df: DataFrame, text: int, fn: Callable[[pa.RecordBatch], pa.Recor
 def in_slices(texts: pa.Array, fn: Callable[[pa.Array], pa.Array]) -> pa.Array:
     """A function of a column of texts, applied to a few megabytes at a time."""
     parts = [fn(texts[s]) for s in slices(texts)]
-    return pa.concat_arrays(parts) if parts else fn(texts)
+    out = pa.concat_arrays(parts) if parts else fn(texts)
+    del parts
+    tidy()
+    return out
+
+
+def tidy() -> None:
+    """Gives back what a worker no longer uses: workers live on, and hold what one task needed once."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_C, "malloc_trim", None):
+        trim(0)
 
 
 def lower_ascii(c: Column) -> Column:
