@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm import chunks, decontaminate, simhash
+from tessera.llm import chunks, decontaminate, simhash, warc
 
 DOCS = "doc_id long, text string, fp long, component_id long, places string, sha long"
 
@@ -405,6 +405,30 @@ def test_the_id_may_have_any_name(spark):
     assert cut.columns == docs.columns and cut.count() == 5
 
 
+def test_results_do_not_depend_on_broadcasts(spark, monkeypatch):
+    docs = documents(spark)
+    some = [r.text for r in docs.where("doc_id < 5").collect()]
+    items = spark.createDataFrame([(i, " ".join(t.split()[:12])) for i, t in enumerate(some)], "item_id long, text string")
+    pages = spark.createDataFrame([(i, "u", "ab"[i % 2] * 9) for i in range(9)], "page_id long, url string, html string")
+
+    def results():
+        out = [Counter(tuple(r) for r in chunks.deduplicated(docs).select("doc_id", "text").collect())]
+        out.append(Counter(tuple(r) for r in decontaminate.matches(docs, items).collect()))
+        out.append(Counter(r.doc_id for r in simhash.one_per_near_class(docs).collect()))
+        out.append(Counter((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(spark, pages).collect()))
+        return out
+
+    want = results()
+    for module, name in ((chunks, "BROADCAST_TEXTS"), (decontaminate, "BROADCAST_BYTES"), (simhash, "BROADCAST_ROWS"), (warc, "BROADCAST_DIGESTS")):
+        monkeypatch.setattr(module, name, -1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert results() == want and len(want[1]) >= 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_native_plan_has_no_python(spark):
     plan = decontaminate.matches(documents(spark), spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
