@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans.store import stored
 
-FaceKernel = Callable[[Callable[[str], Column], Callable[[str], Column], Column], Column]
+FaceKernel = Callable[..., Column]
 
 
 def for_each_cell(field: DataFrame, out: str, kernel: Callable[[Callable[[str], Column]], Column]) -> DataFrame:
@@ -39,6 +39,13 @@ def face_fluxes(faces: DataFrame, field: DataFrame, kernel: FaceKernel, columns:
     return both.withColumn("flux", kernel(lambda c: F.col("l_" + c), lambda c: F.col("r_" + c), F.col("axis")))
 
 
+def boundary_fluxes(walls: DataFrame, field: DataFrame, kernel: FaceKernel, columns: list[str]) -> DataFrame:
+    """``cell``, ``axis``, ``side``, ``flux``: a kernel of the cell, the axis and the outward sign (-1 or +1)
+    on faces without a neighbour (``walls``). The flux is what leaves the cell."""
+    own = walls.join(field.select("cell", *columns), "cell")
+    return own.select("cell", "axis", "side", kernel(F.col, F.col("axis"), F.col("side") * 2 - 3).alias("flux"))
+
+
 def net_flux(fluxes: DataFrame, flux: str = "flux") -> DataFrame:
     """``cell``, ``net``: what flows in less what flows out."""
     ends = fluxes.select(F.explode(F.array(F.struct(F.col("left").alias("cell"), (-F.col(flux)).alias("f")), F.struct(F.col("right").alias("cell"), F.col(flux).alias("f")))).alias("e")).select("e.*")

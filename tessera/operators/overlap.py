@@ -50,13 +50,14 @@ def levels_of(a: DataFrame, b: DataFrame) -> tuple[list[int], list[int]]:
     return tuple(sorted(r[0] for r in rows if r[1] == k) for k in (0, 1))
 
 
-def tiled(df: DataFrame, base: list[float], others: list[int]) -> DataFrame:
+def tiled(df: DataFrame, base: list[float], others: list[int] | None = None) -> DataFrame:
     """A row for each tile that a box touches, at its own level and at wider levels that the other side
-    has: at most two per axis and level, however wide the box is."""
-    wider = F.filter(F.array(*map(F.lit, others)).cast("array<int>"), lambda x: x > F.col("_lev"))
-    df = df.withColumn("t_lev", F.explode(F.concat(F.array("_lev"), wider)))
+    has: at most two per axis and level, however wide the box is. Without ``others`` there is one level."""
+    if others is not None:
+        wider = F.filter(F.array(*map(F.lit, others)).cast("array<int>"), lambda x: x > F.col("_lev"))
+        df = df.withColumn("t_lev", F.explode(F.concat(F.array("_lev"), wider)))
     for d, s in enumerate(base):
-        side = F.pow(F.lit(2.0), F.col("t_lev")) * s
+        side = F.lit(s) if others is None else F.pow(F.lit(2.0), F.col("t_lev")) * s
         df = df.withColumn(f"t{d}", F.explode(F.sequence(F.floor(F.get("lo", F.lit(d)) / side), F.floor(F.get("hi", F.lit(d)) / side))))
     return df
 
@@ -71,16 +72,19 @@ def box_pairs(a: DataFrame, b: DataFrame, dim: int, side: list[float] | None = N
     base = side or tile_sides(a, b, dim)
     a, b = leveled(a, base), leveled(b, base)
     la, lb = levels_of(a, b)
-    tiles = ["t_lev", *[f"t{d}" for d in range(dim)]]
+    even = {*la, *lb} <= {0}
+    tiles = [*([] if even else ["t_lev"]), *[f"t{d}" for d in range(dim)]]
 
     def named(df: DataFrame, p: str, others: list[int]) -> DataFrame:
-        return tiled(df, base, others).select(*[F.col(c).alias(c if c in tiles else p + c) for c in [*df.columns, *tiles]])
+        return tiled(df, base, None if even else others).select(*[F.col(c).alias(c if c in tiles else p + c) for c in [*df.columns, *tiles]])
 
-    pairs = named(a, "a_", lb).join(named(b, "b_", la), tiles).where(F.col("t_lev") == F.greatest("a__lev", "b__lev"))
+    pairs = named(a, "a_", lb).join(named(b, "b_", la), tiles)
+    if not even:
+        pairs = pairs.where(F.col("t_lev") == F.greatest("a__lev", "b__lev"))
     get = lambda c, d: F.get(c, F.lit(d))
     for d, s in enumerate(base):
         at = F.greatest(get("a_lo", d), get("b_lo", d))
-        width = F.pow(F.lit(2.0), F.col("t_lev")) * s
+        width = F.lit(s) if even else F.pow(F.lit(2.0), F.col("t_lev")) * s
         pairs = pairs.where((get("a_hi", d) > get("b_lo", d)) & (get("b_hi", d) > get("a_lo", d)) & (F.floor(at / width) == F.col(f"t{d}")))
     return pairs.drop(*tiles, "a__lev", "b__lev")
 

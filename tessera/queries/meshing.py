@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import arrays as A
 from tessera.functions import scalars as S
 from tessera.functions import simplex as X
-from tessera.operators import fields, grid, kernels, meshes, overlap, particles, patches, remap
+from tessera.operators import fields, grid, kernels, meshes, neighbors, overlap, particles, patches, remap
 from tessera.plans.store import own_dir, stored
 from tessera.queries.basics import r6
 from tessera.queries.trees import DEPTH, MANY, PATCH, TREE, UNI, _counts, _levels, _numbered, _uniform, counted, pyramid
@@ -233,6 +233,18 @@ def field_measures(spark: SparkSession, d: str) -> DataFrame:
     return dt.select(F.round("dt", 9).alias("dt")).crossJoin(kernels.l1_error(f, 3.0 * F.get("ix", F.lit(0))).select(r6(F.col("l1"), "l1")))  # a row each
 
 
+@query(f"""WITH {UNI}, w AS (SELECT i, j, 0 AS s, -0.3 * v AS f FROM q WHERE i = 0 UNION ALL SELECT i, j, 1, 0.3 * v FROM q WHERE i = 15 UNION ALL SELECT i, j, 2, -0.2 * (v + 1) FROM q WHERE j = 0 UNION ALL SELECT i, j, 3, 0.2 * (v + 1) FROM q WHERE j = 15)
+SELECT i, j, count(*) AS n, round(sum(f), 6) AS leaving FROM w GROUP BY 1, 2""")
+def boundary_outflow(spark: SparkSession, d: str) -> DataFrame:
+    """What leaves the cells at the walls."""
+    f, _ = _uniform(spark, d)
+    cells = stored(grid.numbered(grid.uniform_level(spark, 2, 4)), "walled")
+    walls = neighbors.boundary_faces(neighbors.neighbors(cells, 2), cells, 2)
+    out = kernels.boundary_fluxes(walls, f, lambda own, axis, sign: sign * F.when(axis == 1, 0.3 * own("value")).otherwise(0.2 * (own("value") + 1)), ["value"])
+    each = out.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("flux"), 6) + 0.0).alias("leaving"))
+    return f.select("cell", F.get("ix", F.lit(0)).alias("i"), F.get("ix", F.lit(1)).alias("j")).join(each, "cell").drop("cell")
+
+
 CELL = "CAST(least(floor(({x}) * 2), 1) + 2 * least(floor(({y}) * 2), 1) + 4 * least(floor(({z}) * 2), 1) + 1 AS BIGINT)"
 
 
