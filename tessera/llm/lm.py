@@ -172,7 +172,7 @@ def train(texts: DataFrame, text_col: str = "text", key_bits: int = 64) -> Model
             yield pa.RecordBatch.from_pylist([{"shard": s, "size": len(keys), "total": int(n.sum())}])
 
     blobs = "shard long, blob binary"
-    done = stored(src.mapInArrow(count_words, blobs).repartition(parts, "shard").mapInArrow(write_words, "shard long, size long, total long"), "lm-words").collect()  # a row per shard
+    done = src.mapInArrow(count_words, blobs).repartition(parts, "shard").mapInArrow(write_words, "shard long, size long, total long").collect()  # a row per shard
     sizes = [0] * parts
     for r in done:
         sizes[r["shard"]] = r["size"]
