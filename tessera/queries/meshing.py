@@ -143,7 +143,7 @@ def _coeffs(df: DataFrame) -> DataFrame:
 
 
 @query(f"""WITH {PATCH}, k AS (SELECT i // 2 + 2 AS i, j // 2 + 2 AS j, avg(v) + 1.5 AS m, 0.75 * sum(CASE WHEN i % 2 = 1 THEN v ELSE -v END) + 0.5 AS b1, 0.75 * sum(CASE WHEN j % 2 = 1 THEN v ELSE -v END) + 1 AS b2 FROM v1 GROUP BY 1, 2)
-SELECT v0.id, round(coalesce(m - b1 / 2 - b2 / 2, v0.v), 5) AS c0, round(coalesce(b1, 1.0), 5) AS c1, round(coalesce(b2, 2.0), 5) AS c2 FROM v0 LEFT JOIN k USING (i, j)""")
+SELECT v0.id, round(coalesce(m - b1 / 2 - b2 / 2, v0.v), 5) AS c0, round(CAST(coalesce(b1, 1.0) AS DOUBLE), 5) AS c1, round(CAST(coalesce(b2, 2.0) AS DOUBLE), 5) AS c2 FROM v0 LEFT JOIN k USING (i, j)""")
 def restrict_polynomial(spark: SparkSession, d: str) -> DataFrame:
     """Linear polynomials of a fine patch, projected on the coarse cells below it."""
     base, fine, f = _levels(spark, d)

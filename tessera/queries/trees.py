@@ -314,7 +314,7 @@ def init_projection(spark: SparkSession, d: str) -> DataFrame:
     return f.select("cell_id", *[(F.round(F.get("coeffs", F.lit(k)) + 1e-9, 5)).alias(f"c{k}") for k in range(5)])
 
 
-@query(f"WITH {SEG}, u AS (SELECT DISTINCT unnest(range(CAST(floor((lo + 4096) / 128) AS BIGINT), CAST(ceil((hi + 4096) / 128) AS BIGINT))) AS id FROM seg) SELECT id, round(5 + 3 * (128.0 * id - 4096), 4) AS c0, 384.0::DOUBLE AS c1 FROM u")
+@query(f"WITH {SEG}, u AS (SELECT DISTINCT unnest(range(CAST(floor((lo + 4096) / 128) AS BIGINT), CAST(ceil((hi + 4096) / 128) AS BIGINT))) AS id FROM seg) SELECT id, round(CAST(5 + 3 * (128.0 * id - 4096) AS DOUBLE), 4) AS c0, 384.0::DOUBLE AS c1 FROM u")
 def poly_remap_linear(spark: SparkSession, d: str) -> DataFrame:
     """A linear field given on cells of 64 days, remapped to bins of 128 days, is the same field: in all bins with orders."""
     src, dst = grid_boxes(spark, 7, [-4096.0], [4096.0]), grid_boxes(spark, 6, [-4096.0], [4096.0])
