@@ -157,9 +157,14 @@ def wrap(x: Column, length: Column | float) -> Column:
     return x - n * F.floor(x / n)
 
 
-def cell_of_position(p: list[Column], n: int, length: float) -> Column:
-    """1-based cell of a position in a grid of n cells per axis, first axis fastest."""
-    at = [F.least(F.greatest(F.floor(x * n / length), F.lit(0)), F.lit(n - 1)) for x in p]
+def cell_of_position(p: list[Column], n: int, length: float, open_below: bool = False) -> Column:
+    """1-based cell of a position in a grid of n cells per axis, first axis fastest.
+
+    Positions beyond the grid count to its outermost cells. With ``open_below`` this holds for the upper
+    side only: below zero an axis counts on downwards.
+    """
+    at = [F.floor(x * n / length) if open_below else F.greatest(F.floor(x * n / length), F.lit(0)) for x in p]
+    at = [F.least(i, F.lit(n - 1)) for i in at]
     return total([i * n**k for k, i in enumerate(at)]) + 1
 
 

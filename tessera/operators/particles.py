@@ -23,8 +23,8 @@ def moved(p: DataFrame, dt: float, length: float) -> DataFrame:
     return p.withColumns({c: wrap(F.col(c) + F.col("v" + c) * dt, length) for c in AXES})
 
 
-def sorted_into_cells(p: DataFrame, n: int, length: float) -> DataFrame:
-    return p.withColumn("cell", cell_of_position([F.col(c) for c in AXES], n, length).cast("long"))
+def sorted_into_cells(p: DataFrame, n: int, length: float, open_below: bool = False) -> DataFrame:
+    return p.withColumn("cell", cell_of_position([F.col(c) for c in AXES], n, length, open_below).cast("long"))
 
 
 def sampled(p: DataFrame) -> DataFrame:
