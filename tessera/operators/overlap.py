@@ -381,6 +381,17 @@ def whole(x: np.ndarray) -> np.ndarray:
 
 
 
+def unit_cells(simplices: DataFrame, dim: int) -> DataFrame:
+    """``id``, ``lo``, ``hi`` of all boxes of side 1 with integer corners that the bounding boxes of
+    ``simplices`` (``points``) reach into, wherever they lie; the id is the low corner."""
+    for d in range(dim):
+        x = along("points", d)
+        low = F.floor(F.array_min(x))
+        simplices = simplices.withColumn(f"_{d}", F.explode(F.sequence(low, F.greatest(low, F.ceil(F.array_max(x)) - 1))))
+    at = simplices.select(F.array(*[f"_{d}" for d in range(dim)]).alias("id")).distinct()
+    return at.select("id", F.transform("id", lambda i: i.cast("double")).alias("lo"), F.transform("id", lambda i: i + 1.0).alias("hi"))
+
+
 def overlap_simplices(simplices: DataFrame, boxes: DataFrame, dim: int, order: int = 0, exact_bits: int | None = None, side: list[float] | None = None, lattice: tuple[list[float], float] | None = None) -> DataFrame:
     """Simplices (``id``, ``points`` array of arrays) with boxes (``id``, ``lo``, ``hi``).
 
