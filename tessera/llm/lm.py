@@ -85,8 +85,26 @@ def slices(texts: list[str | None]) -> Iterator[list[bytes]]:
         yield held
 
 
-def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, and the number of tokens of each text."""
+def tag_hash(tag: str | None) -> int:
+    """What the hashes of the tokens of a kind of texts (of a language) are changed by."""
+    return xxhash.xxh64_intdigest((tag or "").encode(), 5 if tag is None else 4)
+
+
+def tagged_slices(columns: list[pa.Array]) -> Iterator[tuple[list[bytes], np.ndarray | None]]:
+    """The texts as in ``slices``, with the hashes of their tags where there is a second column."""
+    at, known = 0, {}
+    tags = columns[1].to_pylist() if len(columns) > 1 else None
+    for part in slices(columns[0].to_pylist()):
+        own = None
+        if tags is not None:
+            known.update((t, tag_hash(t)) for t in set(tags[at : at + len(part)]) - known.keys())
+            own = np.array([known[t] for t in tags[at : at + len(part)]], np.uint64)
+        yield part, own
+        at += len(part)
+
+
+def token_hashes(texts: list[bytes], tags: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, and the number of tokens of each text. Tokens of texts of different tags differ."""
     lists = [t.split() for t in texts]
     sizes = np.array([len(w) + 1 for w in lists], np.int64)
     out = np.full(int(sizes.sum()), END, np.uint64)
@@ -94,7 +112,7 @@ def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for w, n in zip(lists, sizes.tolist(), strict=True):
         out[at : at + n - 1] = np.fromiter(map(digest, w), np.uint64, n - 1)
         at += n
-    return out, sizes
+    return out if tags is None else out ^ np.repeat(tags, sizes), sizes
 
 
 def previous(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -133,7 +151,7 @@ class Model:
     n_pairs: int
     d_pair: list[float]
     d_word: list[float]
-    seen: list[int]
+    seen: list[int]  # tokens that have one, two, more different tokens before them
     numbers: Pairs
     dense_kind: str
 
@@ -147,11 +165,15 @@ def width(n_words: int, bits: int) -> int:
     return -(-(n_words + 1) // (1 << bits))
 
 
-def train(texts: DataFrame, text_col: str = "text", key_bits: int = 64) -> Model:
-    """Counts and estimates the model of all rows of ``texts``. ``key_bits`` bounds the numbers of pairs."""
+def train(texts: DataFrame, text_col: str = "text", key_bits: int = 64, tag_col: str | None = None, least: int = 1) -> Model:
+    """Counts and estimates the model of all rows of ``texts``. ``key_bits`` bounds the numbers of pairs.
+
+    With ``tag_col``, texts of different tags have no token in common. All pairs are counted; written are those
+    that occur ``least`` times (``others_score`` needs none that occurs once).
+    """
     spark = texts.sparkSession
     small_batches(spark)
-    src = texts.select(F.col(text_col).cast("string").alias("text"))
+    src = texts.select(F.col(text_col).cast("string").alias("text"), *([F.col(tag_col).cast("string").alias("tag")] if tag_col else []))
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(max(1, size / SHARD_BYTES)))))
     folder = scratch(spark, "lm")
@@ -160,8 +182,8 @@ def train(texts: DataFrame, text_col: str = "text", key_bits: int = 64) -> Model
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts(bits, mixed=False)
         for batch in batches:
-            for part in slices(batch.column(0).to_pylist()):
-                counts.add(token_hashes(part)[0])
+            for part, tags in tagged_slices(batch.columns):
+                counts.add(token_hashes(part, tags)[0])
                 if counts.full:
                     yield from counts.blobs()
         yield from counts.blobs()
@@ -191,8 +213,8 @@ def train(texts: DataFrame, text_col: str = "text", key_bits: int = 64) -> Model
                 yield pa.RecordBatch.from_arrays([pc.add(b.column(0), g * parts), b.column(1)], ["shard", "blob"])
 
         for batch in batches:
-            for part in slices(batch.column(0).to_pylist()):
-                ids, sizes = token_numbers(known, part)
+            for part, tags in tagged_slices(batch.columns):
+                ids, sizes = token_numbers(known, part, tags)
                 group, keys = numbers.keys(previous(ids, sizes), ids)
                 for g in np.unique(group).tolist() if numbers.groups > 1 else [0]:
                     counts[g].add(keys[group == g] if numbers.groups > 1 else keys)
@@ -202,28 +224,30 @@ def train(texts: DataFrame, text_col: str = "text", key_bits: int = 64) -> Model
             yield from emptied(g)
 
     def write_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["shard", "blob", "size", "n1", "n2", "n3", "n4"]
+        names = ["shard", "blob", "size", "written", "n1", "n2", "n3", "n4"]
 
-        def row(shard: int, blob: bytes | None, size: int, n: list[int]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([blob], pa.binary()), *(pa.array([x], pa.int64()) for x in (size, *n))], names)
+        def row(shard: int, blob: bytes | None, size: int, written: int, n: list[int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([blob], pa.binary()), *(pa.array([x], pa.int64()) for x in (size, written, *n))], names)
 
         for s, (keys, n) in gathered(batches, 1):
-            write_arrays(f"{folder}/pairs/{s // parts}/{s % parts:06d}", keys, n.astype(width_of(n)))
+            often = n >= least
+            write_arrays(f"{folder}/pairs/{s // parts}/{s % parts:06d}", keys[often], n[often].astype(width_of(n)))
             # Row -1 - s: totals of this shard. Row r: sums for the token numbers of range r.
-            yield row(-1 - s, None, len(keys), [int((n == k).sum()) for k in (1, 2, 3, 4)])
+            yield row(-1 - s, None, len(keys), int(often.sum()), [int((n == k).sum()) for k in (1, 2, 3, 4)])
             before, after = numbers.parts(s // parts, keys)
             zero = np.zeros(len(keys), np.int64)
             one = zero + 1
             sums = add_up(np.concatenate([before, after]), *(np.concatenate(x) for x in (((n == 1).astype(np.int64), zero), ((n == 2).astype(np.int64), zero), ((n > 2).astype(np.int64), zero), (zero, one))))
             for batch in blobs_of((sums[0] // np.uint64(step)).astype(np.int64), *sums):
                 k = batch.num_rows
-                yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.nulls(k, pa.int64())] * 5], names)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.nulls(k, pa.int64())] * 6], names)
 
     every = parts * numbers.groups
-    counted = stored(src.mapInArrow(count_pairs, blobs).repartition(every, "shard").mapInArrow(write_pairs, "shard long, blob binary, size long, n1 long, n2 long, n3 long, n4 long"), "lm-pairs")
-    sizes, n = [0] * every, [0] * 4
+    counted = stored(src.mapInArrow(count_pairs, blobs).repartition(every, "shard").mapInArrow(write_pairs, "shard long, blob binary, size long, written long, n1 long, n2 long, n3 long, n4 long"), "lm-pairs")
+    sizes, n, n_pairs = [0] * every, [0] * 4, 0
     for r in counted.where("shard < 0").drop("blob").collect():  # a row per shard
-        sizes[-1 - r["shard"]] = r["size"]
+        sizes[-1 - r["shard"]] = r["written"]
+        n_pairs += r["size"]
         n = [a + r[f"n{k}"] for k, a in enumerate(n, 1)]
     pairs = [Shards(f"{folder}/pairs/{g}", bits, True, sizes[g * parts : (g + 1) * parts], [COUNT]) for g in range(numbers.groups)]
 
@@ -239,12 +263,12 @@ def train(texts: DataFrame, text_col: str = "text", key_bits: int = 64) -> Model
 
     rows = stored(counted.where("shard >= 0").select("shard", "blob").repartition(parts, "shard").mapInArrow(write_ranges, "n1 long, n2 long, n3 long, n4 long, more long"), "lm-ranges")
     sums = rows.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in rows.columns)).first()
-    return Model(words, pairs, f"{folder}/ranges", bits, sum(r["total"] for r in done), n_words, src.count(), sum(sizes), discounts(n), discounts(list(sums[:4])), [sums[0], sums[1], sums[4]], numbers, dense_kind)
+    return Model(words, pairs, f"{folder}/ranges", bits, sum(r["total"] for r in done), n_words, src.count(), n_pairs, discounts(n), discounts(list(sums[:4])), [sums[0], sums[1], sums[4]], numbers, dense_kind)
 
 
-def token_numbers(known: Opened, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def token_numbers(known: Opened, texts: list[bytes], tags: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of all tokens (from 1; -1: unknown), and the number of tokens of each text."""
-    hashes, sizes = token_hashes(texts)
+    hashes, sizes = token_hashes(texts, tags)
     distinct, back = np.unique(hashes, return_inverse=True)
     place = known.find(distinct)[0]
     return np.where(place < 0, -1, place + 1)[back], sizes
@@ -320,6 +344,62 @@ class Scorer:
         return [sizes, known, base, score]
 
 
+    def others_score(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """log10 probability of each text, given as its token numbers, by the model of all other texts:
+        counts without the text's own, discounts as they are. The texts have to be among those of the
+        model; a pair that was not written for being rare has no count but the text's own."""
+        m, n_texts = self.m, len(sizes)
+        prior = previous(ids, sizes)
+        numbers, local = np.unique(np.concatenate([ids, [0]]), return_inverse=True)
+        before, after = np.searchsorted(numbers, prior), local[:-1]
+        text = np.repeat(np.arange(n_texts), sizes)
+        size = np.uint64(len(numbers))
+        pair = before.astype(np.uint64) * size + after.astype(np.uint64)
+        if n_texts * len(numbers) ** 2 >= 1 << 64:
+            pair = np.unique(pair, return_inverse=True)[1].astype(np.uint64)
+        span = pair.max() + np.uint64(1)
+        _, at, own = np.unique(text.astype(np.uint64) * span + pair, return_index=True, return_counts=True)
+        text, before, after = text[at], before[at], after[at]
+        every = np.maximum(self.pair_counts(numbers[before], numbers[after]), own)
+        c = every - own  # in other texts
+        once, twice, more, preceding = self.of_numbers(numbers)
+
+        # Contexts: what they leave to the lower order. Pairs are in the order of text and context.
+        first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (before[1:] != before[:-1])]))
+        of = np.repeat(np.arange(len(first)), np.diff(first, append=len(text)))
+        total = self.totals(numbers)[before[first]] - np.add.reduceat(own, first)
+        spare = np.zeros(len(first))
+        for k, (d, all_of) in enumerate(zip(m.d_pair, (once, twice, more), strict=True), 1):
+            spare += d * (all_of[before[first]] - np.add.reduceat((np.minimum(every, 3) == k).astype(np.int64) - (np.minimum(c, 3) == k), first))
+        left = np.where(total > 0, spare / np.maximum(total, 1), 1.0)
+
+        # The lower order: different tokens before a token in other texts.
+        alone = c == 0
+        places, back = np.unique(text.astype(np.uint64) * size + after.astype(np.uint64), return_inverse=True)
+        whose, which = (places // size).astype(np.int64), (places % size).astype(np.int64)
+        n = preceding[which]
+        others = n - np.bincount(back, alone, len(places)).astype(np.int64)
+        n_pairs = m.n_pairs - np.bincount(text, alone, n_texts).astype(np.int64)
+        spread = np.zeros(n_texts)
+        for k, (d, all_of) in enumerate(zip(m.d_word, m.seen, strict=True), 1):
+            spread += d * (all_of - np.bincount(whose, np.minimum(n, 3) == k, n_texts) + np.bincount(whose, np.minimum(others, 3) == k, n_texts))
+        rest = np.where(n_pairs > 0, spread / np.maximum(n_pairs, 1), 1.0)
+        lower = np.maximum(others - of_count(m.d_word, others), 0) / np.maximum(n_pairs, 1)[whose] + rest[whose] / (m.n_words + 1)
+        p = np.maximum(c - of_count(m.d_pair, c), 0) / np.maximum(total, 1)[of] + left[of] * lower[back]
+        return np.bincount(text, own * np.log10(p), n_texts)
+
+    def totals(self, numbers: np.ndarray) -> np.ndarray:
+        """How often each of the numbers, which are sorted, is followed by a token."""
+        out = np.zeros(len(numbers), np.int64)
+        shard = np.searchsorted(self.words.offsets, numbers - 1, "right") - 1
+        edges = np.flatnonzero(np.diff(shard, prepend=-2, append=-2))
+        for a, z in zip(edges, edges[1:], strict=False):
+            if numbers[a:z][-1]:
+                s = int(shard[a])
+                out[a:z] = self.words.arrays(s)[1][numbers[a:z] - 1 - self.words.offsets[s]]
+        return np.where(numbers == 0, self.m.n_texts, out)
+
+
 _SCORERS: dict[str, Scorer] = {}
 
 

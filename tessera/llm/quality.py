@@ -1,14 +1,22 @@
-"""Quality rules with an n-gram perplexity band per language (operator 2).
+"""Quality rules with n-gram perplexity bands per language (operator 2).
 
 Base rules count words, symbols, repeated lines and repeated windows of three words. What passes
-them is judged by the perplexity of its spelling: a character n-gram model per language (order
-``ORDER``, words with a begin and an end mark), interpolated modified Kneser-Ney, counted in Spark
-over all texts that pass the base rules. The estimate is a few aggregations and joins of n-grams;
-the model lies in the shared folder as sorted hash arrays that workers memory-map.
+them is judged by the perplexity of its words in their order, and of its spelling.
 
-Bands. Per language, the centre is the median of the logarithm of the perplexity over all passing
+Words. Pairs of words (A to Z lower-cased; begin and end of the text count) in the interpolated modified
+Kneser-Ney model of ``lm``, over all texts; words of different languages have nothing in common. A text is
+scored by what the other texts have: its own counts are taken off, so that its order is not compared with
+itself. A pair that occurs once has no such count and is counted, but not written.
+
+Spelling. A character n-gram model per language (order ``ORDER``, words with a begin and an end mark),
+interpolated modified Kneser-Ney, counted in Spark over all texts that pass the base rules. The estimate is
+a few aggregations and joins of n-grams; the model lies in the shared folder as sorted hash arrays that
+workers memory-map.
+
+Bands. Per language and model, the centre is the median of the logarithm of the perplexity over all passing
 documents and the unit is the median distance from it below and above (times 1.4826); documents
-more than ``BAND`` units below or above are rejected. Both come from Spark's quantile sketch, one
+more than ``BAND`` units below or above are rejected, by words only above: what other texts repeat is
+low there, and near copies are another operator's. Both come from Spark's quantile sketch, one
 row per language. The unit is at least ``LEAST_UNIT``, so that a language of few or equal documents
 rejects none for tiny differences.
 
@@ -32,6 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import lm
 from tessera.llm.common import map_batches, scratch, small_batches, stored
 from tessera.llm.hashstore import Shards, shard_of, write_arrays
 
@@ -351,11 +360,19 @@ def speller(model: Spelling) -> Speller:
     return _SPELLERS[model.shares.folder]
 
 
-SCHEMA = "id {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_perplexity double"
+SCHEMA = "id {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_perplexity double, word_log_perplexity double"
+
+
+def token_places(order: lm.Scorer, words: list[bytes], lang: str | None) -> np.ndarray:
+    """The numbers that the model of words has for words of a language."""
+    hashes = np.array([xxhash.xxh64_intdigest(w.lower()) for w in words], np.uint64) ^ np.uint64(lm.tag_hash(lang))
+    distinct, back = np.unique(hashes, return_inverse=True)
+    return order.words.find(distinct)[0][back] + 1
 
 
-def measured(docs: DataFrame, model: Spelling, id_col: str = "doc_id") -> DataFrame:
-    """Per row: the base features, ``base_failed`` and ``log_perplexity`` (per letter, log10)."""
+def measured(docs: DataFrame, model: Spelling, words: lm.Model, id_col: str = "doc_id") -> DataFrame:
+    """Per row: the base features, ``base_failed``, ``log_perplexity`` (per letter, log10) and
+    ``word_log_perplexity`` (per word and end of text, by the other texts). The texts are those of the models."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, numbers, known = speller(model), Numbers(), {}
@@ -369,13 +386,15 @@ def measured(docs: DataFrame, model: Spelling, id_col: str = "doc_id") -> DataFr
     def measure(s: Speller, numbers: Numbers, known: dict[str | None, np.ndarray], langs: list, texts: list) -> list[pa.Array]:
         parts = numbers.of([words_of(t) for t in texts])
         features = [base_features(t, p) for t, p in zip(texts, parts, strict=True)]
-        out = np.zeros(len(texts))
+        out, order, tokens = np.zeros(len(texts)), lm.scorer(words), [np.empty(0, np.int64)] * len(texts)
         for lang in set(langs):
+            end = np.array([order.words.find(np.array([lm.END ^ np.uint64(lm.tag_hash(lang))]))[0][0] + 1])
+            tokens = [end if x == lang else t for x, t in zip(langs, tokens, strict=True)]
             who = [i for i, x in enumerate(langs) if x == lang and len(parts[i])]
             if not who:
                 continue
-            # Scores and letters of words met before are kept; zero letters mark the others.
-            now = np.zeros((2, len(numbers.own)))
+            # Scores, letters and places of words met before are kept; zero letters mark the others.
+            now = np.zeros((3, len(numbers.own)))
             if lang in known:
                 now[:, : known[lang].shape[1]] = known[lang]
             known[lang] = now
@@ -383,9 +402,15 @@ def measured(docs: DataFrame, model: Spelling, id_col: str = "doc_id") -> DataFr
             new = used[now[1, used] == 0]
             if len(new):
                 now[0, new], now[1, new] = s.word_scores([numbers.own[k].decode() for k in new.tolist()], lang)
+                now[2, new] = token_places(order, [numbers.own[k] for k in new.tolist()], lang)
+            places = now[2].astype(np.int64)
+            for i in who:
+                tokens[i] = np.concatenate([places[parts[i]], end])
             out[who] = [-now[0, parts[i]].sum() / now[1, parts[i]].sum() for i in who]
+        sizes = np.array([len(t) for t in tokens])
+        by_words = -order.others_score(np.concatenate(tokens), sizes) / sizes
         columns = [pa.array([f[k] for f in features], pa.int64()) for k in range(5)]
-        return [*columns, pa.array([not passes(f[0], f[4]) for f in features]), pa.array(out)]
+        return [*columns, pa.array([not passes(f[0], f[4]) for f in features]), pa.array(out), pa.array(by_words)]
 
     src = docs.select(F.col(id_col).alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     small_batches(src.sparkSession)
@@ -393,15 +418,17 @@ def measured(docs: DataFrame, model: Spelling, id_col: str = "doc_id") -> DataFr
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", band: float = BAND) -> DataFrame:
-    """Per row: the features, the perplexity, the bounds of its language and ``kept``."""
-    rows = stored(measured(docs, write_model(docs), id_col), "measured")
+    """Per row: the features, the perplexities, the bounds of its language and ``kept``."""
+    texts = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = stored(measured(docs, write_model(docs), lm.train(texts, tag_col="lang", least=2), id_col), "measured")
     sound = rows.where("not base_failed")
     few = F.broadcast if rows.select("lang").distinct().count() <= BROADCAST_ROWS else lambda df: df
-    centre = sound.groupBy(F.col("lang").alias("l")).agg(F.percentile_approx("log_perplexity", 0.5, F.lit(10000)).alias("centre"))
-    far = F.col("log_perplexity") - F.col("centre")
+    middle = lambda c: F.percentile_approx(c, 0.5, F.lit(10000))
+    centre = sound.groupBy(F.col("lang").alias("l")).agg(middle("log_perplexity").alias("centre"), middle("word_log_perplexity").alias("word_centre"))
+    far, word_far = F.col("log_perplexity") - F.col("centre"), F.col("word_log_perplexity") - F.col("word_centre")
     side = lambda c: F.greatest(1.4826 * F.coalesce(F.percentile_approx(F.when(c >= 0, c), 0.5, F.lit(10000)), F.lit(0.0)), F.lit(LEAST_UNIT))
-    units = sound.join(few(centre), F.col("lang").eqNullSafe(F.col("l"))).groupBy("l", "centre").agg(side(-far).alias("below"), side(far).alias("above"))
-    bounds = stored(units.select("l", (F.col("centre") - band * F.col("below")).alias("lower_bound"), (F.col("centre") + band * F.col("above")).alias("upper_bound")), "bands")  # a row per language
+    units = sound.join(few(centre), F.col("lang").eqNullSafe(F.col("l"))).groupBy("l", "centre", "word_centre").agg(side(-far).alias("below"), side(far).alias("above"), side(word_far).alias("word_above"))
+    bounds = stored(units.select("l", (F.col("centre") - band * F.col("below")).alias("lower_bound"), (F.col("centre") + band * F.col("above")).alias("upper_bound"), (F.col("word_centre") + band * F.col("word_above")).alias("word_upper_bound")), "bands")  # a row per language
     out = rows.join(few(bounds), F.col("lang").eqNullSafe(F.col("l")), "left")
-    inside = F.col("log_perplexity").between(F.col("lower_bound"), F.col("upper_bound"))
-    return out.select(F.col("id").alias(id_col), *rows.columns[2:], "lower_bound", "upper_bound", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"))
+    inside = F.col("log_perplexity").between(F.col("lower_bound"), F.col("upper_bound")) & (F.col("word_log_perplexity") <= F.col("word_upper_bound"))
+    return out.select(F.col("id").alias(id_col), *rows.columns[2:], "lower_bound", "upper_bound", "word_upper_bound", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"))

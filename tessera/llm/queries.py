@@ -16,7 +16,7 @@ def op1_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.judged(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity", "lower_bound", "upper_bound")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity", "lower_bound", "upper_bound", "word_log_perplexity", "word_upper_bound")
 
 
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

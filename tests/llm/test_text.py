@@ -341,6 +341,61 @@ def test_quality_equals_brute_force(spark):
     assert quality.judged(docs.limit(0)).count() == 0
 
 
+def slow_word_order(rows, at):
+    """log10 perplexity of row ``at`` by pairs of words of all other rows; discounts are those of all."""
+    tokens = [[None, *((x, w) for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())), (x, "\n")] for _, t, x in rows]
+    pairs = [list(zip(t, t[1:], strict=False)) for t in tokens]
+    every = Counter(p for own in pairs for p in own)
+    d_pair = slow_discounts(every.values())
+    d_word = slow_discounts(Counter(w for _, w in every).values())
+    c = Counter(p for i, own in enumerate(pairs) if i != at for p in own)
+    total, spare = Counter(), Counter()
+    for (v, _), n in c.items():
+        total[v] += n
+        spare[v] += d_pair[min(n, 3) - 1]
+    before = Counter(w for _, w in c)
+    rest = sum(d_word[min(n, 3) - 1] for n in before.values()) / len(c) if c else 1.0
+    score = 0.0
+    for v, w in pairs[at]:
+        p = (before[w] - d_word[min(before[w], 3) - 1] if before[w] else 0.0) / max(len(c), 1) + rest / (len({w for _, w in every}) + 1)
+        if total[v]:
+            p = (c[v, w] - d_pair[min(c[v, w], 3) - 1] if c[v, w] else 0.0) / total[v] + spare[v] / total[v] * p
+        score += math.log10(p)
+    return -score / len(pairs[at])
+
+
+def test_word_order_is_judged(spark):
+    rng = random.Random(12)
+    parts = ("ren", "lis", "mon", "tar", "del", "gus", "Vin", "pol")
+    vocabulary = [a + b + c for a in ("la", "ne", "so", "mi", "tu") for b in parts for c in parts]
+    after = {w: rng.sample(vocabulary, 3) for w in vocabulary}
+
+    def told(n):
+        w = [rng.choice(vocabulary)]
+        while len(w) < n:
+            w.append(rng.choice(after[w[-1]]))
+        return w
+
+    texts = [" ".join(told(rng.randrange(55, 150))) for _ in range(60)]
+    for _ in range(3):
+        w = told(140)
+        rng.shuffle(w)
+        texts.append(" ".join(w))
+    rows = [(i, t, "xx") for i, t in enumerate(texts)] + [(100, texts[0], "xx"), (101, texts[1], None), (102, None, "xx"), (103, "once alone", "yy"), (104, "", None), (None, texts[2], "xx"), (7, " ".join(told(60)), "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = quality.judged(docs).collect()
+    got = defaultdict(list)
+    for r in out:
+        got[r.doc_id].append(r)
+    for at, (i, _, _) in enumerate(rows):
+        want = slow_word_order(rows, at)
+        assert any(r.word_log_perplexity == pytest.approx(want, rel=1e-9) for r in got[i])
+    # The same words in another order: nothing in their spelling tells them.
+    assert len(out) == len(rows) and not any(got[i][0].kept or got[i][0].base_failed for i in (60, 61, 62))
+    assert all(got[i][0].lower_bound <= got[i][0].log_perplexity <= got[i][0].upper_bound for i in (60, 61, 62))
+    assert sum(got[i][0].kept for i in range(60)) >= 55
+
+
 def test_any_number_of_letters_can_be_counted(spark):
     words = ["".join(map(chr, range(a, a + 7))) for a in range(0x3400, 0x3400 + 90_000, 6) if not 0xD7F0 < a < 0xE010]
     grams, n = quality.counted({w: 1 + i % 3 for i, w in enumerate(words)})
