@@ -22,12 +22,12 @@ fingerprint that is within r // 2 of the number.
 
 Near copies by similarity (``near_classes``, ``one_per_near_class``) are texts whose shingles of
 ``k`` words, each counted as often as it occurs, have a Jaccard similarity of ``threshold`` or more.
-Their fingerprints differ in up to some 20 bits, where blocks of bits are too short to be a key and
-pivot distances discard next to nothing. So they are brought together by minima of hashes over the
+Their fingerprints differ in up to some 20 bits, where blocks of bits are too short to be a key. So they are brought together by minima of hashes over the
 shingles: ``BAND_ROWS`` minima name a bucket, each text is in ``BANDS`` buckets, and a pair of
 similarity s misses all with a chance of (1 - s ** BAND_ROWS) ** BANDS. Buckets of the same texts
-count once. In a bucket, pairs within ``NEAR_RADIUS`` bits of SimHash are verified by their
-shingles; a text that is linked is not compared again, and only links are written. Texts of the same
+count once. In a bucket, a pivot distance table discards pairs that cannot be within ``NEAR_RADIUS`` bits
+of SimHash; at this radius only pivots near the texts tell them apart, so they are members of the bucket,
+each the farthest from those before it. What is left is verified by its SimHash and then by its shingles; a text that is linked is not compared again, and only links are written. Texts of the same
 words are one text from the start, so a group of copies counts once; so do texts without words.
 
 Components. The stars are joined by repeated minimum over neighbours and pointer jumping, with a
@@ -59,6 +59,8 @@ N_PIVOTS = 32
 PAIRS = 1 << 20
 #: For similarity 0.8 the bands miss 3 pairs in a million; the radius is five deviations off.
 BANDS, BAND_ROWS, NEAR_RADIUS = 24, 4, 24
+#: Members of a bucket of near copies that are pivots.
+NEAR_PIVOTS = 8
 #: Rows (of an id and a hash) that are broadcast at most; more go through a shuffle with the texts.
 BROADCAST_ROWS = 1_000_000
 
@@ -379,9 +381,25 @@ def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     return map_slices(keyed(docs, id_col, text_col), 1, run, "id long, sha long, key long, fp long, buckets array<long>")
 
 
+def own_pivots(fp: np.ndarray, n: int = NEAR_PIVOTS) -> np.ndarray:
+    """The distances (a row per pivot) of all fingerprints to some of them, each the farthest from those before."""
+    rows, far, at = [], np.full(len(fp), 65, np.int8), 0
+    while len(rows) < n and far[at]:
+        rows.append(np.bitwise_count(fp ^ fp[at]).astype(np.int8))
+        far = np.minimum(far, rows[-1])
+        at = int(far.argmax())
+    return np.array(rows)
+
+
+def within(fp: np.ndarray, table: np.ndarray, a: int, who: np.ndarray, radius: int) -> np.ndarray:
+    """Those of ``who`` that differ from ``a`` in at most ``radius`` bits, behind the table of pivot distances."""
+    who = who[(np.abs(table[:, who] - table[:, a : a + 1]) <= radius).all(axis=0)]
+    return who[np.bitwise_count(fp[who] ^ fp[a]) <= radius]
+
+
 def near_links(fp: np.ndarray, sets: list[np.ndarray], threshold: float, radius: int = NEAR_RADIUS) -> list[tuple[int, int]]:
     """Pairs of the given texts that connect all whose sets of shingles are similar."""
-    n, sizes = len(fp), np.array([len(s) for s in sets])
+    n, sizes, table = len(fp), np.array([len(s) for s in sets]), own_pivots(fp)
     _, what = np.unique(np.concatenate(sets), return_inverse=True)
     begin = np.cumsum(sizes) - sizes
     holders = np.repeat(np.arange(n), sizes)[np.argsort(what, kind="stable")]
@@ -392,7 +410,8 @@ def near_links(fp: np.ndarray, sets: list[np.ndarray], threshold: float, radius:
         left[root] = False
         while todo:
             a = todo.pop()
-            b = np.flatnonzero(left & (np.bitwise_count(fp ^ fp[a]) <= radius) & (np.minimum(sizes, sizes[a]) >= threshold * np.maximum(sizes, sizes[a])))
+            b = within(fp, table, a, np.flatnonzero(left), radius)
+            b = b[np.minimum(sizes[b], sizes[a]) >= threshold * np.maximum(sizes[b], sizes[a])]
             if not len(b):
                 continue
             mine = what[begin[a] : begin[a] + sizes[a]]

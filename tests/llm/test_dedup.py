@@ -190,6 +190,36 @@ def test_near_copies_equal_brute_force(spark):
     assert kept.columns == docs.columns and kept.count() == len(expected) < len(set(texts))
 
 
+def test_near_copies_come_through_the_pivot_table(monkeypatch):
+    rng = np.random.default_rng(8)
+    hubs = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
+    flips = rng.random((90, 64)) < 0.12
+    fp = hubs[np.arange(90) % 3] ^ np.packbits(flips, axis=1, bitorder="little").view("<u8").ravel()
+    table, every = simhash.own_pivots(fp), np.arange(90)
+    left = 0
+    for a in range(90):
+        want = {b for b in range(90) if int(fp[a] ^ fp[b]).bit_count() <= 20}
+        assert set(simhash.within(fp, table, a, every, 20).tolist()) == want
+        left += int((np.abs(table - table[:, a : a + 1]) <= 20).all(axis=0).sum())
+    assert left < 90 * 90
+    # Texts of the same shingles are linked, unless the table or the fingerprints part them.
+    sets = [np.arange(50, dtype=np.uint64)] * 90
+    label = list(range(90))
+    for a, b in simhash.near_links(fp, sets, 0.8, 20):
+        label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+    slow = list(range(90))
+    for a in range(90):
+        for b in range(a):
+            if int(fp[a] ^ fp[b]).bit_count() <= 20 and slow[a] != slow[b]:
+                slow = [min(slow[a], slow[b]) if x in (slow[a], slow[b]) else x for x in slow]
+    assert label == slow
+    asked = []
+    monkeypatch.setattr(simhash, "own_pivots", lambda x: asked.append(len(x)) or table[:, : len(x)])
+    simhash.near_links(fp, sets, 0.8, 20)
+    assert asked == [90]
+    assert len(simhash.own_pivots(fp[:1])) == 8 and simhash.near_links(fp[:1], sets[:1], 0.8) == []
+
+
 def test_stars_keep_links_of_earlier_blocks(monkeypatch):
     """Random graphs whose edges come in two blocks, against plain union."""
     rng = np.random.default_rng(4)
