@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import itertools
 import os
@@ -86,6 +87,25 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: With it an execution deletes its shuffle files when it ends, not whenever the driver collects its garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within, no execution leaves shuffle files behind: for steps whose results are written. What reads
+    them again all the same makes them again. Spark before 4.1 doesn't know the setting."""
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+
+
 def posix(uri: str) -> str | None:
     """The plain path of a ``file:`` URI or of a path without scheme, else None."""
     if uri.startswith("file:"):

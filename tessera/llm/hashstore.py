@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,12 @@ def shard_of(keys: np.ndarray, bits: int, mixed: bool) -> np.ndarray:
     return (k >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
 
+def by_shard(shard: np.ndarray) -> np.ndarray:
+    """The order by shard that keeps that of the keys; numpy sorts 16 bits by radix."""
+    narrow = not len(shard) or int(shard.max()) < 1 << 16
+    return np.argsort(shard.astype(np.uint16) if narrow else shard, kind="stable")
+
+
 def planes(a: np.ndarray) -> bytes:
     return a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()
 
@@ -104,7 +111,7 @@ class Counts:
 
 def blobs_of(shard: np.ndarray, keys: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One row (``shard``, ``blob``) per shard; keys are sorted."""
-    order = np.argsort(shard, kind="stable")
+    order = by_shard(shard)
     shard, keys, columns = shard[order], keys[order], [c[order] for c in columns]
     edges = np.flatnonzero(np.diff(shard, prepend=-1, append=-1)) if len(shard) else []
     for i in range(0, len(edges) - 1, 64):
@@ -136,7 +143,7 @@ def map_arrays(uri: str, n: int, kinds: list[str]) -> list[np.ndarray]:
     """The arrays of ``write_arrays`` (each of n entries), memory-mapped."""
     if not n:
         return [np.empty(0, k) for k in kinds]
-    raw = np.memmap(get_file(uri), np.uint8, "r")
+    raw = np.asarray(np.memmap(get_file(uri), np.uint8, "r"))
     out, at = [], 0
     # The last column may be of COUNT: as wide as the file is long.
     kinds = [("<u8" if len(raw) >= 8 * n * len(kinds) else "<u4") if k == COUNT else k for k in kinds]
@@ -178,20 +185,23 @@ class Opened:
         """For distinct sorted keys: the place of each among all keys (-1: absent), and its values."""
         t = self.table
         shard = shard_of(keys, t.bits, t.mixed)
+        order = by_shard(shard)
+        ordered = keys[order]
         place = np.full(len(keys), -1, np.int64)
         values = [np.full(len(keys), d, "<u8" if k == COUNT else k) for d, k in zip(defaults, t.kinds, strict=False)]
-        order = np.argsort(shard, kind="stable")
-        edges = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1)) if len(keys) else []
-        for a, z in zip(edges, edges[1:], strict=False):
-            who = order[a:z]
-            s = int(shard[who[0]])
+        edges = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1)).tolist() if len(keys) else []
+        for a, z in pairwise(edges):
+            s = int(shard[order[a]])
             if not t.sizes[s]:
                 continue
             own, *columns = self.arrays(s)
-            at = np.searchsorted(own, keys[who])
-            hit = at < len(own)
-            hit[hit] = own[at[hit]] == keys[who][hit]
-            place[who[hit]] = self.offsets[s] + at[hit]
+            sought = ordered[a:z]
+            at = np.searchsorted(own, sought)
+            there = np.minimum(at, len(own) - 1)
+            hit = own[there] == sought
+            np.copyto(place[a:z], at + self.offsets[s], where=hit)
             for v, c in zip(values, columns, strict=False):
-                v[who[hit]] = c[at[hit]]
-        return place, *values
+                np.copyto(v[a:z], c[there], where=hit)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return place[back], *(v[back] for v in values)

@@ -349,17 +349,22 @@ class Scorer:
         counts without the text's own, discounts as they are. The texts have to be among those of the
         model; a pair that was not written for being rare has no count but the text's own."""
         m, n_texts = self.m, len(sizes)
-        prior = previous(ids, sizes)
         numbers, local = np.unique(np.concatenate([ids, [0]]), return_inverse=True)
-        before, after = np.searchsorted(numbers, prior), local[:-1]
+        before, after = previous(local[:-1], sizes), local[:-1]
         text = np.repeat(np.arange(n_texts), sizes)
         size = np.uint64(len(numbers))
         pair = before.astype(np.uint64) * size + after.astype(np.uint64)
-        if n_texts * len(numbers) ** 2 >= 1 << 64:
+        if n_texts * len(numbers) ** 2 < 1 << 64:
+            # The sorted number of text and pair says which they are.
+            every = np.sort(text.astype(np.uint64) * size**2 + pair)
+            at = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+            own = np.diff(at, append=len(every))
+            row, after = (x.astype(np.int64) for x in np.divmod(every[at], size))
+            text, before = np.divmod(row, len(numbers))
+        else:
             pair = np.unique(pair, return_inverse=True)[1].astype(np.uint64)
-        span = pair.max() + np.uint64(1)
-        _, at, own = np.unique(text.astype(np.uint64) * span + pair, return_index=True, return_counts=True)
-        text, before, after = text[at], before[at], after[at]
+            _, at, own = np.unique(text.astype(np.uint64) * (pair.max() + np.uint64(1)) + pair, return_index=True, return_counts=True)
+            text, before, after = text[at], before[at], after[at]
         every = np.maximum(self.pair_counts(numbers[before], numbers[after]), own)
         c = every - own  # in other texts
         once, twice, more, preceding = self.of_numbers(numbers)

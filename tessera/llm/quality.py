@@ -41,8 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import lm
-from tessera.llm.common import map_batches, scratch, small_batches, stored
-from tessera.llm.hashstore import Shards, shard_of, write_arrays
+from tessera.llm.common import forget, map_batches, scratch, shuffles_freed, small_batches, stored
+from tessera.llm.hashstore import Opened, Shards, shard_of, write_arrays
 
 ORDER = 4
 BAND = 5.0
@@ -52,6 +52,7 @@ MIN_WORDS = 50
 SHARD_GRAMS, MIN_BITS, MAX_BITS = 1 << 20, 4, 16
 #: No word has white space, so these stand for the begin and the end of one.
 BEGIN, END = "\n", " "
+_PAD = BEGIN * (ORDER - 1)
 #: Rows of languages that are broadcast at most.
 BROADCAST_ROWS = 100_000
 SYMBOLS = "#*$%&|<>"
@@ -113,7 +114,10 @@ def repeated_words(ids: np.ndarray) -> int:
     if n >= 1 << 20:
         pairs = np.unique(pairs, return_inverse=True)[1]
     triples = pairs[:-1] * n + ids[2:]
-    order = np.argsort(triples, kind="stable")
+    once = np.sort(triples)
+    if not (once[1:] == once[:-1]).any():
+        return 0
+    order = np.argsort(triples)
     same = triples[order[1:]] == triples[order[:-1]]
     inside = np.zeros(len(ids), bool)
     for who in (order[1:][same], order[:-1][same]):
@@ -144,12 +148,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all words, each between marks, and the place of each within its word."""
-    line = BEGIN + (END + BEGIN).join(words) + END
-    sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
-    place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32), place
+def endings(words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, bool]:
+    """Of every letter of the words and of every end of a word: the letter and the ``ORDER`` - 1 before it, the last
+    first, as code points (``BEGIN`` as often as there is none); one number for these that differs if they do, and
+    whether it is the same in every call."""
+    line = _PAD + (END + _PAD).encode().join(words).decode() + END
+    codes = np.frombuffer(line.encode("utf-32-le"), np.uint32)
+    at = np.flatnonzero(codes != ord(BEGIN))
+    columns = [codes[at - k] for k in range(ORDER)]
+    if int(codes.max()) < 1 << 64 // ORDER:
+        numbers = columns[0].astype(np.uint64)
+        for k in range(1, ORDER):
+            numbers |= columns[k].astype(np.uint64) << np.uint64(64 // ORDER * k)
+        return columns, numbers, True
+    letters, dense = np.unique(codes, return_inverse=True)
+    return columns, packed([dense[at - k] for k in range(ORDER)], len(letters)), False
+
+
+def distinct(columns: list[np.ndarray], numbers: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The distinct rows of ``endings`` in the order of their numbers, these, and which of them each row is."""
+    own, back = np.unique(numbers, return_inverse=True)
+    some = np.empty(len(own), np.int64)
+    some[back] = np.arange(len(back))
+    return [c[some] for c in columns], own, back
 
 
 def gram_hashes(letters: list[np.ndarray], language: int) -> np.ndarray:
@@ -172,17 +193,18 @@ def letters_key(lang: str | None) -> int:
 
 def counted(words: dict[str, int]) -> tuple[list[str], np.ndarray]:
     """The longest n-gram at every letter of the words (up to ``ORDER``), and how often it occurs."""
-    own = list(words)
-    codes, place = spelled(own)
-    times = np.repeat(np.fromiter(words.values(), np.int64, len(own)), [len(w) + 2 for w in own])
-    letters, dense = np.unique(codes, return_inverse=True)
-    at = np.flatnonzero(place > 0)
-    # From the last letter back; 0 before the begin of a word.
-    columns = [np.where(place[at] >= k, dense[np.maximum(at - k, 0)] + 1, 0) for k in range(ORDER)]
-    _, first, back = np.unique(packed(columns, len(letters) + 1), return_index=True, return_inverse=True)
-    n = np.bincount(back, times[at]).astype(np.int64)
-    names = ["", *map(chr, letters.tolist())]
-    return ["".join([names[x] for x in row]) for row in zip(*(c[first].tolist() for c in reversed(columns)), strict=True)], n
+    return counted_bytes([w.encode() for w in words], np.fromiter(words.values(), np.int64, len(words)))
+
+
+def counted_bytes(words: list[bytes], n: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """``counted`` of words in UTF-8 and their counts."""
+    every, numbers, _ = endings(words)
+    columns, _, back = distinct(every, numbers)
+    ends = np.flatnonzero(every[0] == ord(END))
+    c = np.bincount(back, np.repeat(n, np.diff(ends, prepend=-1))).astype(np.int64)
+    line = np.stack(columns[::-1], axis=1).astype("<u4").tobytes().decode("utf-32-le")
+    rows = [line[i : i + ORDER] for i in range(0, len(line), ORDER)]
+    return [BEGIN + g.lstrip(BEGIN) if g[0] == BEGIN else g for g in rows], c
 
 
 def packed(columns: list[np.ndarray], n: int) -> np.ndarray:
@@ -203,7 +225,8 @@ def count_grams(docs: DataFrame) -> DataFrame:
         for lang, n in counts.items():
             used = np.flatnonzero(n).tolist()
             for i in range(0, len(used), 1 << 17):
-                grams, c = counted({numbers.own[k].decode(): int(n[k]) for k in used[i : i + (1 << 17)]})
+                part = used[i : i + (1 << 17)]
+                grams, c = counted_bytes([numbers.own[k] for k in part], n[part])
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(c)], ["lang", "gram", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +293,9 @@ class Spelling:
 def write_model(docs: DataFrame) -> Spelling:
     """Counts, estimates and writes the model of all texts of ``docs`` (``lang``, ``text``)."""
     spark = docs.sparkSession
-    model = stored(estimate(stored(count_grams(docs), "counts")), "model")
+    counts = stored(count_grams(docs), "counts")
+    model = stored(estimate(counts), "model")
+    forget(counts)
     bits = min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(max(1, model.count() / SHARD_GRAMS)))))
     folder, parts = scratch(spark, "spelling"), 1 << bits
 
@@ -312,42 +337,68 @@ def write_model(docs: DataFrame) -> Spelling:
     sizes = [[0] * parts, [0] * parts]
     for r in flat.repartition(2 * parts, "shard").mapInArrow(write, "shard long, size long").collect():  # a row per shard
         sizes[r["shard"] // parts][r["shard"] % parts] = r["size"]
+    forget(model)
     return Spelling(*[Shards(f"{folder}/{k}", bits, False, sizes[k], ["<f8"]) for k in (0, 1)])
 
 
+#: N-grams whose scores a worker keeps.
+HELD_GRAMS = 1 << 18
+
+
 class Speller:
     """The mapped model in a worker."""
 
     def __init__(self, model: Spelling) -> None:
         self.m, self.shares, self.left = model, model.shares.open(), model.left.open()
+        #: By language: the numbers of the n-grams met before, in order, and their scores.
+        self.known: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
 
-    def word_scores(self, words: list[str], lang: str | None) -> tuple[np.ndarray, np.ndarray]:
+    def word_scores(self, words: list[bytes], lang: str | None) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of each word with its end, and its number of letters with the end."""
+        every, numbers, lasting = endings(words)
+        columns, own, back = distinct(every, numbers)
+        logs = self.kept_logs(columns, own, lang) if lasting else self.letter_logs(columns, lang)
+        ends = np.flatnonzero(every[0] == ord(END))
+        sizes = np.diff(ends, prepend=-1)
+        return np.add.reduceat(logs[back], ends + 1 - sizes), sizes
+
+    def kept_logs(self, columns: list[np.ndarray], own: np.ndarray, lang: str | None) -> np.ndarray:
+        """``letter_logs``, which asks the model only for n-grams not met before."""
+        held, logs = self.known.get(lang, (np.empty(0, np.uint64), np.empty(0)))
+        at = np.searchsorted(held, own)
+        old = at < len(held)
+        old[old] = held[at[old]] == own[old]
+        out = np.empty(len(own))
+        out[old] = logs[at[old]]
+        new = np.flatnonzero(~old)
+        if len(new):
+            out[new] = self.letter_logs([c[new] for c in columns], lang)
+            if sum(len(k) for k, _ in self.known.values()) + len(new) > HELD_GRAMS:
+                self.known.clear()
+            else:
+                self.known[lang] = np.insert(held, at[new], own[new]), np.insert(logs, at[new], out[new])
+        return out
+
+    def letter_logs(self, columns: list[np.ndarray], lang: str | None) -> np.ndarray:
+        """log10 probability of each last letter behind those before it, given as columns of ``endings``."""
         key = language_hash(lang)
-        codes, place = spelled(words)
-        with np.errstate(over="ignore"):
-            parts = [mixed(codes.astype(np.uint64) * _FACTORS[k] + np.uint64(k + 1)) for k in range(ORDER)]
         letters = self.shares.find(np.array([letters_key(lang)], np.uint64), 0.0)[1][0]
-        p = np.full(len(codes), 1.0 / (letters + 1))
-        # What the context that ends at each place leaves to the next lower order.
-        left = np.full(len(codes), self.left.find(gram_hashes([], key), 1.0)[1][0])
+        p = np.full(len(columns[0]), 1.0 / (letters + 1))
+        at = np.arange(len(p))
         for n in range(1, ORDER + 1):
-            # The n-gram that ends at each place, where the word has room for it; its hash as in gram_hashes.
-            at = np.flatnonzero(place >= n - 1)
-            with np.errstate(over="ignore"):
-                h = np.full(len(at), key, np.uint64) + np.uint64(n) * _FACTORS[4]
-                for k in range(n):
-                    h = h + parts[k][at - k]
-                grams, back = np.unique(mixed(h), return_inverse=True)
-            letter = place[at] > 0
-            share = self.shares.find(grams, 0.0)[1][back]
-            p[at[letter]] = share[letter] + left[at[letter] - 1] * p[at[letter]]
-            if n < ORDER:
-                left = np.ones(len(codes))
-                left[at] = self.left.find(grams, 1.0)[1][back]
-        logs = np.where(place > 0, np.log10(p), 0.0)
-        begins = np.flatnonzero(place == 0)
-        return np.add.reduceat(logs, begins), np.add.reduceat((place > 0).astype(np.int64), begins)
+            # The n-gram that ends with the letter, where the word has room for it, and its context.
+            at = at[columns[n - 2][at] != ord(BEGIN)] if n > 1 else at
+            gram = [columns[k][at] for k in range(n)]
+            share = found(self.shares, gram_hashes(gram[::-1], key), 0.0)
+            left = found(self.left, gram_hashes(gram[:0:-1], key), 1.0)
+            p[at] = share + left * p[at]
+        return np.log10(p)
+
+
+def found(table: Opened, keys: np.ndarray, default: float) -> np.ndarray:
+    """The values of keys that may repeat; one key is for all."""
+    own, back = np.unique(keys, return_inverse=True)
+    return table.find(own, default)[1][back]
 
 
 _SPELLERS: dict[str, Speller] = {}
@@ -363,9 +414,9 @@ def speller(model: Spelling) -> Speller:
 SCHEMA = "id {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_perplexity double, word_log_perplexity double"
 
 
-def token_places(order: lm.Scorer, words: list[bytes], lang: str | None) -> np.ndarray:
-    """The numbers that the model of words has for words of a language."""
-    hashes = np.array([xxhash.xxh64_intdigest(w.lower()) for w in words], np.uint64) ^ np.uint64(lm.tag_hash(lang))
+def token_places(order: lm.Scorer, words: list[bytes], tags: np.ndarray) -> np.ndarray:
+    """The numbers that the model of words has for words, given with the hashes of their languages."""
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(bytes.lower, words)), np.uint64, len(words)) ^ tags
     distinct, back = np.unique(hashes, return_inverse=True)
     return order.words.find(distinct)[0][back] + 1
 
@@ -387,26 +438,33 @@ def measured(docs: DataFrame, model: Spelling, words: lm.Model, id_col: str = "d
         parts = numbers.of([words_of(t) for t in texts])
         features = [base_features(t, p) for t, p in zip(texts, parts, strict=True)]
         out, order, tokens = np.zeros(len(texts)), lm.scorer(words), [np.empty(0, np.int64)] * len(texts)
-        for lang in set(langs):
-            end = np.array([order.words.find(np.array([lm.END ^ np.uint64(lm.tag_hash(lang))]))[0][0] + 1])
-            tokens = [end if x == lang else t for x, t in zip(langs, tokens, strict=True)]
-            who = [i for i, x in enumerate(langs) if x == lang and len(parts[i])]
-            if not who:
-                continue
+        whose: dict[str | None, list[int]] = defaultdict(list)
+        for i, lang in enumerate(langs):
+            whose[lang].append(i)
+        fresh = []
+        for lang, own in whose.items():
             # Scores, letters and places of words met before are kept; zero letters mark the others.
             now = np.zeros((3, len(numbers.own)))
             if lang in known:
                 now[:, : known[lang].shape[1]] = known[lang]
             known[lang] = now
-            used = np.flatnonzero(np.bincount(np.concatenate([parts[i] for i in who]), minlength=len(numbers.own)))
+            used = np.flatnonzero(np.bincount(np.concatenate([parts[i] for i in own]), minlength=len(numbers.own)))
             new = used[now[1, used] == 0]
             if len(new):
-                now[0, new], now[1, new] = s.word_scores([numbers.own[k].decode() for k in new.tolist()], lang)
-                now[2, new] = token_places(order, [numbers.own[k] for k in new.tolist()], lang)
-            places = now[2].astype(np.int64)
-            for i in who:
-                tokens[i] = np.concatenate([places[parts[i]], end])
-            out[who] = [-now[0, parts[i]].sum() / now[1, parts[i]].sum() for i in who]
+                now[0, new], now[1, new] = s.word_scores([numbers.own[k] for k in new.tolist()], lang)
+            fresh.append(new)
+        tags = [np.uint64(lm.tag_hash(lang)) for lang in whose]
+        places = token_places(order, [numbers.own[k] for k in np.concatenate(fresh).tolist()], np.repeat(tags, [len(x) for x in fresh]))
+        ends = order.words.find(np.array(tags) ^ lm.END)[0] + 1
+        at = 0
+        for (lang, own), new, end in zip(whose.items(), fresh, ends, strict=True):
+            known[lang][2, new] = places[at : at + len(new)]
+            at += len(new)
+            place = known[lang][2].astype(np.int64)
+            for i in own:
+                tokens[i] = np.append(place[parts[i]], end)
+            who = [i for i in own if len(parts[i])]
+            out[who] = [-known[lang][0, parts[i]].sum() / known[lang][1, parts[i]].sum() for i in who]
         sizes = np.array([len(t) for t in tokens])
         by_words = -order.others_score(np.concatenate(tokens), sizes) / sizes
         columns = [pa.array([f[k] for f in features], pa.int64()) for k in range(5)]
@@ -419,16 +477,17 @@ def measured(docs: DataFrame, model: Spelling, words: lm.Model, id_col: str = "d
 
 def judged(docs: DataFrame, id_col: str = "doc_id", band: float = BAND) -> DataFrame:
     """Per row: the features, the perplexities, the bounds of its language and ``kept``."""
-    texts = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    rows = stored(measured(docs, write_model(docs), lm.train(texts, tag_col="lang", least=2), id_col), "measured")
-    sound = rows.where("not base_failed")
-    few = F.broadcast if rows.select("lang").distinct().count() <= BROADCAST_ROWS else lambda df: df
-    middle = lambda c: F.percentile_approx(c, 0.5, F.lit(10000))
-    centre = sound.groupBy(F.col("lang").alias("l")).agg(middle("log_perplexity").alias("centre"), middle("word_log_perplexity").alias("word_centre"))
-    far, word_far = F.col("log_perplexity") - F.col("centre"), F.col("word_log_perplexity") - F.col("word_centre")
-    side = lambda c: F.greatest(1.4826 * F.coalesce(F.percentile_approx(F.when(c >= 0, c), 0.5, F.lit(10000)), F.lit(0.0)), F.lit(LEAST_UNIT))
-    units = sound.join(few(centre), F.col("lang").eqNullSafe(F.col("l"))).groupBy("l", "centre", "word_centre").agg(side(-far).alias("below"), side(far).alias("above"), side(word_far).alias("word_above"))
-    bounds = stored(units.select("l", (F.col("centre") - band * F.col("below")).alias("lower_bound"), (F.col("centre") + band * F.col("above")).alias("upper_bound"), (F.col("word_centre") + band * F.col("word_above")).alias("word_upper_bound")), "bands")  # a row per language
+    with shuffles_freed(docs.sparkSession):
+        texts = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+        rows = stored(measured(docs, write_model(docs), lm.train(texts, tag_col="lang", least=2), id_col), "measured")
+        sound = rows.where("not base_failed")
+        few = F.broadcast if rows.select("lang").distinct().count() <= BROADCAST_ROWS else lambda df: df
+        middle = lambda c: F.percentile_approx(c, 0.5, F.lit(10000))
+        centre = sound.groupBy(F.col("lang").alias("l")).agg(middle("log_perplexity").alias("centre"), middle("word_log_perplexity").alias("word_centre"))
+        far, word_far = F.col("log_perplexity") - F.col("centre"), F.col("word_log_perplexity") - F.col("word_centre")
+        side = lambda c: F.greatest(1.4826 * F.coalesce(F.percentile_approx(F.when(c >= 0, c), 0.5, F.lit(10000)), F.lit(0.0)), F.lit(LEAST_UNIT))
+        units = sound.join(few(centre), F.col("lang").eqNullSafe(F.col("l"))).groupBy("l", "centre", "word_centre").agg(side(-far).alias("below"), side(far).alias("above"), side(word_far).alias("word_above"))
+        bounds = stored(units.select("l", (F.col("centre") - band * F.col("below")).alias("lower_bound"), (F.col("centre") + band * F.col("above")).alias("upper_bound"), (F.col("word_centre") + band * F.col("word_above")).alias("word_upper_bound")), "bands")  # a row per language
     out = rows.join(few(bounds), F.col("lang").eqNullSafe(F.col("l")), "left")
     inside = F.col("log_perplexity").between(F.col("lower_bound"), F.col("upper_bound")) & (F.col("word_log_perplexity") <= F.col("word_upper_bound"))
     return out.select(F.col("id").alias(id_col), *rows.columns[2:], "lower_bound", "upper_bound", "word_upper_bound", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"))

@@ -4,8 +4,10 @@ import gzip
 import hashlib
 import io
 import math
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from types import SimpleNamespace
@@ -410,6 +412,54 @@ def test_any_number_of_letters_can_be_counted(spark):
     assert len(rows) == 151 and all(r.n_words >= 90 for r in rows)
 
 
+def shuffle_files(spark):
+    names = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {x for x in names.split("\n") if "shuffle_" in x}
+
+
+def test_quality_leaves_no_intermediate_files(spark):
+    setting = spark.conf.get(common.FREE_SHUFFLES, None)
+    docs = spark.createDataFrame([(i, " ".join(f"word{(i * k) % 71}" for k in range(60 + i)), "xx") for i in range(40)], "doc_id long, text string, lang string")
+    own = common.own_dir(spark)
+    before, there = shuffle_files(spark), set(os.listdir(own)) if os.path.isdir(own) else set()
+    rows = quality.judged(docs)
+    for _ in range(50):  # Spark deletes in the background
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.2)
+    left = {x.rpartition("-")[0] for x in set(os.listdir(own)) - there}
+    assert not shuffle_files(spark) - before and {"lm", "spelling", "measured"} <= left and not {"counts", "model"} & left
+    assert spark.conf.get(common.FREE_SHUFFLES, None) == setting and rows.count() == 40 == len(rows.collect())
+
+
+def test_model_is_asked_once_for_an_ngram(spark, monkeypatch):
+    rng = random.Random(3)
+    plain = ["".join(rng.choice("abcde\x00\u00e9\uffff") for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    wide = ["".join(rng.choice("ab\U0001f600\U0010ffff") for _ in range(rng.randrange(1, 7))) for _ in range(60)]
+    texts = [" ".join(rng.sample(plain, 70)) for _ in range(20)] + [" ".join(rng.sample(plain + wide, 70)) for _ in range(5)]
+    s = quality.Speller(quality.write_model(spark.createDataFrame([(t, "xx") for t in texts], "text string, lang string")))
+    ppl = slow_spelling(texts, quality.ORDER)
+    asked = []
+    for table in (s.shares, s.left):
+        monkeypatch.setattr(table, "find", lambda keys, *d, f=table.find: asked.append(len(keys)) or f(keys, *d))
+
+    def right(words):
+        logs, letters = s.word_scores([w.encode() for w in words], "xx")
+        assert letters.tolist() == [len(w) + 1 for w in words]
+        assert (-logs / letters).tolist() == pytest.approx([ppl(w) for w in words], rel=1e-9)
+
+    right(plain[:300])
+    first = sum(asked)
+    right(plain[299::-1])
+    assert first and sum(asked) == first
+    right(plain[200:] + wide)  # letters beyond 16 bits: not kept
+    right(plain[250:])
+    s.known.clear()
+    monkeypatch.setattr(quality, "HELD_GRAMS", 10)
+    right(plain)
+    assert not s.known
+
+
 def test_language_model_equals_brute_force(spark, docs):
     model = lm.train(docs.where(~lm.held_out_fold(F.col("doc_id"))))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
